@@ -7,9 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontaminate import leaks
+from .html_text import extract
+from .quality_model import score
+from .quality_rules import quality_figures
+from .secret_scan import scan
+from .sentencepiece_codec import codec_digest
+from .sharding import shard
+from .simhash import simhash_groups
+from .sql import ORACLES
 from .substring_dedup import dedup_words
 from .suffix_dedup import dedup_bytes
 
+__all__ = ["ORACLES", "QUERIES"]
+
+#: Bytes of text in a shard. The tables at hand are small; 1 MiB lets the directory grow over several depths.
+SHARD_BYTES = 1 << 20
+
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
@@ -19,7 +33,39 @@ def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_substring_dedup, op2_suffix_dedup)}
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard(table(spark, sf_dir, "documents"), limit=SHARD_BYTES)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_digest(table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_figures(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
 
-#: DuckDB SQL for the queries that SQL expresses on whole tables.
-ORACLES: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_substring_dedup, op2_suffix_dedup, op3_sharding, op4_quality_classifier, op5_decontamination, op6_html_extraction, op7_simhash, op8_sentencepiece, op9_quality_rules, op10_secret_scan)
+}
