@@ -268,10 +268,10 @@ def text_strip_fences(spark, sf):
     return D.doc_lines(spark, sf).select("doc_id", "idx", F.trim(L.strip_fences(fenced)).alias("line")).where("line <> ''")
 
 
-@query("select doc_id, '$$a ' || regexp_replace(trim(substr(text, 1, 60), ' ' || chr(10)), '\\s+', ' ', 'g') || ' b$$' || chr(10) || 'c' as t from documents where strlen(text) = length(text)")
+@query("select doc_id, '$$a ' || regexp_replace(trim(replace(substr(text, 1, 60), '$', ''), ' ' || chr(10)), '\\s+', ' ', 'g') || ' b$$' || chr(10) || 'c' as t from documents where strlen(text) = length(text)")
 def text_collapse_display(spark, sf):
     d = D.table(spark, sf, "documents").where("octet_length(text) = length(text)")
-    cut = F.btrim(F.substring("text", 1, 60), F.lit(" \n"))
+    cut = F.btrim(F.replace(F.substring("text", 1, 60), F.lit("$"), F.lit("")), F.lit(" \n"))
     return d.select("doc_id", L.collapse_display(F.concat(F.lit("$$\na\n"), cut, F.lit("\n b $$\nc"))).alias("t"))
 
 
@@ -336,21 +336,20 @@ def ctx_evidence(spark, sf):
 
 
 def _ruled(spark, sf):
-    df = D.math_lines(spark, sf).withColumns({"issues": F.array().cast(rules.ISSUES), "decisions": F.create_map().cast("map<string,string>")})
+    df = D.math_lines(spark, sf).withColumn("decisions", F.create_map().cast("map<string,string>"))
     return df.join(rules.page_context(D.math_lines(spark, sf)), "page_id")
 
 
 @query(r"select page_id, idx, replace(replace(text, '≥', '\geq '), '∞', '\infty ') as text, contains(text, '≥') or contains(text, '∞') as noted from math_lines", "math_lines")
 def rule_unicode(spark, sf):
-    return rules.unicode_rule(_ruled(spark, sf)).select("page_id", "idx", "text", (F.size("issues") > 0).alias("noted"))
+    df = _ruled(spark, sf).withColumn("s", rules.run_rules(rules.start(F.col("text")), [rules.unicode_rule]))
+    return df.select("page_id", "idx", "s.text", (F.size("s.issues") > 0).alias("noted"))
 
 
 def _rule(spark, sf, *kinds):
-    df = _ruled(spark, sf)
-    for r in rules.RULES:
-        if r.kind in kinds:
-            df = r.apply(df)
-    return df.select("page_id", "idx", "text", F.array_join(F.transform("issues", lambda i: F.concat_ws("/", i["kind"], i["chosen"], i["strength"])), ",").alias("noted"))
+    steps = [r for r in rules.RULES if r.kind in kinds]
+    df = _ruled(spark, sf).withColumn("s", rules.run_rules(rules.start(F.col("text")), steps))
+    return df.select("page_id", "idx", "s.text", F.array_join(F.transform("s.issues", lambda i: F.concat_ws("/", i["kind"], i["chosen"], i["strength"])), ",").alias("noted"))
 
 
 @query(r"select page_id, idx, regexp_replace(replace(text, '(=)', '\Leftrightarrow '), '=>', '\\Rightarrow ', 'g') as text, case when contains(text, '(=)') then 'arrow/⇔/weak' when contains(text, '=>') then 'arrow' else '' end as noted from math_lines", "math_lines")
@@ -384,7 +383,8 @@ def rule_infinity(spark, sf):
 @query(rf"""with c as {_CALLS} select page_id, idx, case when contains(text, 'A(s)') and exists (select 1 from c where c.page_id = m.page_id and c.arg = '5') then replace(text, 'A(s)', 'A(5)') else text end as text,
     case when contains(text, 'A(s)') then case when exists (select 1 from c where c.page_id = m.page_id and c.arg = '5') then 'strong' else 'flag' end else '' end as noted from math_lines m""", "math_lines")
 def rule_digit_argument(spark, sf):
-    return rules.argument_rule(_ruled(spark, sf)).select("page_id", "idx", "text", F.array_join(F.transform("issues", lambda i: i["strength"]), ",").alias("noted"))
+    df = _ruled(spark, sf).withColumn("s", rules.run_rules(rules.start(F.col("text")), [rules.argument_rule]))
+    return df.select("page_id", "idx", "s.text", F.array_join(F.transform("s.issues", lambda i: i["strength"]), ",").alias("noted"))
 
 
 @query(r"select page_id, idx, case when regexp_matches(text, '^\$\\frac\{[0-9]+\}\{2\$$') then '1 unclosed ''{''' else '' end as errors from math_lines", "math_lines")

@@ -73,6 +73,8 @@ NEEDS = {"boxes": ["base"], "math_lines": ["base"]}
 
 def duck(sql: str, *names: str) -> str:
     """DuckDB SQL with the derived relations it names as common table expressions."""
+    if not names:
+        return sql.strip()
     wanted: list[str] = []
     for name in names:
         for x in (*NEEDS.get(name, []), name):
