@@ -15,16 +15,12 @@ from .secret_scan import scan
 from .sentencepiece_codec import codec_digest
 from .sharding import shard
 from .simhash import simhash_groups
-from .sql import ORACLES
+from .sql import ORACLES, SHARD_BYTES
 from .substring_dedup import dedup_words
 from .suffix_dedup import dedup_bytes
 
 __all__ = ["ORACLES", "QUERIES"]
 
-#: Bytes of text in a shard. The tables at hand are small; 1 MiB lets the directory grow over several depths.
-SHARD_BYTES = 1 << 20
-
-
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_words(table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
