@@ -20,8 +20,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import covered, runs
-from .windows import mix, prefix_hash, repeated_windows, runs_of, span_hash, with_keys, word_tokens
+from .common import covered, runs, text_buffer
+from .windows import Hits, mix, prefix_hash, repeated_windows, span_hash, with_keys, word_tokens
 
 WIDTH, ANCHOR = 13, 6
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.string())])
@@ -53,23 +53,43 @@ def recurring_phrases(words: list[tuple[int, ...]], owners: np.ndarray, width: i
 
 
 def locate(group: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
-    """Compile a shard's automaton, stream its stretches through it and keep the occurrences a smaller document owns."""
-    group = group.drop_duplicates(["did", "row", "start", "n"])
-    rows = {"did": [], "row": [], "start": [], "n": []}
+    """Compile a shard's automaton, stream its stretches through it and keep the occurrences a smaller document owns.
+
+    Where all documents with an anchor hold one and the same stretch, the stretch itself is the phrase; elsewhere the
+    phrases are the windows that recur. Equal stretches stream once."""
+    rows: dict[str, list] = {"did": [], "row": [], "start": [], "n": []}
     if len(group):
+        did, anchor = group["did"].to_numpy(np.int64), group["anchor"].to_numpy(np.int64)
+        which, bodies = pd.factorize(group["body"])
+        anchor_of = np.empty(len(bodies), np.int64)
+        anchor_of[which] = anchor
+        low = np.full(len(bodies), np.iinfo(np.int64).max)
+        np.minimum.at(low, which, did)
+        high = np.full(len(bodies), np.iinfo(np.int64).min)
+        np.maximum.at(high, which, did)
+        _, code, texts = np.unique(anchor_of, return_inverse=True, return_counts=True)
+        alone = texts[code] == 1
+        whole = np.flatnonzero(alone & (low < high)).tolist()  # one text, several documents
+        mixed = np.flatnonzero(~alone).tolist()
         numbers: dict[bytes, int] = {}
-        words = [tuple([numbers.setdefault(w, len(numbers)) for w in body.split(b" ")]) for body in group["body"]]
-        phrases, owners = recurring_phrases(words, group["did"].to_numpy(np.int64), width)
+        words = {i: tuple([numbers.setdefault(w, len(numbers)) for w in bodies[i].split(b" ")]) for i in whole + mixed}
+        phrases, owners = [words[i] for i in whole], low[whole].tolist()
+        if mixed:
+            pairs = pd.DataFrame({"body": which, "did": did})
+            pairs = pairs[~alone[which]].drop_duplicates()
+            more, their = recurring_phrases([words[i] for i in pairs["body"].tolist()], pairs["did"].to_numpy(np.int64), width)
+            phrases, owners = phrases + more, owners + their
         if phrases:
             automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
             for phrase, owner in zip(phrases, owners, strict=True):
-                automaton.add_word(phrase, owner)
+                automaton.add_word(phrase, (len(phrase), owner))
             automaton.make_automaton()
-            for did, row, start, sequence in zip(group["did"].tolist(), group["row"].tolist(), group["start"].tolist(), words, strict=True):
-                hits = [end - width + 1 for end, owner in automaton.iter(sequence) if owner < did]
-                if hits:
-                    for first, count in zip(*runs(np.array(hits, np.int64)), strict=True):
-                        for name, value in zip(rows, (did, row, start + int(first), int(count)), strict=True):
+            found = {i: hits for i, sequence in words.items() if (hits := [(end - size + 1, size - width + 1, owner) for end, (size, owner) in automaton.iter(sequence)])}
+            for body, doc, row, start in zip(which.tolist(), did.tolist(), group["row"].tolist(), group["start"].tolist(), strict=True):
+                windows = [w for first, count, owner in found.get(body, ()) if owner < doc for w in range(first, first + count)]
+                if windows:
+                    for first, count in zip(*runs(np.unique(windows)), strict=True) if len(windows) > 1 else ((windows[0], 1),):
+                        for name, value in zip(rows, (doc, row, start + int(first), int(count)), strict=True):
                             rows[name].append(value)
     return pd.DataFrame(rows).astype({"did": "int64", "row": "int64", "start": "int64", "n": "int32"})
 
@@ -77,9 +97,11 @@ def locate(group: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
 def _remove(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {name: [] for name in _OUT.names}
-        for doc_id, row, text, hits in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "row", "text", "hits")), strict=True):
-            words = text.encode().split()
-            starts, counts = runs_of(hits, row)
+        data, offsets = text_buffer(batch.column("text"))
+        hits, at = Hits(batch.column("hits")), offsets.tolist()
+        for i, (doc_id, row) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), strict=True)):
+            words = data[at[i] : at[i + 1]].tobytes().split()
+            starts, counts = hits.of(i, row)
             if len(starts):
                 gone = covered(starts, counts, width, len(words)).tolist()
                 kept = [w for w, g in zip(words, gone, strict=True) if not g]

@@ -21,8 +21,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import covered, runs
-from .windows import byte_tokens, prefix_hash, repeated_windows, runs_of, span_hash, with_keys
+from .common import covered, runs, text_buffer
+from .windows import Hits, byte_tokens, prefix_hash, repeated_windows, span_hash, with_keys
 
 WIDTH, ANCHOR = 50, 24
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -164,7 +164,6 @@ def compare(group: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
 
     Whole stretches are sorted first: all but the smallest document of a class of equal stretches are settled. Of
     stretches that differ, the windows are sorted."""
-    group = group.drop_duplicates(["did", "row", "start", "n"])
     columns = ["did", "row", "start", "n"]
     if not len(group):
         return group[columns]
@@ -191,15 +190,17 @@ def compare(group: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
 def _remove(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {name: [] for name in _OUT.names}
-        for doc_id, row, text, hits in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "row", "text", "hits")), strict=True):
-            body = text.encode()
+        data, offsets = text_buffer(batch.column("text"))
+        hits, at = Hits(batch.column("hits")), offsets.tolist()
+        for i, (doc_id, row) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), strict=True)):
+            body = data[at[i] : at[i + 1]]
             size, spans = len(body), 0
-            starts, counts = runs_of(hits, row)
+            starts, counts = hits.of(i, row)
             if len(starts):
                 gone = covered(starts, counts, width, size)
                 spans = len(runs(np.flatnonzero(gone))[0])
-                body = np.frombuffer(body, np.uint8)[~gone].tobytes()
-            for name, value in zip(out, (doc_id, size, size - len(body), spans, hashlib.sha256(body).hexdigest(), body if keep_text else None), strict=True):
+                body = body[~gone]
+            for name, value in zip(out, (doc_id, size, size - len(body), spans, hashlib.sha256(body).hexdigest(), body.tobytes() if keep_text else None), strict=True):
                 out[name].append(value)
         yield pa.RecordBatch.from_pydict(out, schema=_OUT)
 

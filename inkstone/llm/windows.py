@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -240,17 +241,30 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Ca
         seen: dict[bytes, int] = {}
         did = ids[docs]
         sent = np.fromiter((seen.setdefault(b, i) == i for b, i in zip(bodies, did.tolist(), strict=True)), bool, len(did))
-        key = low.copy()
-        if single.any():
-            key[single] = np.fromiter((hash_bytes(bodies[i]) for i in np.flatnonzero(single)), np.uint64, int(single.sum()))
-        shard = (mix(np.where(sent, key, rows[docs].view(np.uint64))) % U(n_shards)).astype(np.int32)
-        out = pa.RecordBatch.from_arrays(
-            [pa.array(shard), pa.array(key.view(np.int64)), pa.array(did), pa.array(rows[docs]), pa.array(place.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array([b if s else None for b, s in zip(bodies, sent.tolist(), strict=True)], pa.binary())], schema=_SEGMENTS
-        )
+        known = np.flatnonzero(~sent)
+        yield from _settled(docs[known], place[known], count[known], ids, rows, n_shards)
+        docs, place, count, key, did = (x[sent] for x in (docs, place, count, low, did))
+        bodies = [b for b, s in zip(bodies, sent.tolist(), strict=True) if s]
+        lone = np.flatnonzero(single[sent])
+        key[lone] = np.fromiter((hash_bytes(bodies[i]) for i in lone.tolist()), np.uint64, len(lone))
+        shard = (mix(key) % U(n_shards)).astype(np.int32)
+        out = pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key.view(np.int64)), pa.array(did), pa.array(rows[docs]), pa.array(place.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(bodies, pa.binary())], schema=_SEGMENTS)
         for a in range(0, out.num_rows, 50_000):
             yield out.slice(a, 50_000)
 
 
+def _settled(docs: np.ndarray, place: np.ndarray, count: np.ndarray, ids: np.ndarray, rows: np.ndarray, n_shards: int) -> Iterator[pa.RecordBatch]:
+    """Stretches that need no comparison, adjoining ones as one. They pass through the shards without a body."""
+    if not len(docs):
+        return
+    order = np.lexsort((place, docs))
+    docs, place, count = docs[order], place[order], count[order]
+    at = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + count[:-1])])
+    docs, place, count = docs[at], place[at], np.add.reduceat(count, at)
+    shard = (mix(ids[docs].view(np.uint64) * U(_BASE) + place.astype(np.uint64)) % U(n_shards)).astype(np.int32)
+    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.nulls(len(at), pa.int64()), pa.array(ids[docs]), pa.array(rows[docs]), pa.array(place.astype(np.int64)), pa.array(count.astype(np.int32)), pa.nulls(len(at), pa.binary())], schema=_SEGMENTS)
+
+
 def hash_bytes(body: bytes) -> int:
     values = _BYTES[np.frombuffer(body, np.uint8)]
     return int(mix(prefix_hash(values)[-1:])[0])
@@ -268,13 +282,25 @@ def repeated_windows(docs: DataFrame, tokenise: Callable, body_of: Callable, con
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         settled = group["body"].isna().to_numpy()
-        return pd.concat([group.loc[settled, ["did", "row", "start", "n"]], confirm(group[~settled])], ignore_index=True)
+        open_ = group[~settled].reset_index(drop=True).astype({"anchor": "int64"})
+        return pd.concat([group.loc[settled, ["did", "row", "start", "n"]], confirm(open_)], ignore_index=True)
 
     found = stretches.groupBy("shard").applyInPandas(settle, "did long, row long, start long, n int")
     return found.groupBy("did").agg(F.collect_list(F.struct("row", "start", "n")).alias("hits"))
 
 
-def runs_of(hits: np.ndarray | list | None, row: int) -> tuple[np.ndarray, np.ndarray]:
-    own = [(h["start"], h["n"]) for h in hits or [] if h["row"] == row]
-    both = np.array(own, np.int64).reshape(-1, 2)
-    return both[:, 0], both[:, 1]
+class Hits:
+    """The runs of windows of a batch's documents, from its column of arrays of (row, start, n)."""
+
+    def __init__(self, column: pa.Array):
+        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+        self.at = np.r_[0, np.cumsum(size)].tolist()
+        flat = column.flatten()
+        self.row, self.start, self.n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("row", "start", "n"))
+
+    def of(self, i: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first window, number of windows) of the runs in document i whose text has the hash `row`."""
+        part = slice(self.at[i], self.at[i + 1])
+        own = self.row[part] == row
+        return self.start[part][own], self.n[part][own]
