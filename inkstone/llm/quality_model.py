@@ -150,7 +150,7 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     # The sample is bounded by its parameter: some 20,000 ids and labels are broadcast, as many rows of statistics return.
     picked = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").select("id", "y", statistics(F.col("text")).alias("x"))
     local = picked.toPandas().sort_values("id", kind="stable")
-    x = np.array(local["x"].tolist(), np.float64).reshape(len(local), -1)
+    x = np.array(local["x"].tolist(), np.float64).reshape(len(local), -1 if len(local) else 1)
     order = np.lexsort(x.T[::-1]) if len(local) else []
     return grow(x[order], local["y"].to_numpy(np.float64)[order])
 

@@ -65,6 +65,6 @@ def shard(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def write_shards(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
-    """Write the documents as Parquet, one folder for each shard, with all their columns."""
-    labels = shard(documents, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), F.col("shard")).distinct()
+    """Write the documents as Parquet, one folder for each shard (shard=p and its prefix), with all their columns."""
+    labels = shard(documents, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), F.concat(F.lit("p"), "shard").alias("shard")).distinct()
     documents.join(labels, documents[id_col].eqNullSafe(labels["__id"])).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)
