@@ -93,7 +93,8 @@ class Lines(HTMLParser):
         """Close the innermost open element of a name, with all that is open inside it."""
         for at in range(len(self.open) - 1, -1, -1):
             if self.open[at][0] == tag:
-                self.flush()
+                if any(x[0] in BLOCKS for x in self.open[at:]):
+                    self.flush()
                 self.dropped -= sum(x[1] for x in self.open[at:])
                 del self.open[at:]
                 return
