@@ -91,7 +91,7 @@ def locate(group: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
                     for first, count in zip(*runs(np.unique(windows)), strict=True) if len(windows) > 1 else ((windows[0], 1),):
                         for name, value in zip(rows, (doc, row, start + int(first), int(count)), strict=True):
                             rows[name].append(value)
-    return pd.DataFrame(rows).astype({"did": "int64", "row": "int64", "start": "int64", "n": "int32"})
+    return pd.DataFrame(rows).astype({"did": "int64", "row": "int64", "start": "int64", "n": "int64"})
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:

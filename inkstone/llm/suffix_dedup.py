@@ -184,7 +184,7 @@ def compare(group: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
         first = np.flatnonzero(new)
         own = rest[which[first]]
         parts.append(pd.DataFrame({"did": did[own], "row": group["row"].to_numpy(np.int64)[own], "start": group["start"].to_numpy(np.int64)[own] + step[first], "n": np.diff(np.r_[first, len(which)])}))
-    return pd.concat(parts, ignore_index=True).astype({"n": "int32"})
+    return pd.concat(parts, ignore_index=True).astype({"n": "int64"})
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:

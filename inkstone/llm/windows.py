@@ -15,7 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -120,27 +120,46 @@ def batch_anchors(tokens: Callable, bounds: np.ndarray, width: int, k: int) -> I
         at = stop
 
 
-def _pack(values: np.ndarray) -> bytes:
-    """Byte planes, which the shuffle's compression can shrink."""
-    return values.view(np.uint8).reshape(-1, 8).T.tobytes()
+def key48(low: np.ndarray) -> np.ndarray:
+    """48 bits of an anchor. Anchors that share them are candidates of each other, no more: texts decide later."""
+    return mix(low) >> U(16)
 
 
-def _unpack(blob: bytes, dtype: type) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(8, -1).T).reshape(-1).view(dtype)
+def pack(values: np.ndarray) -> bytes:
+    """Byte planes without those that are all zero, which the shuffle's compression can shrink."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width]).tobytes()
 
 
-_SENT = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("anchors", pa.binary()), ("docs", pa.binary())])
+def unpack(blob: bytes) -> np.ndarray:
+    planes = np.frombuffer(blob, np.uint8, offset=1).reshape(blob[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : blob[0]] = planes.T
+    return out.reshape(-1).view(np.uint64)
+
+
+def _shift(ids: np.ndarray) -> np.ndarray:
+    """Signed ids as unsigned numbers of the same order, small for small ids."""
+    return (ids.astype(np.int64).view(np.uint64) << U(1)) ^ np.where(ids < 0, ~U(0), U(0))
+
+
+def _unshift(values: np.ndarray) -> np.ndarray:
+    return ((values >> U(1)) ^ (~(values & U(1)) + U(1))).view(np.int64)
+
+
+_SENT = pa.schema([("bucket", pa.int32()), ("known", pa.bool_()), ("anchors", pa.binary()), ("docs", pa.binary()), ("counts", pa.binary())])
 
 
 def _send(batches: Iterator[pa.RecordBatch], tokenise: Callable, width: int, k: int, n_buckets: int) -> Iterator[pa.RecordBatch]:
-    """For each batch and bucket: each anchor once, with its smallest document; the others of a shared anchor apart."""
+    """For each batch and bucket of anchors: each anchor once, with its smallest document and how many have it. Further
+    documents with an anchor are known to share it; they pass through the bucket of their id."""
     for batch in batches:
         ids = batch.column("did").to_numpy(zero_copy_only=False).astype(np.int64)
         found, owner = [], []
         for docs, _, low in batch_anchors(*tokenise(*text_buffer(batch.column("text"))), width, k):
             if len(low):
                 change = np.r_[True, (low[1:] != low[:-1]) | (docs[1:] != docs[:-1])]
-                found.append(low[change])
+                found.append(key48(low[change]))
                 owner.append(ids[docs[change]])
         if not found:
             continue
@@ -150,62 +169,89 @@ def _send(batches: Iterator[pa.RecordBatch], tokenise: Callable, width: int, k:
         fresh = np.r_[True, (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])]
         low, doc = low[fresh], doc[fresh]
         first = np.r_[True, low[1:] != low[:-1]]
-        more = ~first
-        shared = first & np.r_[~first[1:], False]  # the smallest document of an anchor that others here have too
-        bucket = ((low >> U(32)) * U(n_buckets) >> U(32)).astype(np.int32)
+        counts = np.diff(np.r_[np.flatnonzero(first), len(low)]).astype(np.uint64)
         rows = {name: [] for name in _SENT.names}
-        for known, mask in ((False, first), (True, more | shared)):
-            a, d, b = low[mask], doc[mask], bucket[mask]
-            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(b)) + 1):
+
+        def add(known: bool, a: np.ndarray, d: np.ndarray, c: np.ndarray, bucket: np.ndarray, rows: dict = rows) -> None:
+            for part in np.split(np.arange(len(a)), np.flatnonzero(np.diff(bucket)) + 1):
                 if len(part):
-                    for name, value in zip(_SENT.names, (int(b[part[0]]), known, _pack(np.diff(a[part], prepend=U(0))), _pack(d[part])), strict=True):
+                    for name, value in zip(_SENT.names, (int(bucket[part[0]]), known, pack(np.diff(a[part], prepend=U(0))), pack(_shift(d[part])), pack(c[part])), strict=True):
                         rows[name].append(value)
+
+        scaled = (low[first] >> U(16)) * U(n_buckets) >> U(32)
+        add(False, low[first], doc[first], counts, scaled.astype(np.int32))
+        a, d = low[~first], doc[~first]
+        by = (mix(d.view(np.uint64)) % U(n_buckets)).astype(np.int32)
+        order = np.lexsort((a, by))
+        add(True, a[order], d[order], np.zeros(len(a), np.uint64), by[order])
         yield pa.RecordBatch.from_pydict(rows, schema=_SENT)
 
 
-def _meet(group: pd.DataFrame) -> pd.DataFrame:
-    """Anchors of a bucket that at least two documents have, with these documents."""
-    low = [np.cumsum(_unpack(x, np.uint64)) for x in group["anchors"]]
-    doc = [_unpack(x, np.int64) for x in group["docs"]]
-    known = np.repeat(group["known"].to_numpy(bool), [len(x) for x in low])
-    low, doc = np.concatenate(low), np.concatenate(doc)
-    sure_low, sure_doc = low[known], doc[known]
-    low, doc = low[~known], doc[~known]
-    order = np.lexsort((doc, low))
-    low, doc = low[order], doc[order]
-    if len(low):
-        starts = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-        sizes = np.diff(np.r_[starts, len(low)])
-        many = np.repeat(doc[starts] != doc[starts + sizes - 1], sizes)
-        low, doc = low[many], doc[many]
-    return pd.DataFrame({"did": np.concatenate([doc, sure_doc]), "anchor": np.concatenate([low, sure_low]).view(np.int64)}).drop_duplicates()
+def _meet(group: pd.DataFrame, hot_from: int) -> pd.DataFrame:
+    """Anchors of a bucket that at least two documents have, with these documents; those of very many also without one."""
+    low = [np.cumsum(unpack(x)) for x in group["anchors"]]
+    doc = [_unshift(unpack(x)) for x in group["docs"]]
+    counts = [unpack(x) for x in group["counts"]]
+    known = group["known"].to_numpy(bool)
+    pick = lambda parts, flag, kind: np.concatenate([np.zeros(0, kind), *[x for x, f in zip(parts, known, strict=True) if f == flag]])
+    a, d, c = pick(low, False, np.uint64), pick(doc, False, np.int64), pick(counts, False, np.uint64)
+    order = np.argsort(a, kind="stable")
+    a, d, c = a[order], d[order], c[order]
+    hot = a[:0]
+    if len(a):
+        starts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+        sizes = np.diff(np.r_[starts, len(a)])
+        total = np.add.reduceat(c, starts)
+        many = np.repeat((np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) | (np.maximum.reduceat(c, starts) > 1), sizes)
+        hot = a[starts[total >= hot_from]]
+        a, d = a[many], d[many]
+    anchors = np.r_[a, pick(low, True, np.uint64), hot]
+    none = np.arange(len(anchors)) >= len(anchors) - len(hot)
+    docs = np.r_[d, pick(doc, True, np.int64), np.zeros(len(hot), np.int64)]
+    return pd.DataFrame({"did": pd.arrays.IntegerArray(docs, none), "anchor": (anchors & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)})
 
 
 def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns that the search needs: id, id for comparisons, text and a hash that tells rows of one id apart."""
+    """The columns that the search needs: id, id for comparisons, text and 32 bits that tell rows of one id apart."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), text.alias("text"))
+
+
+#: Anchors that may be hot at once, which bounds what is sent to every task (4 MB), and from how many documents at least.
+MOST_HOT, LEAST_HOT = 1_000_000, 2000
 
 
 def shared_anchors(docs: DataFrame, tokenise: Callable, width: int, k: int, size: int) -> DataFrame:
-    """(did, anchors): of each document the anchors that another document has too. Checkpointed: two readers follow."""
+    """(did, anchors): of each document 32 bits of the anchors that another document has too. The row without an id has
+    the hot ones. An anchor is hot from size / MOST_HOT documents on; texts of `size` bytes have no more anchors than
+    bytes, so at most MOST_HOT can be. Checkpointed: two readers follow."""
     n_buckets = max(shards_for(size, 8 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = docs.select("did", "text").mapInArrow(lambda batches: _send(batches, tokenise, width, k, n_buckets), "bucket int, known boolean, anchors binary, docs binary")
-    met = sent.groupBy("bucket").applyInPandas(_meet, "did long, anchor long")
+    hot_from = max(LEAST_HOT, -(-size // MOST_HOT))
+    sent = docs.select("did", "text").mapInArrow(lambda batches: _send(batches, tokenise, width, k, n_buckets), "bucket int, known boolean, anchors binary, docs binary, counts binary")
+    met = sent.groupBy("bucket").applyInPandas(lambda g: _meet(g, hot_from), "did long, anchor int")
     return cut(met.groupBy("did").agg(F.collect_list("anchor").alias("anchors")))
 
 
-def hot_anchors(shared: DataFrame, least: int = 2000, most: int = 50_000) -> np.ndarray:
-    """Anchors of so many documents that their windows are dealt by their own hash. At most `most` of them can exist,
-    since an anchor is hot from total / most documents on; that bounds what is sent to every task (400 KB)."""
-    total = int(shared.agg(F.sum(F.size("anchors")).alias("n")).first()["n"] or 0)
-    bar = max(least, -(-total // most))
-    counts = shared.select(F.explode("anchors").alias("anchor")).groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= bar)
-    return np.sort(counts.select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64))
+def _short(low: np.ndarray) -> np.ndarray:
+    return (key48(low) & U(0xFFFFFFFF)).astype(np.uint32)
+
+
+_SHIPPED = pa.schema([("shard", pa.int32()), ("meta", pa.list_(pa.binary())), ("body", pa.binary())])
 
 
-_SEGMENTS = pa.schema([("shard", pa.int32()), ("anchor", pa.int64()), ("did", pa.int64()), ("row", pa.int64()), ("start", pa.int64()), ("n", pa.int32()), ("body", pa.binary())])
-SEGMENTS = "shard int, anchor long, did long, row long, start long, n int, body binary"
+def _ship(shard: np.ndarray, columns: list[np.ndarray], bodies: list[bytes] | None) -> Iterator[pa.RecordBatch]:
+    """A row for each shard: the columns packed, the bodies joined and compressed."""
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [c[order] for c in columns]
+    ends = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)]
+    press = zstandard.ZstdCompressor(level=1)
+    for low in range(0, len(ends) - 1, 256):
+        rows: dict[str, list] = {name: [] for name in _SHIPPED.names}
+        for a, b in zip(ends[low : low + 256].tolist(), ends[low + 1 : low + 257].tolist(), strict=False):
+            rows["shard"].append(int(shard[a]))
+            rows["meta"].append([pack(c[a:b]) for c in columns])
+            rows["body"].append(None if bodies is None else press.compress(b"".join([bodies[i] for i in order[a:b].tolist()])))
+        yield pa.RecordBatch.from_pydict(rows, schema=_SHIPPED)
 
 
 def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Callable, width: int, k: int, hot: np.ndarray, n_shards: int) -> Iterator[pa.RecordBatch]:
@@ -217,18 +263,18 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Ca
         rows = batch.column("row").to_numpy(zero_copy_only=False).astype(np.int64)
         wanted = batch.column("anchors")
         wanted = wanted.combine_chunks() if isinstance(wanted, pa.ChunkedArray) else wanted
-        wanted = np.unique(wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+        wanted = np.unique(wanted.flatten().to_numpy(zero_copy_only=False).astype(np.int32).view(np.uint32))
         if not len(wanted):
             continue
         tokens, bounds = tokenise(data, offsets)
         parts = []
         for docs, place, low in batch_anchors(tokens, bounds, width, k):
-            spot = np.minimum(np.searchsorted(wanted, low), len(wanted) - 1)
-            keep = wanted[spot] == low
-            docs, place, low = docs[keep], place[keep], low[keep]
+            short = _short(low)
+            keep = wanted[np.minimum(np.searchsorted(wanted, short), len(wanted) - 1)] == short
+            docs, place, low, short = docs[keep], place[keep], low[keep], short[keep]
             if not len(low):
                 continue
-            single = hot[np.minimum(np.searchsorted(hot, low), len(hot) - 1)] == low if len(hot) else np.zeros(len(low), bool)
+            single = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short if len(hot) else np.zeros(len(low), bool)
             new = np.r_[True, (low[1:] != low[:-1]) | (docs[1:] != docs[:-1]) | (np.diff(place) != 1)] | single
             at = np.flatnonzero(new)
             parts.append((docs[at], place[at], np.diff(np.r_[at, len(low)]), low[at], single[at]))
@@ -241,28 +287,46 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Ca
         seen: dict[bytes, int] = {}
         did = ids[docs]
         sent = np.fromiter((seen.setdefault(b, i) == i for b, i in zip(bodies, did.tolist(), strict=True)), bool, len(did))
+        del seen
         known = np.flatnonzero(~sent)
-        yield from _settled(docs[known], place[known], count[known], ids, rows, n_shards)
+        if len(known):
+            yield from _ship(*_joined(docs[known], place[known], count[known], ids, rows, n_shards), None)
         docs, place, count, key, did = (x[sent] for x in (docs, place, count, low, did))
         bodies = [b for b, s in zip(bodies, sent.tolist(), strict=True) if s]
         lone = np.flatnonzero(single[sent])
         key[lone] = np.fromiter((hash_bytes(bodies[i]) for i in lone.tolist()), np.uint64, len(lone))
-        shard = (mix(key) % U(n_shards)).astype(np.int32)
-        out = pa.RecordBatch.from_arrays([pa.array(shard), pa.array(key.view(np.int64)), pa.array(did), pa.array(rows[docs]), pa.array(place.astype(np.int64)), pa.array(count.astype(np.int32)), pa.array(bodies, pa.binary())], schema=_SEGMENTS)
-        for a in range(0, out.num_rows, 50_000):
-            yield out.slice(a, 50_000)
+        key = mix(key)
+        columns = [_shift(did), rows[docs].view(np.uint64), place.astype(np.uint64), count.astype(np.uint64), key & U(0xFFFFFFFF), np.fromiter(map(len, bodies), np.uint64, len(bodies))]
+        yield from _ship(((key >> U(32)) % U(n_shards)).astype(np.int32), columns, bodies)
 
 
-def _settled(docs: np.ndarray, place: np.ndarray, count: np.ndarray, ids: np.ndarray, rows: np.ndarray, n_shards: int) -> Iterator[pa.RecordBatch]:
-    """Stretches that need no comparison, adjoining ones as one. They pass through the shards without a body."""
-    if not len(docs):
-        return
+def _joined(docs: np.ndarray, place: np.ndarray, count: np.ndarray, ids: np.ndarray, rows: np.ndarray, n_shards: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """(shard, columns) of stretches that need no comparison, adjoining ones as one. They pass through the shards."""
     order = np.lexsort((place, docs))
     docs, place, count = docs[order], place[order], count[order]
     at = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + count[:-1])])
     docs, place, count = docs[at], place[at], np.add.reduceat(count, at)
-    shard = (mix(ids[docs].view(np.uint64) * U(_BASE) + place.astype(np.uint64)) % U(n_shards)).astype(np.int32)
-    yield pa.RecordBatch.from_arrays([pa.array(shard), pa.nulls(len(at), pa.int64()), pa.array(ids[docs]), pa.array(rows[docs]), pa.array(place.astype(np.int64)), pa.array(count.astype(np.int32)), pa.nulls(len(at), pa.binary())], schema=_SEGMENTS)
+    shard = (mix(ids[docs].view(np.uint64)) % U(n_shards)).astype(np.int32)
+    return shard, [_shift(ids[docs]), rows[docs].view(np.uint64), place.astype(np.uint64), count.astype(np.uint64)]
+
+
+def _opened(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(settled stretches, stretches to compare) of a shard's rows."""
+    names = ["did", "row", "start", "n", "anchor", "size"]
+    settled, open_ = [], []
+    for meta, body in zip(group["meta"], group["body"], strict=True):
+        columns = [unpack(x) for x in meta]
+        frame = dict(zip(names, columns, strict=False)) | {"did": _unshift(columns[0])}
+        if body is not None:
+            text, ends = zstandard.ZstdDecompressor().decompress(body), np.cumsum(frame.pop("size")).astype(np.int64).tolist()
+            frame["body"] = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        (settled if body is None else open_).append(pd.DataFrame(frame))
+    kinds = {"did": "int64", "row": "int64", "start": "int64", "n": "int64"}
+    empty = pd.DataFrame({c: [] for c in kinds})
+    return pd.concat(settled or [empty], ignore_index=True).astype(kinds), pd.concat(open_ or [empty.assign(anchor=[], body=[])], ignore_index=True).astype(kinds | {"anchor": "int64"})
+
+
+_HIT = np.dtype([("row", "<u4"), ("n", "<u4"), ("start", "<u8")])
 
 
 def hash_bytes(body: bytes) -> int:
@@ -271,36 +335,38 @@ def hash_bytes(body: bytes) -> int:
 
 
 def repeated_windows(docs: DataFrame, tokenise: Callable, body_of: Callable, confirm: Callable[[pd.DataFrame], pd.DataFrame], width: int, k: int) -> DataFrame:
-    """(did, hits): the runs (row, start, n) of windows that also start in a document with a smaller id.
+    """(did, hits): the runs (row, n, start) of windows that also start in a document with a smaller id, as packed records.
 
     `confirm` gets a shard's stretches with their whole text and decides on the text itself."""
     size = int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
     shared = shared_anchors(docs, tokenise, width, k, size)
-    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(shared))
+    hot = [a for r in shared.where("did is null").toLocalIterator() for a in r["anchors"]]
+    hot = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(hot, np.int32).view(np.uint32)))
     n_shards = max(shards_for(size, 3 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    stretches = docs.join(shared, "did").select("doc_id", "did", "row", "text", "anchors").mapInArrow(lambda b: _segments(b, tokenise, body_of, width, k, hot.value, n_shards), SEGMENTS)
+    stretches = docs.join(shared, "did").select("doc_id", "did", "row", "text", "anchors").mapInArrow(lambda b: _segments(b, tokenise, body_of, width, k, hot.value, n_shards), "shard int, meta array<binary>, body binary")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
-        settled = group["body"].isna().to_numpy()
-        open_ = group[~settled].reset_index(drop=True).astype({"anchor": "int64"})
-        return pd.concat([group.loc[settled, ["did", "row", "start", "n"]], confirm(open_)], ignore_index=True)
+        settled, open_ = _opened(group)
+        found = pd.concat([settled, confirm(open_)], ignore_index=True).sort_values("did", kind="stable")
+        hits = np.zeros(len(found), _HIT)
+        for name in _HIT.names:
+            hits[name] = found[name]
+        did = found["did"].to_numpy(np.int64)
+        cuts = np.r_[0, np.flatnonzero(np.diff(did)) + 1, len(did)] if len(did) else np.zeros(1, np.int64)
+        return pd.DataFrame({"did": did[cuts[:-1]], "hits": [hits[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]})
 
-    found = stretches.groupBy("shard").applyInPandas(settle, "did long, row long, start long, n int")
-    return found.groupBy("did").agg(F.collect_list(F.struct("row", "start", "n")).alias("hits"))
+    found = stretches.groupBy("shard").applyInPandas(settle, "did long, hits binary")
+    return found.groupBy("did").agg(F.collect_list("hits").alias("hits"))
 
 
 class Hits:
-    """The runs of windows of a batch's documents, from its column of arrays of (row, start, n)."""
+    """The runs of windows of a batch's documents, from its column of arrays of packed records."""
 
     def __init__(self, column: pa.Array):
-        column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-        size = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
-        self.at = np.r_[0, np.cumsum(size)].tolist()
-        flat = column.flatten()
-        self.row, self.start, self.n = (flat.field(x).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("row", "start", "n"))
+        self.rows = column.to_pylist()
 
     def of(self, i: int, row: int) -> tuple[np.ndarray, np.ndarray]:
         """(first window, number of windows) of the runs in document i whose text has the hash `row`."""
-        part = slice(self.at[i], self.at[i + 1])
-        own = self.row[part] == row
-        return self.start[part][own], self.n[part][own]
+        hits = np.frombuffer(b"".join(self.rows[i] or ()), _HIT)
+        hits = hits[hits["row"] == row]
+        return hits["start"].astype(np.int64), hits["n"].astype(np.int64)

@@ -88,7 +88,7 @@ def test_bytes_against_brute_force(spark):
 def test_hot_anchors_are_dealt_by_window(spark, monkeypatch, operator, expect, n):
     from inkstone.llm import windows
 
-    monkeypatch.setattr(windows, "hot_anchors", lambda shared, f=windows.hot_anchors: f(shared, least=2))
+    monkeypatch.setattr(windows, "LEAST_HOT", 2)
     rows = planted(6)
     got = operator(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
     assert order(r[:n] for r in got) == order(expect(rows))
