@@ -3,8 +3,9 @@
 Words become templates: numbers turn into <num>, a unit after a number into <unit>, a capitalised word inside a sentence
 into <name>; other words are lower-cased and lose the punctuation around them. Windows of 8 template words are hashed and
 joined with the benchmark's. A re-parameterised question matches as its template, so the slots are checked: a value of
-the item must stand for one value of the document; windows that say otherwise don't count. A document leaks an item when
-the consistent windows cover at least a quarter of the item's windows.
+the item must stand for one value of the document within an occurrence of the item (windows at one distance from the
+item's own positions); windows that say otherwise don't count. A document leaks an item when the consistent windows of all
+its occurrences cover at least a quarter of the item's windows.
 
 All documents' windows are joined with the benchmark's by hash; slots are then read from the documents that met any. What
 is broadcast is counted first and has at most 200,000 rows; a larger side is shuffled.
@@ -18,6 +19,8 @@ item. Extra columns are ignored (`decontaminate` keeps them).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,17 +104,18 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     some, _ = _bounded(met)
     found = docs.join(some, "key", "left_semi").select("doc_id", F.explode(windows(F.col("text"))).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
     sides, _ = _bounded(items)
-    hits = found.join(sides, "h").select("doc_id", "item_id", "item_pos", "pos", "item_slots", "slots").distinct()
+    hits = found.join(sides, "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "item_slots", "slots").distinct()
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"].isNotNull())
-    hits = cut(hits.select("doc_id", "item_id", "item_pos", F.transform(pairs, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("pairs")))
-    # A slot's value is the one that most windows give it; ties go to the smaller one.
-    votes = hits.select("doc_id", "item_id", F.explode("pairs").alias("p")).groupBy("doc_id", "item_id", F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
-    chosen = votes.groupBy("doc_id", "item_id", "a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b"))
-    slots = chosen.groupBy("doc_id", "item_id").agg(F.collect_set(F.struct("a", "b")).alias("slots_of"))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "item_id")]
-    judged = hits.alias("l").join(slots.alias("r"), same[0] & same[1], "left").select("l.doc_id", "l.item_id", "item_pos", "pairs", F.coalesce("slots_of", F.array().cast("array<struct<a:string,b:string>>")).alias("slots_of"))
+    hits = cut(hits.select("doc_id", "item_id", "at", "item_pos", F.transform(pairs, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("pairs")))
+    # A slot's value is the one that most windows of the occurrence give it; ties go to the smaller one.
+    same_place = ["doc_id", "item_id", "at"]
+    votes = hits.select(*same_place, F.explode("pairs").alias("p")).groupBy(*same_place, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    chosen = votes.groupBy(*same_place, "a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b"))
+    slots = chosen.groupBy(*same_place).agg(F.collect_set(F.struct("a", "b")).alias("slots_of"))
+    same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in same_place])
+    judged = hits.alias("l").join(slots.alias("r"), same, "left").select(*[f"l.{c}" for c in same_place], "item_pos", "pairs", F.coalesce("slots_of", F.array().cast("array<struct<a:string,b:string>>")).alias("slots_of"))
     good = judged.where(F.size(F.array_except("pairs", "slots_of")) == 0)
-    counts = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.max(F.size("slots_of")).cast("long").alias("n_slots"))
+    counts = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set(F.col("slots_of")["a"])))).cast("long").alias("n_slots"))
     return counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).where(F.col("n_windows") >= least_share * F.col("item_windows")).select("doc_id", "l.item_id", "n_windows", "item_windows", "n_slots")
 
 

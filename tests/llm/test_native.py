@@ -131,6 +131,16 @@ def test_decontamination(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5, 6, 7]
 
 
+def test_two_variants_of_an_item_in_one_document(spark):
+    item = "today Anna pays 10 coins for apples while Boris pays 20 coins for pears and Clara pays 30 coins for plums before Dana goes home"
+    one = item.replace("10", "11").replace("20", "21").replace("30", "31").replace("Boris", "Petra").replace("Clara", "Quinn").replace("Dana", "Rosa")
+    two = item.replace("10", "12").replace("20", "22").replace("30", "32").replace("Boris", "Simon").replace("Clara", "Tilda").replace("Dana", "Ulla")
+    docs = spark.createDataFrame([(1, f"so {one}"), (2, f"so {one}. so {two}"), (3, f"so {two}. so {item}. so {one}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.leaks(docs, spark.createDataFrame([(5, item)], "item_id long, text string")).collect()}
+    assert got[1].n_windows == got[2].n_windows == got[3].n_windows == got[1].item_windows
+    assert got[1].n_slots == got[2].n_slots == got[3].n_slots
+
+
 def test_slots_must_agree(spark):
     item = "start 10 alpha beta gamma delta epsilon zeta eta theta iota 10 kappa lambda mu nu xi omicron pi rho 10 sigma tau upsilon phi chi psi omega"
     good, bad = item.replace("10", "77"), item.replace("10", "77", 1).replace("10", "88", 1)
