@@ -12,8 +12,9 @@ is broadcast is counted first and has at most 200,000 rows; a larger side is shu
 
 Defined cases: null and empty texts have no windows and never leak. Items or documents shorter than a window have none
 either. Windows with fewer than four plain words prove nothing and are left out on both sides. Repeated items are the
-same item; repeated documents are reported once an id. Documents without an id are reported with a null id, one row an
-item. Extra columns are ignored (`decontaminate` keeps them).
+same item. A row is known by the hash of its id and text, and each row is judged by itself: rows that share an id, or have
+none, neither add up nor go with one another. The report has one row for an id (or null) and an item, that of the row with
+most windows. Extra columns are ignored (`decontaminate` keeps them).
 """
 
 from __future__ import annotations
@@ -92,34 +93,45 @@ def _bounded(df: DataFrame) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if few else df), few
 
 
+def _row_key(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col), F.col(text_col))
+
+
 def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """One row for each leaked item of a document: doc_id, item_id, n_windows, item_windows, n_slots."""
+    rows = row_leaks(documents, benchmark, id_col, text_col, item_col, item_text_col, least_share)
+    most = rows.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", "n_slots")).alias("most"), F.max("item_windows").alias("item_windows"))
+    return most.select("doc_id", "item_id", "most.n_windows", "item_windows", "most.n_slots")
+
+
+def row_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
+    """`leaks` of each row by itself, with its key."""
     made = benchmark.select(F.col(item_col).alias("item_id"), F.explode(windows(F.col(item_text_col))).alias("x")).select("item_id", F.col("x.pos").alias("item_pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("item_slots"))
     items = cut(made.distinct())
     sizes, _ = _bounded(items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows")))
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("key"))
     # First the documents with any window of the benchmark; slots are read from these alone.
     known, _ = _bounded(items.select("h").distinct())
     met = cut(docs.select("key", F.explode(window_hashes(F.col("text"))).alias("h")).join(known, "h", "left_semi").select("key").distinct())
     some, _ = _bounded(met)
-    found = docs.join(some, "key", "left_semi").select("doc_id", F.explode(windows(F.col("text"))).alias("x")).select("doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
+    found = docs.join(some, "key", "left_semi").select("key", "doc_id", F.explode(windows(F.col("text"))).alias("x")).select("key", "doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
     sides, _ = _bounded(items)
-    hits = found.join(sides, "h").select("doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "item_slots", "slots").distinct()
+    hits = found.join(sides, "h").select("key", "doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "item_slots", "slots").distinct()
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"].isNotNull())
-    hits = cut(hits.select("doc_id", "item_id", "at", "item_pos", F.transform(pairs, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("pairs")))
+    hits = cut(hits.select("key", "doc_id", "item_id", "at", "item_pos", F.transform(pairs, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("pairs")))
     # A slot's value is the one that most windows of the occurrence give it; ties go to the smaller one.
-    same_place = ["doc_id", "item_id", "at"]
+    same_place = ["key", "item_id", "at"]
     votes = hits.select(*same_place, F.explode("pairs").alias("p")).groupBy(*same_place, F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
     chosen = votes.groupBy(*same_place, "a").agg(F.min_by("b", F.struct(-F.col("n"), F.col("b"))).alias("b"))
     slots = chosen.groupBy(*same_place).agg(F.collect_set(F.struct("a", "b")).alias("slots_of"))
     same = reduce(and_, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in same_place])
-    judged = hits.alias("l").join(slots.alias("r"), same, "left").select(*[f"l.{c}" for c in same_place], "item_pos", "pairs", F.coalesce("slots_of", F.array().cast("array<struct<a:string,b:string>>")).alias("slots_of"))
+    judged = hits.alias("l").join(slots.alias("r"), same, "left").select("doc_id", *[f"l.{c}" for c in same_place], "item_pos", "pairs", F.coalesce("slots_of", F.array().cast("array<struct<a:string,b:string>>")).alias("slots_of"))
     good = judged.where(F.size(F.array_except("pairs", "slots_of")) == 0)
-    counts = good.groupBy("doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set(F.col("slots_of")["a"])))).cast("long").alias("n_slots"))
-    return counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).where(F.col("n_windows") >= least_share * F.col("item_windows")).select("doc_id", "l.item_id", "n_windows", "item_windows", "n_slots")
+    counts = good.groupBy("key", "doc_id", "item_id").agg(F.countDistinct("item_pos").alias("n_windows"), F.size(F.array_distinct(F.flatten(F.collect_set(F.col("slots_of")["a"])))).cast("long").alias("n_slots"))
+    return counts.alias("l").join(sizes.alias("r"), F.col("l.item_id").eqNullSafe(F.col("r.item_id"))).where(F.col("n_windows") >= least_share * F.col("item_windows")).select("key", "doc_id", "l.item_id", "n_windows", "item_windows", "n_slots")
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    bad = leaks(documents, benchmark, id_col, text_col, least_share=least_share).select(F.col("doc_id").alias("__bad")).distinct()
-    return documents.join(bad, documents[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+    bad = row_leaks(documents, benchmark, id_col, text_col, least_share=least_share).select(F.col("key").alias("__bad")).distinct()
+    return documents.join(bad, _row_key(id_col, text_col) == F.col("__bad"), "left_anti")

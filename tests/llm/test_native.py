@@ -141,6 +141,19 @@ def test_two_variants_of_an_item_in_one_document(spark):
     assert got[1].n_slots == got[2].n_slots == got[3].n_slots
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    other = "this sentence is about something else entirely and shares no long run of words with any of the items here at all"
+    parts = [" ".join(ITEM.split()[a : a + 10]) for a in (0, 3, 6, 9, 12)]
+    rows = [*[(None, f"{x}. {other}") for x in parts], *[(7, f"{x}. {other}") for x in parts], (None, other), (8, other), (8, ITEM), (None, None), (8, None)]
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    sizes = {r.item_windows for r in decontaminate.leaks(table(spark, rows), bench).collect()}
+    assert len(sizes) == 1 and 3 < 0.25 * max(sizes)
+    assert {r.doc_id for r in decontaminate.leaks(table(spark, rows), bench).collect()} == {8}
+    order = lambda r: [str(x) for x in r]
+    kept = decontaminate.decontaminate(table(spark, [*rows, (None, ITEM)]), bench).collect()
+    assert sorted(([r.doc_id, r.text] for r in kept), key=order) == sorted(([i, t] for i, t in rows if t != ITEM), key=order)
+
+
 def test_slots_must_agree(spark):
     item = "start 10 alpha beta gamma delta epsilon zeta eta theta iota 10 kappa lambda mu nu xi omicron pi rho 10 sigma tau upsilon phi chi psi omega"
     good, bad = item.replace("10", "77"), item.replace("10", "77", 1).replace("10", "88", 1)
