@@ -23,7 +23,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
@@ -68,13 +68,14 @@ def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[p
                 counts += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
                 low += 65536
             out[row] = np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(out.view(np.int64))], names=["doc_id", "fp"])
+        kept = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], pa.array(out.view(np.int64))], names=[*kept, "fp"])
 
 
-def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): the SimHash of each document as a signed long."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return docs.mapInArrow(lambda b: _fingerprints(b, shingle), "doc_id long, fp long")
+def fingerprints(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, **longs: Column) -> DataFrame:
+    """(doc_id, fp): the SimHash of each document as a signed long; `longs` are columns between them."""
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), *[c.alias(k) for k, c in longs.items()], F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.mapInArrow(lambda b: _fingerprints(b, shingle), ", ".join(f"{c} long" for c in ("doc_id", *longs, "fp")))
 
 
 def _near(fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -165,12 +166,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Data
     return found.unionByName(second).distinct()
 
 
+def _components(owners: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, owner, component) of the distinct fingerprints with their owners."""
+    parts = connected_components(links(owners.select("fp"), radius))
+    return owners.join(parts, owners["fp"] == parts["node"], "left").select("fp", "owner", F.coalesce("component", "fp").alias("component"))
+
+
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, fp, component_id (the smallest id it reaches through links of at most `radius` bits)."""
     prints = cut(fingerprints(documents, id_col, text_col, shingle))
-    owners = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner")))
-    parts = connected_components(links(owners.select("fp"), radius))
-    joined = owners.join(parts, owners["fp"] == parts["node"], "left").select("fp", "owner", F.coalesce("component", "fp").alias("component"))
+    joined = _components(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner"))), radius)
     lowest = joined.groupBy("component").agg(F.min("owner").alias("component_id"))
     labels = joined.join(lowest, "component").select("fp", "component_id")
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
@@ -183,6 +188,12 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One document of each group, the one with the smallest id, with its own columns. Rows without an id stay."""
-    groups = simhash_groups(documents, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return documents.join(groups, documents[id_col] == groups["__gone"], "left_anti")
+    """One row of each group, with its own columns: the one with the smallest id (none sorts last), then the smallest hash of
+    id and text; of rows equal in both, any one."""
+    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    prints = fingerprints(documents, id_col, text_col, key=key)
+    owners = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("owner")))
+    winners = _components(owners).groupBy("component").agg(F.min("owner").alias("owner")).select(F.col("owner.key").alias("__key"))
+    # Equal rows are reduced before they are shuffled.
+    rows = documents.withColumn("__key", key).dropDuplicates(["__key"])
+    return rows.join(winners, "__key", "left_semi").select(*documents.columns)

@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from inkstone.llm import simhash
 from inkstone.llm.substring_dedup import dedup_words
@@ -233,3 +234,12 @@ def test_keep_one_keeps_the_smallest(spark):
     want = {c for _, _, c in brute_groups(rows)}
     assert {r.doc_id for r in kept if r.doc_id is not None} == {x for x in want if x is not None}
     assert kept[0].__fields__ == [x.split()[0] for x in SCHEMA.split(", ")]
+
+
+def test_keep_one_with_repeated_and_null_ids(spark):
+    texts = [" ".join(f"{x}{i}" for i in range(80)) for x in ("alpha", "beta", "gamma")]
+    rows = [(5, texts[0]), (5, texts[0]), (None, texts[0]), (9, texts[0]), (None, texts[1]), (None, texts[1]), (None, texts[1]), (5, texts[2]), (4, texts[2]), (4, texts[2])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("extra", F.lit("x"))
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(5, texts[0]), (None, texts[1]), (4, texts[2])], key=str)
