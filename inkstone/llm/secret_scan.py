@@ -44,7 +44,8 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    # The header, the fields of an encrypted key, the key itself (line ends may be written as \\n) and the END line, if any.
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x20\x09-\x0D\\nr]*(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]*){0,2}[A-Za-z0-9+/=\\\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
 )
 BASE = ("assign", "access", "hex")
 #: Documents in a block of the index.

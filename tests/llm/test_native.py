@@ -114,6 +114,20 @@ def test_redact(spark):
     assert texts[1] is None and texts[13] == "𝒳𝒳 [secret]" and texts[5] == "é✓ [secret] ü [secret]" and texts[12].endswith("see [secret]")
 
 
+def test_a_whole_private_key_is_found_and_masked(spark):
+    body = "\n".join("MIIEpAIBAAKCAQEA" + "aB3+/xYz" * 6 for _ in range(20)) + "\nQ0==\n"
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"
+    whole = f"-----BEGIN RSA PRIVATE KEY-----\n{body}-----END RSA PRIVATE KEY-----"
+    locked = whole.replace("MIIE", fields + "MIIE", 1)
+    rows = [(1, f"before {whole} after, and {whole}."), (2, f"before {locked} after"), (3, "before " + whole.replace("\n", "\\n") + " after"), (4, f"before {whole[:300]}")]
+    docs = table(spark, rows)
+    masked = {r.doc_id: r.text for r in secret_scan.redact(docs).collect()}
+    assert masked == {1: "before [secret] after, and [secret].", 2: "before [secret] after", 3: "before [secret] after", 4: "before [secret]"}
+    spans = {r.doc_id: r.spans for r in secret_scan.scan(docs).collect()}
+    assert f"private_key:7:{7 + len(whole)}" in spans[1].split(",")
+    assert f"private_key:7:{7 + len(locked)}" in spans[2].split(",")
+
+
 ITEM = "If a Train leaves Paris at 9 with 120 people and each of the wagons holds 40 of them how many wagons does Marie count"
 
 
