@@ -1,9 +1,9 @@
 """Operator 2: substring dedup over bytes with a hash-compared suffix sort.
 
 Stretches of windows that may recur meet in shards (`windows`). There they are suffixes of one buffer: prefix polynomial
-hashes and a binary search give the common extension of two suffixes in a logarithmic number of steps, a mergesort orders
-the suffixes of an anchor by it, and neighbours that agree on the whole width are compared byte by byte, so a collision of
-hashes cannot join different texts. A byte goes if a 50-byte string that covers it also starts in a document with a
+hashes and a binary search give the common extension of two suffixes in a logarithmic number of steps, and a mergesort
+orders the suffixes of an anchor by it. The order brings equal strings together: suffixes whose common extension reaches
+the whole width are compared on their bytes, so a collision of hashes cannot join different texts. A byte goes if a 50-byte string that covers it also starts in a document with a
 smaller id; strings are judged on the input, overlaps count and matches never cross documents.
 
 Defined cases: null and empty texts and texts shorter than the width keep every byte. Repeated rows of one id do not count
@@ -17,12 +17,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import covered, runs, text_buffer
-from .windows import Hits, byte_tokens, prefix_hash, repeated_windows, span_hash, with_keys
+from .windows import Shard, byte_tokens, hits_of, prefix_hash, repeated_windows, smaller_owners, span_hash, with_keys
 
 WIDTH, ANCHOR = 50, 24
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -41,10 +40,17 @@ class Suffixes:
     def __init__(self, data: np.ndarray):
         self.data = data
         self.prefix = prefix_hash(_VALUES[data])
+        padded = np.r_[data, np.zeros(8, np.uint8)]
+        #: The eight bytes that start at each place, the first one in the highest bits.
+        self.eight = np.ndarray(len(data) + 1, ">u8", padded, 0, (1,)).astype(np.uint64)
 
     def extension(self, a: np.ndarray, b: np.ndarray, most: np.ndarray) -> np.ndarray:
-        """Length of the common extension of the suffixes at a and b, up to `most`: binary search over hash equality."""
+        """Length of the common extension of the suffixes at a and b, up to `most`: binary search over hash equality. The
+        whole length is tried first."""
         low, high = np.zeros(len(a), np.int64), most.astype(np.int64)
+        whole = span_hash(self.prefix, a, a + high) == span_hash(self.prefix, b, b + high)
+        low[whole] = high[whole]
+        high[~whole] -= 1
         while len(live := np.flatnonzero(low < high)):
             middle = (low[live] + high[live] + 1) >> 1
             x, y = a[live], b[live]
@@ -53,149 +59,136 @@ class Suffixes:
             high[live[~same]] = middle[~same] - 1
         return low
 
-    def less(self, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, or_equal: bool) -> np.ndarray:
-        """Whether the suffix at a (of length la) comes before the one at b, or equals it if asked."""
+    def order(self, a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray) -> np.ndarray:
+        """-1, 0 or 1 as the suffix at a (of length la) comes before, equals or follows the one at b. Suffixes that agree on
+        their whole length by hash are compared on their bytes; should these differ, they decide."""
         most = np.minimum(la, lb)
         same = self.extension(a, b, most)
-        inside = same < most
+        full = np.flatnonzero(same == most)
+        same[full] = self.verified(a[full], b[full], most[full])
         last = len(self.data) - 1
-        smaller = self.data[np.minimum(a + same, last)] < self.data[np.minimum(b + same, last)]
-        return np.where(inside, smaller, (la <= lb) if or_equal else (la < lb))
-
-    def sort(self, group: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Stable order by group (an ascending array) and, within it, by suffix: bottom-up mergesort, all groups at once."""
-        n = len(group)
-        order = np.arange(n)
-        if not n:
-            return order
-        first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
-        size = np.diff(np.r_[first, n])
-        base, total = np.repeat(first, size), np.repeat(size, size)
-        width = 1
-        while width < size.max():
-            live = np.flatnonzero(total > width)
-            inner = live - base[live]
-            own = inner // width * width
-            right = (inner // width) % 2 == 1
-            other = np.where(right, own - width, own + width)
-            low = np.minimum(other, total[live])
-            high = np.minimum(other + width, total[live])
-            start = low.copy()
-            item, shift = order[live], base[live]
-            while len(open_ := np.flatnonzero(low < high)):  # how many of the sibling run come first
-                middle = (low[open_] + high[open_]) >> 1
-                probe, mine = order[shift[open_] + middle], item[open_]
-                goes = np.empty(len(open_), bool)
-                for side in (False, True):  # a right item follows equal left ones; a left item goes before equal right ones
-                    part = right[open_] == side
-                    goes[part] = self.less(at[probe[part]], length[probe[part]], at[mine[part]], length[mine[part]], side)
-                low[open_[goes]] = middle[goes] + 1
-                high[open_[~goes]] = middle[~goes]
-            place = shift + np.minimum(own, other) + (inner - own) + (low - start)
-            merged = order.copy()
-            merged[place] = item
-            order = merged
-            width *= 2
-        return order
-
-    def equal(self, a: np.ndarray, b: np.ndarray, la: np.ndarray, lb: np.ndarray) -> np.ndarray:
-        """Equality of whole suffixes on the bytes themselves, checked only where the hashes agree."""
-        same = la == lb
-        same[same] = span_hash(self.prefix, a[same], a[same] + la[same]) == span_hash(self.prefix, b[same], b[same] + lb[same])
-        left = np.flatnonzero(same)
-        for step in range(int(la[left].max(initial=0))):
-            live = left[step < la[left]]
-            wrong = live[self.data[a[live] + step] != self.data[b[live] + step]]
+        x, y = self.data[np.minimum(a + same, last)].astype(np.int64), self.data[np.minimum(b + same, last)].astype(np.int64)
+        return np.sign(np.where(same < most, x - y, la - lb))
+
+    def verified(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """How far the bytes agree, up to `length`: eight at a time, the last eight again where they don't come out even."""
+        out, live = length.copy(), np.arange(len(a))
+        step = 0
+        while len(live := live[step < length[live]]):
+            size = np.minimum(length[live], 8)
+            from_ = np.minimum(step, length[live] - size)
+            differ = (self.eight[a[live] + from_] ^ self.eight[b[live] + from_]) >> (8 * (8 - size)).astype(np.uint64)
+            wrong = np.flatnonzero(differ)
             if len(wrong):
-                same[wrong] = False
-                left = left[same[left]]
-        return same
-
-    def classes(self, group: np.ndarray, at: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """Number of each item's class of equal suffixes within its group."""
-        by = np.argsort(group, kind="stable")
-        order = by[self.sort(group[by], at[by], length[by])]
-        x, y = order[:-1], order[1:]
-        same = group[x] == group[y]
-        same[same] = self.equal(at[x[same]], at[y[same]], length[x[same]], length[y[same]])
-        number = np.empty(len(order), np.int64)
-        number[order] = np.cumsum(np.r_[True, ~same]) - 1 if len(order) else []
-        return number
-
-
-def _smallest(number: np.ndarray, did: np.ndarray) -> np.ndarray:
+                bits = np.array([x.bit_length() for x in differ[wrong].tolist()])
+                out[live[wrong]] = from_[wrong] + size[wrong] - (bits + 7) // 8
+                live = np.delete(live, wrong)
+            step += 8
+        return out
+
+    def classes(self, group: np.ndarray, at: np.ndarray, length: np.ndarray, most: int = 1 << 19) -> np.ndarray:
+        """For each item an item of its group with the same suffix, one and the same for all equal ones.
+
+        Suffixes are dealt by group and first eight bytes; a mergesort orders each deal by extension. Suffixes that prove
+        equal in a merge become one, so runs hold different suffixes only. Large inputs are merged a piece at a time."""
+        lead = np.where(length >= 8, self.eight[at], self.eight[at] & ~(~np.uint64(0) >> np.minimum(8 * length, 63).astype(np.uint64)))
+        parent = np.arange(len(at))
+        order = np.lexsort((lead, group))
+        same = (group[order][1:] == group[order][:-1]) & (lead[order][1:] == lead[order][:-1])
+        deal = np.cumsum(np.r_[True, ~same]) - 1 if len(order) else order
+        twice = np.r_[False, same] | np.r_[same, False] if len(order) else np.zeros(0, bool)
+        order, deal = order[twice], deal[twice]
+        pieces = range(0, len(order), most)
+        if len(pieces) > 1:
+            left = [self.merge(order[low : low + most], deal[low : low + most], at, length, parent) for low in pieces]
+            order = np.concatenate([x for x, _ in left])
+            deal = np.concatenate([x for _, x in left])
+        self.merge(order, deal, at, length, parent)
+        while True:  # an item's parent may have got one later
+            up = parent[parent]
+            if np.array_equal(up, parent):
+                return parent
+            parent = up
+
+    def merge(self, order: np.ndarray, deal: np.ndarray, at: np.ndarray, length: np.ndarray, parent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bottom-up mergesort within deals (ascending), all runs of a level at once. Returns the different items that are
+        left, in order, with their deals; the others have got an equal one as parent."""
+        n = len(order)
+        first = np.r_[True, deal[1:] != deal[:-1]] if n else np.zeros(0, bool)
+        begins = np.flatnonzero(first)
+        run = np.arange(n) - np.repeat(begins, np.diff(np.r_[begins, n]))  # number of an item's run within its deal
+        while len(order) and run.max(initial=0) > 0:
+            new = np.r_[True, (deal[1:] != deal[:-1]) | (run[1:] != run[:-1])]
+            begin = np.flatnonzero(new)
+            size = np.diff(np.r_[begin, len(order)])
+            number = np.cumsum(new) - 1
+            right = run % 2 == 1
+            pair = number + np.where(right, -1, 1)
+            inside = (pair >= 0) & (pair < len(begin))
+            pair = np.where(inside, pair, 0)
+            inside &= (deal[begin[pair]] == deal) & (run[begin[pair]] // 2 == run // 2)
+            own = np.arange(len(order)) - begin[number]
+            low, high, shift = np.zeros(len(order), np.int64), np.where(inside, size[pair], 0), begin[pair]
+            twin = np.full(len(order), -1)  # the equal item of the sibling run
+            while len(live := np.flatnonzero(low < high)):
+                middle = (low[live] + high[live]) >> 1
+                probe, mine = order[shift[live] + middle], order[live]
+                sign = self.order(at[probe], length[probe], at[mine], length[mine])
+                low[live[sign < 0]] = middle[sign < 0] + 1
+                high[live[sign > 0]] = middle[sign > 0]
+                equal = live[sign == 0]
+                low[equal] = high[equal] = middle[sign == 0]
+                twin[equal] = probe[sign == 0]
+            gone = right & (twin >= 0)
+            parent[order[gone]] = twin[gone]
+            place = np.where(right & inside, shift, begin[number]) + own + low + gone
+            merged, kept = np.empty_like(order), np.empty(len(order), bool)
+            merged[place], kept[place] = order, ~gone
+            deals, runs_ = np.empty_like(deal), np.empty_like(run)
+            deals[place], runs_[place] = deal, run // 2
+            order, deal, run = merged[kept], deals[kept], runs_[kept]
+        return order, deal
+
+
+def _lowest(parent: np.ndarray, did: np.ndarray) -> np.ndarray:
     """The smallest document of each item's class."""
-    low = np.full(int(number.max(initial=-1)) + 1, np.iinfo(np.int64).max)
-    np.minimum.at(low, number, did)
-    return low[number]
+    low = np.full(len(parent), np.iinfo(np.int64).max)
+    np.minimum.at(low, parent, did)
+    return low[parent]
 
 
-def _windows(anchor: np.ndarray, at: np.ndarray, n: np.ndarray, did: np.ndarray, suffixes: Suffixes, width: int, most: int = 1 << 19) -> np.ndarray:
-    """Mask, over all windows of the stretches in their order, of those that a smaller document holds."""
-    out = np.zeros(int(n.sum()), bool)
-    which = np.repeat(np.arange(len(n)), n)
+def compare(shard: Shard, top: int, width: int = WIDTH) -> list[np.ndarray]:
+    """Of a shard's stretches, the windows that a smaller document (with an id, so `top` at most) holds too, as runs.
+
+    Whole stretches are sorted first, so that equal ones become one; then the suffixes at all windows of the different ones.
+    Neighbours in that order whose common extension has the whole width are equal windows."""
+    length = np.fromiter(map(len, shard.texts), np.int64, len(shard.texts))
+    at = np.cumsum(length) - length
+    suffixes = Suffixes(np.frombuffer(b"".join(shard.texts), np.uint8))
+    owner = np.full(len(at), np.iinfo(np.int64).max)
+    real = shard.did <= top
+    np.minimum.at(owner, shard.body[real], shard.did[real])
+    same = suffixes.classes(shard.anchor, at, length)
+    whole = _lowest(same, owner)
+    own = np.flatnonzero(same == np.arange(len(same)))  # one stretch for each class
+    n = shard.n[own]
+    which = np.repeat(own, n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
     place = at[which] + step
-    key = span_hash(suffixes.prefix, place, place + width)  # deals equal windows to one sort; the sort decides
-    order = np.argsort(key, kind="stable")
-    sizes_from = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
-    sizes = np.diff(np.r_[sizes_from, len(order)])
-    keep = np.repeat(sizes > 1, sizes)
-    order = order[keep]
-    for a, b in _slices(np.repeat(np.arange(len(sizes)), sizes)[keep], most):
-        part = order[a:b]
-        number = suffixes.classes(key[part], place[part], np.full(len(part), width, np.int64))
-        out[part] = _smallest(number, did[which[part]]) < did[which[part]]
-    return out
-
-
-def _slices(group: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Cut an array of ascending groups into pieces of some `most` items that leave groups whole."""
-    start = 0
-    while start < len(group):
-        stop = len(group) if start + most >= len(group) else int(np.searchsorted(group, group[start + most], side="left"))
-        stop = stop if stop > start else int(np.searchsorted(group, group[start], side="right"))
-        yield start, stop
-        start = stop
-
-
-def compare(group: pd.DataFrame, width: int = WIDTH) -> pd.DataFrame:
-    """Of a shard's stretches, the windows that a smaller document holds too, as runs.
-
-    Whole stretches are sorted first: all but the smallest document of a class of equal stretches are settled. Of
-    stretches that differ, the windows are sorted."""
-    columns = ["did", "row", "start", "n"]
-    if not len(group):
-        return group[columns]
-    length = group["body"].map(len).to_numpy(np.int64)
-    at = np.cumsum(length) - length
-    suffixes = Suffixes(np.frombuffer(b"".join(group["body"]), np.uint8))
-    did, anchor, n = group["did"].to_numpy(np.int64), group["anchor"].to_numpy(np.int64), group["n"].to_numpy(np.int64)
-    number = suffixes.classes(anchor, at, length)
-    settled = _smallest(number, did) < did
-    rest = np.flatnonzero(~settled)
-    rest = rest[np.argsort(did[rest], kind="stable")]
-    found = _windows(anchor[rest], at[rest], n[rest], did[rest], suffixes, width)
-    parts = [group.loc[settled, columns]]
-    if found.any():
-        which = np.repeat(np.arange(len(rest)), n[rest])[found]
-        step = (np.arange(len(found)) - np.repeat(np.cumsum(n[rest]) - n[rest], n[rest]))[found]
-        new = np.r_[True, (which[1:] != which[:-1]) | (np.diff(step) != 1)]
-        first = np.flatnonzero(new)
-        own = rest[which[first]]
-        parts.append(pd.DataFrame({"did": did[own], "row": group["row"].to_numpy(np.int64)[own], "start": group["start"].to_numpy(np.int64)[own] + step[first], "n": np.diff(np.r_[first, len(which)])}))
-    return pd.concat(parts, ignore_index=True).astype({"n": "int64"})
+    parent = suffixes.classes(shard.anchor[which], place, np.full(len(place), width, np.int64))
+    held = np.zeros(len(at), np.int64)
+    held[own] = np.cumsum(n) - n
+    return smaller_owners(held[same], shard, _lowest(parent, whole[which]))
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         out = {name: [] for name in _OUT.names}
         data, offsets = text_buffer(batch.column("text"))
-        hits, at = Hits(batch.column("hits")), offsets.tolist()
-        for i, (doc_id, row) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("row").to_pylist(), strict=True)):
+        at = offsets.tolist()
+        for i, (doc_id, (starts, counts)) in enumerate(zip(batch.column("doc_id").to_pylist(), hits_of(batch), strict=True)):
             body = data[at[i] : at[i + 1]]
             size, spans = len(body), 0
-            starts, counts = hits.of(i, row)
             if len(starts):
                 gone = covered(starts, counts, width, size)
                 spans = len(runs(np.flatnonzero(gone))[0])
@@ -207,6 +200,6 @@ def _remove(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> I
 
 def dedup_bytes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, anchor: int = ANCHOR, keep_text: bool = True) -> DataFrame:
     """Documents without the bytes of repeated strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256, (if asked) kept."""
-    docs = with_keys(documents, id_col, text_col)
-    hits = repeated_windows(docs, byte_tokens, _bodies, lambda g: compare(g, width), width, anchor)
-    return docs.join(hits, "did", "left").select("doc_id", "row", "text", "hits").mapInArrow(lambda b: _remove(b, width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    keyed = with_keys(documents, id_col, text_col)
+    hits = repeated_windows(keyed, byte_tokens, _bodies, lambda shard, top: compare(shard, top, width), width, anchor)
+    return keyed.docs.join(hits, ["did", "row"], "left").select("doc_id", "text", "hits").mapInArrow(lambda b: _remove(b, width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -4,13 +4,19 @@ A window is W consecutive tokens (words or bytes) of a document. Two equal windo
 same smallest k-gram hash, the window's *anchor*. Only anchors travel: some 2 / (W - k + 2) of all positions. A window can
 recur only if its anchor occurs in at least two documents; every other window is settled without being compared.
 
+Windows with one anchor that follow one another are a *stretch*, of at most W - k + 1 windows, so texts that repeat a few
+tokens for ever fall into equal stretches.
+
 Skew: within an Arrow batch an anchor is sent once, for its smallest document; its other documents are known to share it
-and only pass through. A group holds at most one entry of each batch, however common the anchor is.
+and only pass through. A group holds at most one entry of each batch, however common the anchor is. A stretch is sent with
+its text once for a batch; further documents with it have a smaller document beside them and are settled there. Rows
+without an id have keys of their own behind all ids.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -23,6 +29,7 @@ from .common import NO_ID, cut, shards_for, text_buffer
 
 U = np.uint64
 _BASE, _MULT = 0x9E3779B97F4A7C15, U(0xD6E8FEB86659FD93)
+_INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.Generator(np.random.PCG64(20240917)).integers(1, 1 << 63, 256, dtype=np.uint64) | U(1)
 #: Tokens handled at a time, which bounds the memory whatever the length of a text.
 PIECE = 1 << 17
@@ -52,7 +59,7 @@ def prefix_hash(values: np.ndarray) -> np.ndarray:
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Polynomial hash of values[start:stop], independent of the place."""
-    inverse = _power(pow(_BASE, -1, 1 << 64), len(prefix))
+    inverse = _power(_INVERSE, len(prefix))
     return (prefix[stop] - prefix[start]) * inverse[start]
 
 
@@ -211,10 +218,24 @@ def _meet(group: pd.DataFrame, hot_from: int) -> pd.DataFrame:
     return pd.DataFrame({"did": pd.arrays.IntegerArray(docs, none), "anchor": (anchors & U(0xFFFFFFFF)).astype(np.uint32).view(np.int32)})
 
 
-def with_keys(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The columns that the search needs: id, id for comparisons, text and 32 bits that tell rows of one id apart."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("did"), F.xxhash64(text).bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), text.alias("text"))
+@dataclass(frozen=True)
+class Keyed:
+    """Documents with the columns that the search needs: doc_id, did (the key of comparisons), row (32 bits that tell rows
+    of one id apart) and text; the bytes of all texts; and the largest id. Keys above it belong to rows without an id."""
+
+    docs: DataFrame
+    size: int
+    top: int
+
+
+def with_keys(docs: DataFrame, id_col: str, text_col: str) -> Keyed:
+    """A row without an id gets a key above all ids, from the hash of its text. One pass finds the largest id."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    known = rows.agg(F.sum(F.octet_length("text")).alias("n"), F.max("doc_id").alias("top")).first()
+    top = min(NO_ID - 1, max(0, known["top"] or 0))
+    hashed = F.xxhash64("text")
+    own = F.lit(top + 1) + F.pmod(hashed, F.lit(NO_ID - top))
+    return Keyed(rows.select("doc_id", F.coalesce("doc_id", own).alias("did"), hashed.bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), "text"), int(known["n"] or 0), top)
 
 
 #: Anchors that may be hot at once, which bounds what is sent to every task (4 MB), and from how many documents at least.
@@ -229,13 +250,16 @@ def shared_anchors(docs: DataFrame, tokenise: Callable, width: int, k: int, size
     hot_from = max(LEAST_HOT, -(-size // MOST_HOT))
     sent = docs.select("did", "text").mapInArrow(lambda batches: _send(batches, tokenise, width, k, n_buckets), "bucket int, known boolean, anchors binary, docs binary, counts binary")
     met = sent.groupBy("bucket").applyInPandas(lambda g: _meet(g, hot_from), "did long, anchor int")
-    return cut(met.groupBy("did").agg(F.collect_list("anchor").alias("anchors")))
+    # A set: repeated rows of one id say the same in every batch.
+    return cut(met.groupBy("did").agg(F.collect_set("anchor").alias("anchors")))
 
 
 def _short(low: np.ndarray) -> np.ndarray:
     return (key48(low) & U(0xFFFFFFFF)).astype(np.uint32)
 
 
+#: A run of windows travels as one number: its start and, in the low bits, its length. Longer runs are cut.
+RUN_BITS, LONGEST = 22, 1 << 20
 _SHIPPED = pa.schema([("shard", pa.int32()), ("meta", pa.list_(pa.binary())), ("body", pa.binary())])
 
 
@@ -254,9 +278,9 @@ def _ship(shard: np.ndarray, columns: list[np.ndarray], bodies: list[bytes] | No
         yield pa.RecordBatch.from_pydict(rows, schema=_SHIPPED)
 
 
-def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Callable, width: int, k: int, hot: np.ndarray, n_shards: int) -> Iterator[pa.RecordBatch]:
-    """The stretches of windows with one shared anchor. A text that several documents of a batch hold is sent once, for
-    the smallest; the others' windows are settled at once and carry no body."""
+def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Callable, width: int, k: int, hot: np.ndarray, top: int, n_shards: int) -> Iterator[pa.RecordBatch]:
+    """The stretches with shared anchors. The text of a stretch is sent once for a batch, with all places of the smallest
+    document that holds it (of all documents, where none has an id); other documents' windows are settled at once."""
     for batch in batches:
         data, offsets = text_buffer(batch.column("text"))
         ids = batch.column("did").to_numpy(zero_copy_only=False).astype(np.int64)
@@ -276,6 +300,8 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Ca
                 continue
             single = hot[np.minimum(np.searchsorted(hot, short), len(hot) - 1)] == short if len(hot) else np.zeros(len(low), bool)
             new = np.r_[True, (low[1:] != low[:-1]) | (docs[1:] != docs[:-1]) | (np.diff(place) != 1)] | single
+            since = np.arange(len(new)) - np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))
+            new |= since % (width - k + 1) == 0
             at = np.flatnonzero(new)
             parts.append((docs[at], place[at], np.diff(np.r_[at, len(low)]), low[at], single[at]))
         if not parts:
@@ -285,17 +311,21 @@ def _segments(batches: Iterator[pa.RecordBatch], tokenise: Callable, body_of: Ca
         docs, place, count, low, single = docs[order], place[order], count[order], low[order], single[order]
         bodies = body_of(data, offsets, bounds, docs, place, place + count + width - 1)
         seen: dict[bytes, int] = {}
-        did = ids[docs]
-        sent = np.fromiter((seen.setdefault(b, i) == i for b, i in zip(bodies, did.tolist(), strict=True)), bool, len(did))
+        first = np.fromiter((seen.setdefault(b, i) for i, b in enumerate(bodies)), np.int64, len(bodies))
         del seen
-        known = np.flatnonzero(~sent)
+        did = ids[docs]
+        settled = (did[first] <= top) & (did[first] < did)
+        known = np.flatnonzero(settled)
         if len(known):
             yield from _ship(*_joined(docs[known], place[known], count[known], ids, rows, n_shards), None)
-        docs, place, count, key, did = (x[sent] for x in (docs, place, count, low, did))
-        bodies = [b for b, s in zip(bodies, sent.tolist(), strict=True) if s]
-        lone = np.flatnonzero(single[sent])
+        sent = np.flatnonzero(~settled)
+        sent = sent[np.argsort(first[sent], kind="stable")]  # the places of one text follow one another
+        docs, place, count, key, did, first, single = (x[sent] for x in (docs, place, count, low, did, first, single))
+        lead = first == sent
+        bodies = [bodies[i] if own else b"" for i, own in zip(sent.tolist(), lead.tolist(), strict=True)]
+        lone = np.flatnonzero(single & lead)
         key[lone] = np.fromiter((hash_bytes(bodies[i]) for i in lone.tolist()), np.uint64, len(lone))
-        key = mix(key)
+        key = mix(key[np.maximum.accumulate(np.where(lead, np.arange(len(lead)), 0))])
         columns = [_shift(did), rows[docs].view(np.uint64), place.astype(np.uint64), count.astype(np.uint64), key & U(0xFFFFFFFF), np.fromiter(map(len, bodies), np.uint64, len(bodies))]
         yield from _ship(((key >> U(32)) % U(n_shards)).astype(np.int32), columns, bodies)
 
@@ -304,29 +334,47 @@ def _joined(docs: np.ndarray, place: np.ndarray, count: np.ndarray, ids: np.ndar
     """(shard, columns) of stretches that need no comparison, adjoining ones as one. They pass through the shards."""
     order = np.lexsort((place, docs))
     docs, place, count = docs[order], place[order], count[order]
-    at = np.flatnonzero(np.r_[True, (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + count[:-1])])
+    new = np.r_[True, (docs[1:] != docs[:-1]) | (place[1:] != place[:-1] + count[:-1])]
+    before = np.cumsum(count) - count
+    length = (before - np.maximum.accumulate(np.where(new, before, 0))) // LONGEST
+    at = np.flatnonzero(new | np.r_[False, length[1:] != length[:-1]])
     docs, place, count = docs[at], place[at], np.add.reduceat(count, at)
     shard = (mix(ids[docs].view(np.uint64)) % U(n_shards)).astype(np.int32)
     return shard, [_shift(ids[docs]), rows[docs].view(np.uint64), place.astype(np.uint64), count.astype(np.uint64)]
 
 
-def _opened(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """(settled stretches, stretches to compare) of a shard's rows."""
-    names = ["did", "row", "start", "n", "anchor", "size"]
-    settled, open_ = [], []
-    for meta, body in zip(group["meta"], group["body"], strict=True):
-        columns = [unpack(x) for x in meta]
-        frame = dict(zip(names, columns, strict=False)) | {"did": _unshift(columns[0])}
-        if body is not None:
-            text, ends = zstandard.ZstdDecompressor().decompress(body), np.cumsum(frame.pop("size")).astype(np.int64).tolist()
-            frame["body"] = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
-        (settled if body is None else open_).append(pd.DataFrame(frame))
-    kinds = {"did": "int64", "row": "int64", "start": "int64", "n": "int64"}
-    empty = pd.DataFrame({c: [] for c in kinds})
-    return pd.concat(settled or [empty], ignore_index=True).astype(kinds), pd.concat(open_ or [empty.assign(anchor=[], body=[])], ignore_index=True).astype(kinds | {"anchor": "int64"})
+@dataclass
+class Shard:
+    """The stretches of a shard that are to be compared: text number `body[i]` of `texts` starts with window `start[i]` of
+    document `did[i]`, row `row[i]`, and has `n` windows; texts with one anchor may be equal."""
 
+    did: np.ndarray
+    row: np.ndarray
+    start: np.ndarray
+    body: np.ndarray
+    n: np.ndarray
+    anchor: np.ndarray
+    texts: list[bytes]
 
-_HIT = np.dtype([("row", "<u4"), ("n", "<u4"), ("start", "<u8")])
+
+def _opened(group: pd.DataFrame) -> tuple[list[np.ndarray], Shard]:
+    """(did, row, start, n of settled stretches; stretches to compare) of a shard's rows."""
+    settled: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 4]
+    parts: list[list[np.ndarray]] = [[np.zeros(0, np.int64)] * 6]
+    texts: list[bytes] = []
+    for meta, body in zip(group["meta"], group["body"], strict=True):
+        columns = [unpack(x) for x in meta]
+        columns = [_unshift(columns[0]), *[x.astype(np.int64) for x in columns[1:]]]
+        if body is None:
+            settled.append(columns)
+            continue
+        lead = columns[5] > 0
+        parts.append([*columns[:5], np.cumsum(lead) - 1 + len(texts)])
+        text, ends = zstandard.ZstdDecompressor().decompress(body), np.cumsum(columns[5][lead]).tolist()
+        texts += [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+    did, row, start, n, anchor, which = (np.concatenate(x) for x in zip(*parts, strict=True))
+    head = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(which) else which
+    return [np.concatenate(x) for x in zip(*settled, strict=True)], Shard(did, row, start, which, n[head], anchor[head], texts)
 
 
 def hash_bytes(body: bytes) -> int:
@@ -334,39 +382,45 @@ def hash_bytes(body: bytes) -> int:
     return int(mix(prefix_hash(values)[-1:])[0])
 
 
-def repeated_windows(docs: DataFrame, tokenise: Callable, body_of: Callable, confirm: Callable[[pd.DataFrame], pd.DataFrame], width: int, k: int) -> DataFrame:
-    """(did, hits): the runs (row, n, start) of windows that also start in a document with a smaller id, as packed records.
+def repeated_windows(keyed: Keyed, tokenise: Callable, body_of: Callable, confirm: Callable[[Shard, int], list[np.ndarray]], width: int, k: int) -> DataFrame:
+    """(did, row, hits): of each document the runs of windows that also start in a document with a smaller id.
 
-    `confirm` gets a shard's stretches with their whole text and decides on the text itself."""
-    size = int(docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0)
-    shared = shared_anchors(docs, tokenise, width, k, size)
+    `confirm` gets a shard's stretches with their whole text and the largest id, decides on the text itself and returns
+    (did, row, start, n) of runs of windows."""
+    docs, top = keyed.docs, keyed.top
+    shared = shared_anchors(docs, tokenise, width, k, keyed.size)
     hot = [a for r in shared.where("did is null").toLocalIterator() for a in r["anchors"]]
     hot = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(hot, np.int32).view(np.uint32)))
-    n_shards = max(shards_for(size, 3 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    stretches = docs.join(shared, "did").select("doc_id", "did", "row", "text", "anchors").mapInArrow(lambda b: _segments(b, tokenise, body_of, width, k, hot.value, n_shards), "shard int, meta array<binary>, body binary")
+    n_shards = max(shards_for(keyed.size, 3 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    stretches = docs.join(shared, "did").select("did", "row", "text", "anchors").mapInArrow(lambda b: _segments(b, tokenise, body_of, width, k, hot.value, top, n_shards), "shard int, meta array<binary>, body binary")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         settled, open_ = _opened(group)
-        found = pd.concat([settled, confirm(open_)], ignore_index=True).sort_values("did", kind="stable")
-        hits = np.zeros(len(found), _HIT)
-        for name in _HIT.names:
-            hits[name] = found[name]
-        did = found["did"].to_numpy(np.int64)
-        cuts = np.r_[0, np.flatnonzero(np.diff(did)) + 1, len(did)] if len(did) else np.zeros(1, np.int64)
-        return pd.DataFrame({"did": did[cuts[:-1]], "hits": [hits[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]})
-
-    found = stretches.groupBy("shard").applyInPandas(settle, "did long, hits binary")
-    return found.groupBy("did").agg(F.collect_list("hits").alias("hits"))
-
-
-class Hits:
-    """The runs of windows of a batch's documents, from its column of arrays of packed records."""
-
-    def __init__(self, column: pa.Array):
-        self.rows = column.to_pylist()
-
-    def of(self, i: int, row: int) -> tuple[np.ndarray, np.ndarray]:
-        """(first window, number of windows) of the runs in document i whose text has the hash `row`."""
-        hits = np.frombuffer(b"".join(self.rows[i] or ()), _HIT)
-        hits = hits[hits["row"] == row]
-        return hits["start"].astype(np.int64), hits["n"].astype(np.int64)
+        did, row, start, n = (np.concatenate(x) for x in zip(settled, confirm(open_, top), strict=True))
+        return pd.DataFrame({"did": did, "row": row, "run": start << RUN_BITS | n})
+
+    found = stretches.groupBy("shard").applyInPandas(settle, "did long, row long, run long")
+    return found.groupBy("did", "row").agg(F.collect_set("run").alias("hits"))
+
+
+def hits_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(first window, number of windows) of each document's runs."""
+    column = batch.column("hits")
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    offsets, flat, valid = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
+    for a, b, own in zip(offsets[:-1].tolist(), offsets[1:].tolist(), valid.tolist(), strict=True):
+        values = flat[a:b] if own else flat[:0]
+        yield values >> RUN_BITS, values & ((1 << RUN_BITS) - 1)
+
+
+def smaller_owners(held: np.ndarray, shard: Shard, lowest: np.ndarray) -> list[np.ndarray]:
+    """(did, row, start, n) of the runs of windows whose smallest document (`lowest`, for each window of each text, the texts'
+    windows one after the other; `held`: the first of each text) is smaller than the document that holds them."""
+    n = shard.n[shard.body]
+    which = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    found = lowest[held[shard.body][which] + step] < shard.did[which]
+    which, step = which[found], step[found]
+    first = np.flatnonzero(np.r_[True, (which[1:] != which[:-1]) | (np.diff(step) != 1)]) if len(which) else which
+    own = which[first]
+    return [shard.did[own], shard.row[own], shard.start[own] + step[first], np.diff(np.r_[first, len(which)])]

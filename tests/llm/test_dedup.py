@@ -126,20 +126,34 @@ def test_suffix_sort_orders_like_python():
     suffixes = Suffixes(np.frombuffer(data, np.uint8))
     at, length = np.array([rng.randrange(2900) for _ in range(500)]), np.array([rng.randint(1, 90) for _ in range(500)])
     group = np.sort(np.array([rng.randrange(7) for _ in range(500)]))
-    got = suffixes.sort(group, at, length).tolist()
-    assert got == sorted(range(500), key=lambda i: (group[i], data[at[i] : at[i] + length[i]]))
-    number = suffixes.classes(group, at, length)
-    same = {}
-    for i in range(500):
-        same.setdefault((group[i], data[at[i] : at[i] + length[i]]), set()).add(int(number[i]))
-    assert all(len(x) == 1 for x in same.values()) and len(same) == len(set(number.tolist()))
+    key = [(int(g), data[a : a + n]) for g, a, n in zip(group, at, length, strict=True)]
+    parent = np.arange(500)
+    left, deal = suffixes.merge(np.arange(500), group, at, length, parent)
+    assert [key[i] for i in left] == sorted(set(key)) and deal.tolist() == group[left].tolist()
+    for most in (1 << 19, 64):  # whole, and a piece at a time
+        number = suffixes.classes(group, at, length, most)
+        same = {}
+        for i in range(500):
+            same.setdefault(key[i], set()).add(int(number[i]))
+        assert all(len(x) == 1 for x in same.values()) and len(same) == len(set(number.tolist()))
+
+
+@pytest.mark.parametrize(("operator", "expect", "n"), [(dedup_words, expect_words, 4), (dedup_bytes, expect_bytes, 5)])
+def test_many_rows_without_id_and_periodic_texts(spark, operator, expect, n):
+    rng = random.Random(8)
+    passage = " ".join("".join(rng.choices("abc", k=4)) for _ in range(40))
+    rows = [(None, f"x{i} {passage} y{i}") for i in range(60)] + [(None, "same text " * 9)] * 40 + [(7, passage), (3, "ab " * 5000), (4, "b ab " + "ab " * 4000), (5, "same text " * 5), (6, "abcdefg " * 900), (9, "efg abcdefg " + "abcdefg " * 700)]
+    got = operator(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert order(r[:n] for r in got) == order(expect(rows))
 
 
 def test_colliding_hashes_do_not_join_texts():
     suffixes = Suffixes(np.frombuffer(b"abcd" * 10 + b"abce" * 10, np.uint8))
     suffixes.prefix = np.zeros_like(suffixes.prefix)  # every hash collides
-    assert not suffixes.equal(np.array([0]), np.array([40]), np.array([8]), np.array([8]))[0]
-    assert suffixes.equal(np.array([0]), np.array([4]), np.array([8]), np.array([8]))[0]
+    for size in (8, 3, 15):
+        a, n = np.array([0]), np.array([size])
+        assert suffixes.order(a, n, np.array([40]), n)[0] == (-1 if size > 3 else 0)
+        assert suffixes.order(a, n, np.array([4]), n)[0] == 0
 
 
 def brute_fingerprint(text) -> int:
