@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import covered, runs, text_buffer
-from .windows import Shard, hits_of, mix, prefix_hash, repeated_windows, smaller_owners, span_hash, with_keys, word_tokens
+from .windows import Shard, hits_of, mix, prefix_hash, repeated_windows, smaller_owners, span_hash, with_hits, with_keys, word_tokens
 
 WIDTH, ANCHOR = 13, 6
 #: Numbers that a character can stand for: those beyond the first plane.
@@ -114,4 +114,4 @@ def dedup_words(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Documents without the words of repeated passages: doc_id, n_words, n_removed, kept_sha256 and (if asked) kept."""
     keyed = with_keys(documents, id_col, text_col)
     hits = repeated_windows(keyed, word_tokens, _bodies, lambda shard, top: locate(shard, top, width), width, anchor)
-    return keyed.docs.join(hits, ["did", "row"], "left").select("doc_id", "text", "hits").mapInArrow(lambda b: _remove(b, width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
+    return with_hits(keyed, hits).mapInArrow(lambda b: _remove(b, width, keep_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import covered, runs, text_buffer
-from .windows import Shard, byte_tokens, hits_of, prefix_hash, repeated_windows, smaller_owners, span_hash, with_keys
+from .windows import Shard, byte_tokens, hits_of, prefix_hash, repeated_windows, smaller_owners, span_hash, with_hits, with_keys
 
 WIDTH, ANCHOR = 50, 24
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
@@ -202,4 +202,4 @@ def dedup_bytes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Documents without the bytes of repeated strings: doc_id, n_bytes, n_removed, n_spans, kept_sha256, (if asked) kept."""
     keyed = with_keys(documents, id_col, text_col)
     hits = repeated_windows(keyed, byte_tokens, _bodies, lambda shard, top: compare(shard, top, width), width, anchor)
-    return keyed.docs.join(hits, ["did", "row"], "left").select("doc_id", "text", "hits").mapInArrow(lambda b: _remove(b, width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return with_hits(keyed, hits).mapInArrow(lambda b: _remove(b, width, keep_text), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -235,7 +235,8 @@ def with_keys(docs: DataFrame, id_col: str, text_col: str) -> Keyed:
     top = min(NO_ID - 1, max(0, known["top"] or 0))
     hashed = F.xxhash64("text")
     own = F.lit(top + 1) + F.pmod(hashed, F.lit(NO_ID - top))
-    return Keyed(rows.select("doc_id", F.coalesce("doc_id", own).alias("did"), hashed.bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), "text"), int(known["n"] or 0), top)
+    # The last value never counts; it says that keys aren't null, so that no filter sets the two uses of the rows apart.
+    return Keyed(rows.select("doc_id", F.coalesce("doc_id", own, F.lit(NO_ID)).alias("did"), hashed.bitwiseAND(F.lit(0xFFFFFFFF)).alias("row"), "text"), int(known["n"] or 0), top)
 
 
 #: Anchors that may be hot at once, which bounds what is sent to every task (4 MB), and from how many documents at least.
@@ -392,15 +393,24 @@ def repeated_windows(keyed: Keyed, tokenise: Callable, body_of: Callable, confir
     hot = [a for r in shared.where("did is null").toLocalIterator() for a in r["anchors"]]
     hot = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(hot, np.int32).view(np.uint32)))
     n_shards = max(shards_for(keyed.size, 3 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    stretches = docs.join(shared, "did").select("did", "row", "text", "anchors").mapInArrow(lambda b: _segments(b, tokenise, body_of, width, k, hot.value, top, n_shards), "shard int, meta array<binary>, body binary")
+    # All columns of docs, though doc_id isn't needed: the exchange is the one that with_hits reads.
+    stretches = docs.join(shared, "did").select("doc_id", "did", "row", "text", "anchors").mapInArrow(lambda b: _segments(b, tokenise, body_of, width, k, hot.value, top, n_shards), "shard int, meta array<binary>, body binary")
 
     def settle(group: pd.DataFrame) -> pd.DataFrame:
         settled, open_ = _opened(group)
         did, row, start, n = (np.concatenate(x) for x in zip(settled, confirm(open_, top), strict=True))
-        return pd.DataFrame({"did": did, "row": row, "run": start << RUN_BITS | n})
+        order = np.argsort(did, kind="stable")  # neighbours that share bytes compress
+        return pd.DataFrame({"did": did[order], "row": row[order], "run": (start << RUN_BITS | n)[order]})
 
     found = stretches.groupBy("shard").applyInPandas(settle, "did long, row long, run long")
-    return found.groupBy("did", "row").agg(F.collect_set("run").alias("hits"))
+    return found.repartition("did").groupBy("did", "row").agg(F.collect_set("run").alias("hits"))
+
+
+def with_hits(keyed: Keyed, hits: DataFrame) -> DataFrame:
+    """(doc_id, text, hits) of all documents. Both sides are dealt by did alone, as they are already; the few rows of one id
+    are told apart behind the join."""
+    told = hits.select(F.col("did").alias("of"), F.col("row").alias("of_row"), "hits")
+    return keyed.docs.join(told, (F.col("did") == F.col("of")) & (F.col("row").bitwiseXOR(F.col("of_row")) == 0), "left").select("doc_id", "did", "row", "text", "hits")
 
 
 def hits_of(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
