@@ -23,7 +23,9 @@ from pyspark.sql import DataFrame
 from .common import covered, runs, text_buffer
 from .windows import Shard, byte_tokens, hits_of, prefix_hash, repeated_windows, smaller_owners, span_hash, with_hits, with_keys
 
-WIDTH, ANCHOR = 50, 24
+WIDTH, ANCHOR = 50, 20
+#: Windows that are sorted at a time.
+BLOCK = 1 << 17
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 _VALUES = np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
@@ -171,14 +173,27 @@ def compare(shard: Shard, top: int, width: int = WIDTH) -> list[np.ndarray]:
     same = suffixes.classes(shard.anchor, at, length)
     whole = _lowest(same, owner)
     own = np.flatnonzero(same == np.arange(len(same)))  # one stretch for each class
+    own = own[np.argsort(shard.anchor[own], kind="stable")]
     n = shard.n[own]
-    which = np.repeat(own, n)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    place = at[which] + step
-    parent = suffixes.classes(shard.anchor[which], place, np.full(len(place), width, np.int64))
-    held = np.zeros(len(at), np.int64)
-    held[own] = np.cumsum(n) - n
-    return smaller_owners(held[same], shard, _lowest(parent, whole[which]))
+    held, before = np.zeros(len(at), np.int64), np.r_[0, np.cumsum(n)]
+    held[own] = before[:-1]
+    lowest = np.empty(before[-1], np.int64)
+    for low, high in _blocks(shard.anchor[own], before, BLOCK):
+        which = np.repeat(own[low:high], n[low:high])
+        place = at[which] + np.arange(len(which)) - np.repeat(before[low:high] - before[low], n[low:high])
+        parent = suffixes.classes(shard.anchor[which], place, np.full(len(place), width, np.int64))
+        lowest[before[low] : before[high]] = _lowest(parent, whole[which])
+    return smaller_owners(held[same], shard, lowest)
+
+
+def _blocks(anchor: np.ndarray, before: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Cut stretches, ascending by anchor, into blocks of some `most` windows that leave anchors whole."""
+    low = 0
+    while low < len(anchor):
+        high = int(np.searchsorted(before, before[low] + most, side="left"))
+        high = len(anchor) if high >= len(anchor) else int(np.searchsorted(anchor, anchor[high - 1], side="right"))
+        yield low, high
+        low = high
 
 
 def _remove(batches: Iterator[pa.RecordBatch], width: int, keep_text: bool) -> Iterator[pa.RecordBatch]:

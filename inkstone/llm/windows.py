@@ -269,7 +269,7 @@ def _ship(shard: np.ndarray, columns: list[np.ndarray], bodies: list[bytes] | No
     order = np.argsort(shard, kind="stable")
     shard, columns = shard[order], [c[order] for c in columns]
     ends = np.r_[0, np.flatnonzero(np.diff(shard)) + 1, len(shard)]
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for low in range(0, len(ends) - 1, 256):
         rows: dict[str, list] = {name: [] for name in _SHIPPED.names}
         for a, b in zip(ends[low : low + 256].tolist(), ends[low + 1 : low + 257].tolist(), strict=False):
@@ -392,7 +392,7 @@ def repeated_windows(keyed: Keyed, tokenise: Callable, body_of: Callable, confir
     shared = shared_anchors(docs, tokenise, width, k, keyed.size)
     hot = [a for r in shared.where("did is null").toLocalIterator() for a in r["anchors"]]
     hot = docs.sparkSession.sparkContext.broadcast(np.unique(np.array(hot, np.int32).view(np.uint32)))
-    n_shards = max(shards_for(keyed.size, 3 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n_shards = max(shards_for(keyed.size, 2 << 20), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # All columns of docs, though doc_id isn't needed: the exchange is the one that with_hits reads.
     stretches = docs.join(shared, "did").select("doc_id", "did", "row", "text", "anchors").mapInArrow(lambda b: _segments(b, tokenise, body_of, width, k, hot.value, top, n_shards), "shard int, meta array<binary>, body binary")
 
