@@ -2,13 +2,16 @@
 
 The standard library's parser streams a page's events into lines (blocks of text), each with its number of tags and the
 section it stands in. Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by their elements and by the words of their class, id and role. Over the other lines the text-to-tag
-ratio is smoothed by a Gaussian and split by a threshold; sections that hold content lines are selected whole, so short
-paragraphs of an article stay. Where a page names its article or main part, that is the section.
+comments are left out by their elements and by what their class, id and role call them. Over the other lines of every page
+the text-to-tag ratio is smoothed by a Gaussian and split by a threshold; sections whose text lies mostly in content lines
+are selected whole, so short paragraphs of an article stay. An element's name, article or main, only breaks the tie
+between regions: it wins if it holds at least as much content as the rest of the page.
 
 Defined cases: a null or empty page gives an empty text. Broken markup is read as the parser reads it; unclosed elements
 end with their section. Character references are decoded, with or without semicolon. Inside a block white space becomes
-one space. Repeated pages give repeated rows. Extra columns are ignored.
+one space. Marked sections and broken declarations are comments. Repeated pages give repeated rows. Lines at the threshold
+are content. Very long and very deep pages are read whole, in time that grows with their length. Extra columns are ignored.
+An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,29 +31,50 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BLOCKS = frozenset("address article aside blockquote body caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SECTIONS = frozenset("article main section div body html".split())
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
-def _named(words: str) -> re.Pattern[str]:
-    return re.compile(rf"(?:^|[-_\s])(?:{words})(?:$|[-_\s])", re.I)
-
-
-#: Words of a class or id: what is never content, and what isn't outside the article.
-NEVER = _named(r"ads?|adv|advert\w*|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|popup|modal|newsletter|subscribe|subscription|sidebar|nav|navbar|navigation|breadcrumbs?|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|pagination|pager")
-OUTSIDE = _named(r"notice|overlay|side|menu|footer|masthead|header|discussion|widget|skip-?link|login|signup|search")
+#: What a part of a page is called that is never content (outside an article also the second list), and words that say
+#: only that something is a part. A class or id names such a part if that is its last word but for these.
+NEVER = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsors sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription sidebar nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus replies respond share sharing social pagination pager".split())
+OUTSIDE = frozenset("notice notices overlay menu footer masthead header discussion related recommended skiplink login signup search".split())
+PARTS = frozenset("area bar block body box buttons card cell col column container content form group holder icons inner item items left link links list main module outer panel right row section slot text top unit widget wrap wrapper".split())
+WORD = re.compile(r"[a-z]+", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SPACE = re.compile(r"\s+")
 
 
+def named_for(names: str, kinds: frozenset[str]) -> bool:
+    """Whether a class or id among the names is called after one of the kinds: comments, reader-comments, comment_list."""
+    for name in names.lower().split():
+        words = WORD.findall(name)
+        while len(words) > 1 and words[-1] in PARTS:
+            words.pop()
+        if words and words[-1] in kinds:
+            return True
+    return False
+
+
 class Lines(HTMLParser):
-    """Turns events into lines: text, number of tags, number of the section, whether that is named article or main."""
+    """Turns events into lines: text, number of tags, number of the section, whether that is named article or main.
+
+    Open elements are found through the places of each kind, so a page's work grows with its length, however deep it is."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.lines: list[tuple[str, int, int, int]] = []
         self.open: list[tuple[str, bool, int, int]] = []  # tag, dropped, section, rank of the section
+        self.places: dict[str, list[int]] = {}  # of each tag, and of all blocks and all sections
         self.dropped = 0
         self.sections = 0
         self.text: list[str] = []
         self.tags = 0
 
+    def kinds(self, tag: str) -> list[str]:
+        return [tag] + ["#block"] * (tag in BLOCKS) + ["#section"] * (tag in SECTIONS)
+
+    def last(self, kind: str) -> int:
+        """Place of the innermost open element of a kind, or -1."""
+        places = self.places.get(kind)
+        return places[-1] if places else -1
+
     def flush(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text:
@@ -62,25 +86,27 @@ class Lines(HTMLParser):
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
-            if tag in CLOSES_P and any(x[0] == "p" for x in self.open):
-                self.end("p")
-        self.tags += 1
+            if tag in CLOSES_P and self.last("p") > self.last("#section"):
+                self.close_from(self.last("p"))
+        self.tags += not self.dropped
         if tag in VOID:
-            self.text.append(" " if tag == "br" else "")
+            self.text.append(" " if tag == "br" and not self.dropped else "")
             return
         if tag in ("li", "dt", "dd", "tr", "td", "th", "option") and self.open and self.open[-1][0] == tag:
-            self.end(tag)
+            self.close_from(len(self.open) - 1)
         named = {k: v or "" for k, v in attrs}
         section, rank = (self.open[-1][2], self.open[-1][3]) if self.open else (0, 0)
         out = tag in DROPPED or "hidden" in named or named.get("aria-hidden") == "true" or named.get("role", "").lower() in ROLES
         out = out or tag == "header" and rank < 2
-        if tag not in ("html", "body"):
+        if tag not in ("html", "body", "article", "main"):
             own = " ".join(named[k] for k in ("class", "id") if k in named)
-            out = out or bool(own) and bool(NEVER.search(own) or rank < 2 and tag not in ("article", "main") and OUTSIDE.search(own))
+            out = out or bool(own) and (named_for(own, NEVER) or rank < 2 and named_for(own, OUTSIDE))
         if tag in SECTIONS and not self.dropped and not out:
             self.sections += 1
             section = self.sections if rank < 2 or tag == "article" and rank < 3 else section
             rank = max(rank, 3 if tag == "article" else 2 if tag == "main" or named.get("role", "").lower() == "main" else 1)
+        for kind in self.kinds(tag):
+            self.places.setdefault(kind, []).append(len(self.open))
         self.open.append((tag, out, section, rank))
         self.dropped += out
 
@@ -89,46 +115,41 @@ class Lines(HTMLParser):
         if tag not in VOID:
             self.handle_endtag(tag)
 
-    def end(self, tag: str) -> None:
-        """Close the innermost open element of a name, with all that is open inside it."""
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                if any(x[0] in BLOCKS for x in self.open[at:]):
-                    self.flush()
-                self.dropped -= sum(x[1] for x in self.open[at:])
-                del self.open[at:]
-                return
-            if tag == "p" and self.open[at][0] in SECTIONS:
-                return
+    def close_from(self, at: int) -> None:
+        """Close the element at a place, with all that is open inside it."""
+        if self.last("#block") >= at:
+            self.flush()
+        while len(self.open) > at:
+            tag, out, _, _ = self.open.pop()
+            self.dropped -= out
+            for kind in self.kinds(tag):
+                self.places[kind].pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        self.tags += 1
-        if tag not in VOID and any(x[0] == tag for x in self.open):
-            if tag in BLOCKS or tag in DROPPED:
-                self.end(tag)
-            else:
-                self.end_inline(tag)
-
-    def end_inline(self, tag: str) -> None:
-        """An inline element ends alone if only inline elements are open inside it; otherwise it has ended before."""
-        for at in range(len(self.open) - 1, -1, -1):
-            if self.open[at][0] == tag:
-                self.dropped -= self.open[at][1]
-                del self.open[at]
-                return
-            if self.open[at][0] in BLOCKS:
-                return
+        self.tags += not self.dropped
+        at = self.last(tag)
+        # An inline element has ended before if a block is open inside it.
+        if at >= 0 and (tag in BLOCKS or tag in DROPPED or at > self.last("#block")):
+            self.close_from(at)
 
     def handle_data(self, data: str) -> None:
         if not self.dropped:
             self.text.append(data)
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """Marked sections (<![if ...]>, <![CDATA[...]]>) are comments up to the next >, whatever their name."""
+        return self.parse_bogus_comment(i)
+
 
 def select(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: float = 0.5) -> list[bool]:
-    """Which lines belong to the content: the named article or main sections, else those whose text lies mostly in lines
-    above the threshold of the smoothed ratio."""
+    """Which lines belong to the content.
+
+    The text-to-tag ratio, smoothed, is split by a threshold into content and other lines. A section is content if at least
+    `share` of its text stands in such lines; then it is content as a whole. The name breaks ties: where named sections
+    (article, main) hold at least as much content as all others together they are the regions, and of the others none;
+    where they hold less, a page's text stands elsewhere, and sections count alike."""
     if not lines:
         return []
     size = np.array([len(x[0]) for x in lines], float)
@@ -137,12 +158,17 @@ def select(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: fl
     kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
     smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
     content = smooth >= min(smooth.std(), smooth.mean()) if len(lines) > 1 else np.ones(1, bool)
-    section, rank = np.array([x[2] for x in lines]), np.array([x[3] for x in lines])
-    if rank.max() >= 2:
-        return (rank >= 2).tolist()
+    section, named = np.array([x[2] for x in lines]), np.array([x[3] for x in lines]) >= 2
     _, which = np.unique(section, return_inverse=True)
-    part = np.bincount(which, size * content) >= share * np.bincount(which, size)
-    return (content | part[which]).tolist()
+    mass = np.bincount(which, size * content)
+    dense = mass >= share * np.bincount(which, size)
+    inside, outside = (float(size[content & x].sum()) for x in (named, ~named))
+    if named.any() and inside >= outside:
+        regions = dense[which] & named
+        if not regions.any():  # no section is dense: the one with most content
+            regions = (which == which[named][mass[which[named]].argmax()]) & named
+        return regions.tolist()
+    return (content | dense[which]).tolist()
 
 
 def main_text(html: str) -> str:
