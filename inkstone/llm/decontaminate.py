@@ -26,7 +26,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 from .exprs import let, words
 
 WINDOW, LEAST_PLAIN, LEAST_SHARE, BROADCAST_ROWS = 8, 4, 0.25, 200_000
@@ -133,5 +133,6 @@ def row_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id"
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """The documents that leak no item, with their own columns."""
-    bad = row_leaks(documents, benchmark, id_col, text_col, least_share=least_share).select(F.col("key").alias("__bad")).distinct()
-    return documents.join(bad, _row_key(id_col, text_col) == F.col("__bad"), "left_anti")
+    name = free_name(documents, "key")
+    bad = row_leaks(documents, benchmark, id_col, text_col, least_share=least_share).select(F.col("key").alias(name)).distinct()
+    return documents.join(bad, _row_key(id_col, text_col) == F.col(name), "left_anti")

@@ -88,6 +88,8 @@ class Lines(HTMLParser):
             self.flush()
             if tag in CLOSES_P and self.last("p") > self.last("#section"):
                 self.close_from(self.last("p"))
+            if tag != "html" and self.last("head") >= 0:  # its end may be left out; no block stands in it
+                self.close_from(self.last("head"))
         self.tags += not self.dropped
         if tag in VOID:
             self.text.append(" " if tag == "br" and not self.dropped else "")

@@ -7,7 +7,9 @@ threshold and left child of each node. Executors walk all trees of a batch throu
 Labels are learnt only from rows whose crc32(doc_id as text) mod 5 is not 0. Labels, lang, source and doc_id are never
 inputs of a score.
 
-Defined cases: null and empty texts are scored like any other (all statistics 0). Repeated rows get the same score.
+Defined cases: null and empty texts are scored like any other (all statistics 0), very long ones as a whole. Repeated rows
+get the same score; of rows that repeat a labelled id with other texts the trees see one, and of two labels of an id the
+larger. Ties between splits go to the first feature and the smallest threshold.
 Unlabelled rows are scored. Without labels, or with labels of one kind, every score is that share (0.5 without any).
 Extra columns are ignored. An empty table gives an empty result.
 """
@@ -148,8 +150,9 @@ def train(documents: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     if n > sample:
         rows = rows.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < F.lit(int((1 << 20) * sample / n)))
     # The sample is bounded by its parameter: some 20,000 ids and labels are broadcast, as many rows of statistics return.
+    # Of the rows that repeat an id one counts, that of the smallest statistics, so no id brings more than one row.
     picked = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(rows), "id").select("id", "y", statistics(F.col("text")).alias("x"))
-    local = picked.toPandas().sort_values("id", kind="stable")
+    local = picked.groupBy("id", "y").agg(F.min("x").alias("x")).toPandas().sort_values("id", kind="stable")
     x = np.array(local["x"].tolist(), np.float64).reshape(len(local), -1 if len(local) else 1)
     order = np.lexsort(x.T[::-1]) if len(local) else []
     return grow(x[order], local["y"].to_numpy(np.float64)[order])

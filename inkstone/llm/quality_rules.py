@@ -5,7 +5,9 @@ base with fewer than 20 words or with more than 30 % of its words in 8-word wind
 The rules then bound mean word length, symbols, stop words, capitals, and line ratios.
 
 Defined cases: a null or empty text has no words and fails the base; ratios of nothing are 0. Repeated rows are judged
-each on its own. Extra columns are ignored by `quality_figures` and kept by `quality_filter`. Nothing depends on order.
+each on its own, ties cannot arise. Very long texts are read whole: windows are hashed and sorted, never compared in pairs.
+Extra columns, whatever their names, are ignored by `quality_figures` and kept by `quality_filter`. An empty table gives
+an empty result. Nothing depends on order.
 """
 
 from __future__ import annotations
@@ -100,11 +102,11 @@ def figures(text: Column) -> Column:
     return let(words(text), of_words)
 
 
-def compile_rules(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
-    """The names of the rules that a row breaks."""
+def compile_rules(figure: Column, rules: tuple[Rule, ...] = RULES) -> Column:
+    """The names of the rules that a struct of figures breaks."""
     tests = []
     for rule in rules:
-        value = F.col(prefix + rule.figure)
+        value = figure[rule.figure]
         bad = F.lit(False)
         if rule.low is not None:
             bad = bad | (value < rule.low)
@@ -114,21 +116,17 @@ def compile_rules(rules: tuple[Rule, ...] = RULES, prefix: str = "") -> Column:
     return F.filter(F.array(*tests), lambda x: x.isNotNull())
 
 
-def _judged(df: DataFrame, text_col: str, rules: tuple[Rule, ...]) -> DataFrame:
-    """df with the structs __f (figures) and __v (verdict)."""
-    base = (F.col("__f.n_words") < LEAST_WORDS) | (100 * F.col("__f.n_repeat_words") > MOST_REPEATED * F.col("__f.n_words"))
-    broken = compile_rules(rules, "__f.")
-    return df.withColumn("__f", figures(F.col(text_col))).withColumn("__v", F.struct(base.alias("base_failed"), broken.alias("broken")))
+def fails_base(figure: Column) -> Column:
+    return (figure["n_words"] < LEAST_WORDS) | (100 * figure["n_repeat_words"] > MOST_REPEATED * figure["n_words"])
 
 
 def quality_figures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document: the base figures, base_failed, kept and, joined by commas, the rules it breaks."""
     base = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    return _judged(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "text", rules).select(
-        "doc_id", *[F.col(f"__f.{x}") for x in base], F.col("__v.base_failed"), (~F.col("__v.base_failed") & (F.size("__v.broken") == 0)).alias("kept"), F.array_join("__v.broken", ",").alias("broken_rules")
-    )
+    judged = df.select(F.col(id_col).alias("doc_id"), figures(F.col(text_col)).alias("f")).withColumn("v", F.struct(fails_base(F.col("f")).alias("base_failed"), compile_rules(F.col("f"), rules).alias("broken")))
+    return judged.select("doc_id", *[F.col(f"f.{x}") for x in base], F.col("v.base_failed"), (~F.col("v.base_failed") & (F.size("v.broken") == 0)).alias("kept"), F.array_join("v.broken", ",").alias("broken_rules"))
 
 
 def quality_filter(df: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """The rows that pass, with their own columns."""
-    return _judged(df, text_col, rules).where(~F.col("__v.base_failed") & (F.size("__v.broken") == 0)).drop("__f", "__v")
+    """The rows that pass, with their own columns. One lambda holds the figures, so a text is measured once."""
+    return df.where(let(figures(F.col(text_col)), lambda f: ~fails_base(f) & (F.size(compile_rules(f, rules)) == 0)))

@@ -9,8 +9,9 @@ Index keys are 64-bit hashes of id and text. Two rows with one key are both cand
 their text, so a collision costs time and no result.
 
 Defined cases: null and empty texts hold nothing. Repeated rows are scanned alike; rows without an id keep their null id.
-Matches are leftmost and do not overlap within a kind; kinds may overlap each other. Extra columns are kept by `redact`
-and ignored by `scan`. Positions count code points, ends are exclusive.
+Matches are leftmost and do not overlap within a kind; kinds may overlap each other, spans of one start stand in the order
+of the rules. Very long texts are scanned whole. Extra columns, whatever their names, are kept by `redact` and ignored by
+`scan`. An empty table gives an empty result. Positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import free_name
 from .exprs import count_of, let
 
 
@@ -145,22 +147,23 @@ def spans_of(text: Column, rule: Rule, order: int) -> Column:
     return F.when(text.rlike(rule.pattern), let(zipped, place)).otherwise(F.array().cast(kind))
 
 
-def with_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """documents with a column __spans: all matches by start, then by the rules' order."""
+def with_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES, spans_col: str = "spans") -> DataFrame:
+    """documents with a further column of spans: all matches by start, then by the rules' order."""
+    key, kinds = free_name(documents, "key"), free_name(documents, "kinds")
     trigrams = sorted({t for r in rules for a in trigram_query(r.pattern) or [] for t in a})
     n_blocks = max(1, -(-documents.count() // BLOCK_ROWS))
     index = trigram_index(documents, trigrams, id_col, text_col, n_blocks)
-    found = candidates(index, rules).select(F.col("key").alias("__key"), F.col("kinds").alias("__kinds"))
-    rows = documents.withColumn("__key", _row_key(id_col, text_col)).join(found, "__key", "left")
+    found = candidates(index, rules).select(F.col("key").alias(key), F.col("kinds").alias(kinds))
+    rows = documents.withColumn(key, _row_key(id_col, text_col)).join(found, key, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []
     for order, rule in enumerate(rules):
         spans = spans_of(text, rule, order)
         if trigram_query(rule.pattern) is not None:
-            spans = F.when(F.array_contains(F.coalesce("__kinds", F.array().cast("array<string>")), rule.kind), spans).otherwise(empty)
+            spans = F.when(F.array_contains(F.coalesce(kinds, F.array().cast("array<string>")), rule.kind), spans).otherwise(empty)
         parts.append(spans)
-    return rows.withColumn("__spans", F.sort_array(F.concat(*parts))).drop("__key", "__kinds")
+    return rows.withColumn(spans_col, F.sort_array(F.concat(*parts))).drop(key, kinds)
 
 
 def _is_kind(kind: str, span: Column) -> Column:
@@ -174,18 +177,19 @@ def _listed(spans: Column) -> Column:
 def scan(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Per document: counts of the base kinds, a digest of the base spans, and all spans as kind:start:end."""
     df = with_spans(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), rules=rules)
-    base = F.filter("__spans", lambda x: x["kind"].isin(*BASE))
+    base = F.filter("spans", lambda x: x["kind"].isin(*BASE))
     return df.select(
         "doc_id",
-        *[count_of(F.col("__spans"), partial(_is_kind, kind)).alias(f"n_{kind}") for kind in BASE],
+        *[count_of(F.col("spans"), partial(_is_kind, kind)).alias(f"n_{kind}") for kind in BASE],
         F.sha2(_listed(base).cast("binary"), 256).alias("base_sha256"),
-        _listed(F.col("__spans")).alias("spans"),
+        _listed(F.col("spans")).alias("spans"),
     )
 
 
 def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """documents with every secret replaced by a mark (overlapping ones by one); other columns stay."""
-    df = with_spans(documents, id_col, text_col, rules)
+    spans = free_name(documents, "spans")
+    df = with_spans(documents, id_col, text_col, rules, spans)
     text = F.col(text_col)
     zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
@@ -193,5 +197,5 @@ def redact(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         between = F.when(x["start"] >= a["at"], F.concat(text.substr(a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.concat(a["out"], between).alias("out"))
 
-    done = F.aggregate("__spans", zero, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
-    return df.withColumn(text_col, F.when(F.size("__spans") > 0, done).otherwise(text)).drop("__spans").select(*documents.columns)
+    done = F.aggregate(spans, zero, step, lambda a: F.concat(a["out"], text.substr(a["at"] + 1, F.length(text))))
+    return df.withColumn(text_col, F.when(F.size(spans) > 0, done).otherwise(text)).drop(spans)

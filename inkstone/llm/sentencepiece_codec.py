@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -199,6 +200,9 @@ class Vocabulary:
         start, stop = _units(marked, bounds, literal, self.pairs)
         key = span_hash(prefix_hash(_BYTES[marked]), start, stop) * np.uint64(2) + literal[start]
         _, sample, which = np.unique(key, return_index=True, return_inverse=True)
+        alone = np.flatnonzero(_unlike(marked, start, stop, sample[which]))
+        which[alone] = len(sample) + np.arange(len(alone))
+        sample = np.r_[sample, alone]
         pieces, at = self.segment(marked, start[sample], stop[sample])
         spelled = literal[start[sample]]
         if spelled.any():  # U+2581 of the text itself
@@ -221,6 +225,17 @@ class Vocabulary:
         return body[keep], np.r_[0, np.cumsum(keep)][bounds]
 
 
+def _unlike(data: np.ndarray, start: np.ndarray, stop: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Which units hold other bytes than the unit that `like` names for them, though their hashes are equal."""
+    size, other = stop - start, start[like]
+    differ = size != stop[like] - other
+    size = np.where(differ | (start == other), 0, size)
+    unit = np.repeat(np.arange(len(size)), size)
+    inner = np.arange(len(unit)) - np.repeat(np.cumsum(size) - size, size)
+    differ[unit[data[start[unit] + inner] != data[other[unit] + inner]]] = True
+    return differ
+
+
 def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Concatenate flat[at[i]:at[i + 1]] for each i of `which`; also where each ends."""
     first, size = at[which], at[which + 1] - at[which]
@@ -294,7 +309,7 @@ def _slices(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
         low = high
 
 
-def _digests(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, keep_ids: bool) -> Iterator[pa.RecordBatch]:
     bytes_of = np.zeros(len(vocabulary.out_at) - 1, bool)
     bytes_of[vocabulary.byte_piece] = True
     for batch in batches:
@@ -307,28 +322,30 @@ def _digests(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Itera
             rows["ids_sha256"] = pa.array([hashlib.sha256(wide[a:b]).hexdigest() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.string())
             rows["decoded_sha256"] = pa.array([hashlib.sha256(body[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
             rows["round_trip"] = pa.array([bool(np.array_equal(data[a:b], body[c:d])) for a, b, c, d in zip(*(x.tolist() for x in (offsets[low:high], offsets[low + 1 : high + 1], ends[:-1], ends[1:])), strict=True)])
+            if keep_ids:
+                rows["ids"] = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_pydict(rows)
 
 
-def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str) -> Iterator[pa.RecordBatch]:
+def _encode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, text: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         data, offsets = text_buffer(batch.column(text))
         for low, high in _slices(offsets):
             ids, at = vocabulary.encode(data, offsets[low : high + 1])
             part = batch.slice(low, high - low)
             lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*batch.schema.names, "ids"])
+            yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*batch.schema.names, name])
 
 
-def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, ids: str) -> Iterator[pa.RecordBatch]:
+def _decode(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, ids: str, name: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         lists = batch.column(ids)
         lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
-        size = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
+        size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
         flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
         body, ends = vocabulary.decode(flat, np.r_[0, np.cumsum(size)])
         texts = pa.array([body[a:b].tobytes().decode("utf-8", "replace") for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.string())
-        yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, "decoded"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, texts], names=[*batch.schema.names, name])
 
 
 def _sent(df: DataFrame, model: str) -> Vocabulary:
@@ -340,21 +357,22 @@ def _ddl(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def encode(documents: DataFrame, text_col: str = "text", model: str = MODEL) -> DataFrame:
-    """documents with a column ids: the pieces of each text."""
-    sent = _sent(documents, model)
-    return documents.mapInArrow(lambda b: _encode(b, sent.value, text_col), _ddl(documents) + ", ids array<int>")
+def encode(documents: DataFrame, text_col: str = "text", model: str = MODEL, name: str = "ids") -> DataFrame:
+    """documents with a column `name`: the pieces of each text. A column of that name is replaced, as withColumn does."""
+    sent, rows = _sent(documents, model), documents.drop(name)
+    return rows.mapInArrow(lambda b: _encode(b, sent.value, text_col, name), f"{_ddl(rows)}, `{name}` array<int>")
 
 
-def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL) -> DataFrame:
-    """encoded with a column decoded: the text that the pieces stand for."""
-    sent = _sent(encoded, model)
-    return encoded.mapInArrow(lambda b: _decode(b, sent.value, ids_col), _ddl(encoded) + ", decoded string")
+def decode(encoded: DataFrame, ids_col: str = "ids", model: str = MODEL, name: str = "decoded") -> DataFrame:
+    """encoded with a column `name`: the text that the pieces stand for. A column of that name is replaced."""
+    sent, rows = _sent(encoded, model), encoded.drop(name)
+    return rows.mapInArrow(lambda b: _decode(b, sent.value, ids_col, name), f"{_ddl(rows)}, `{name}` string")
 
 
-def codec_digest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def codec_digest(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, keep_ids: bool = False) -> DataFrame:
     """Per document: number of pieces and of byte pieces, digests of the ids (int32, little end first) and of the decoded
-    text, and whether decoding gives the text back."""
+    text, whether decoding gives the text back, and if wanted the ids."""
     sent = _sent(documents, model)
     rows = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(lambda b: _digests(b, sent.value), "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean")
+    fields = "doc_id long, n_pieces long, n_byte_pieces long, ids_sha256 string, decoded_sha256 string, round_trip boolean" + ", ids array<int>" * keep_ids
+    return rows.mapInArrow(lambda b: _digests(b, sent.value, keep_ids), fields)

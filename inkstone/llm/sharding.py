@@ -6,8 +6,11 @@ fits. Sums are taken once for cells of a few more bits than needed and rolled up
 one aggregation over ids and sizes; only cells that are still too large are looked at again, with more bits.
 
 Defined cases: null texts weigh nothing. Repeated rows of one id share a hash, so they can't be parted: a bucket that is
-still too large when all hash bits are used is returned with fits = false. Rows without an id hash as the empty string.
-Extra columns are ignored. An empty table gives no shards. The hash is MD5, which SQL engines share.
+still too large when all hash bits are used is returned with fits = false; so is one that a single very long text fills.
+Ties: ids whose hash bits are equal stay together, as repeated rows do. Rows without an id hash as the empty string. Extra
+columns are ignored by `shard` and kept by `write_shards`, whose folders are named shard=p and the prefix, or shard_=, with
+as many underscores as it takes, where the documents have a column of that name. An empty table gives no shards. The hash
+is MD5, which SQL engines share.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, free_name
 
 LIMIT, BITS, ROUND_BITS = 64 << 20, 60, 12
 
@@ -66,5 +69,6 @@ def shard(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def write_shards(documents: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT) -> None:
     """Write the documents as Parquet, one folder for each shard (shard=p and its prefix), with all their columns."""
-    labels = shard(documents, id_col, text_col, limit).select(F.col("doc_id").alias("__id"), F.concat(F.lit("p"), "shard").alias("shard")).distinct()
-    documents.join(labels, documents[id_col].eqNullSafe(labels["__id"])).drop("__id").repartition("shard").write.partitionBy("shard").parquet(path)
+    key, label = free_name(documents, "key"), free_name(documents, "shard")
+    labels = shard(documents, id_col, text_col, limit).select(F.col("doc_id").alias(key), F.concat(F.lit("p"), "shard").alias(label)).distinct()
+    documents.join(labels, documents[id_col].eqNullSafe(labels[key])).drop(key).repartition(label).write.partitionBy(label).parquet(path)

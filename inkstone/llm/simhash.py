@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import cut, text_buffer
+from .common import cut, free_name, text_buffer
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared at once; larger ones are dealt again.
@@ -190,10 +190,10 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group, with its own columns: the one with the smallest id (none sorts last), then the smallest hash of
     id and text; of rows equal in both, any one."""
-    key = F.xxhash64(F.col(id_col), F.col(text_col))
+    key, name = F.xxhash64(F.col(id_col), F.col(text_col)), free_name(documents, "key")
     prints = fingerprints(documents, id_col, text_col, key=key)
     owners = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("owner")))
-    winners = _components(owners).groupBy("component").agg(F.min("owner").alias("owner")).select(F.col("owner.key").alias("__key"))
+    winners = _components(owners).groupBy("component").agg(F.min("owner").alias("owner")).select(F.col("owner.key").alias(name))
     # Equal rows are reduced before they are shuffled.
-    rows = documents.withColumn("__key", key).dropDuplicates(["__key"])
-    return rows.join(winners, "__key", "left_semi").select(*documents.columns)
+    rows = documents.withColumn(name, key).dropDuplicates([name])
+    return rows.join(winners, name, "left_semi").drop(name)

@@ -52,6 +52,19 @@ def test_write_shards(spark, tmp_path):
     assert back.count() == 64 and back.groupBy("shard").count().agg({"count": "max"}).first()[0] <= 10
 
 
+def test_write_shards_with_clashing_columns(spark, tmp_path):
+    rows = table(spark, [(1, "a" * 90), (2, "b" * 90), (None, None)]).withColumnRenamed("x", "shard").withColumnRenamed("prefix", "KEY")
+    sharding.write_shards(rows, str(tmp_path / "out"), limit=100)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert back.columns == [*rows.columns, "shard_"] and back.count() == 3
+    assert {r.shard for r in back.collect()} == {"x"} and {r.KEY for r in back.collect()} == {"p"}
+
+
+def test_a_very_long_text_fills_a_shard_of_its_own(spark):
+    got = {r.doc_id: r for r in sharding.shard(table(spark, [(1, "long " * 400_000), (2, "a"), (3, "b")]), limit=1000).collect()}
+    assert got[1].n_bytes == 2_000_000 and not got[1].fits and got[1].shard_docs == 1 and got[2].fits and got[3].fits
+
+
 # ------------------------------------------------------------------ classifier
 
 
@@ -95,6 +108,14 @@ def test_classifier_odd_cases(spark):
     assert quality_model.score(table(spark, []), labels).collect() == []
 
 
+def test_repeated_rows_of_a_labelled_id_and_very_long_texts(spark):
+    rows = [(i % 40, "the words of this text are fine and many " * 3) for i in range(400)] + [(100 + i, "### $$$ ") for i in range(40)] + [(3, "other"), (9, "fine words " * 100_000)]
+    labels = spark.createDataFrame([(i, 1) for i in range(40)] + [(100 + i, 0) for i in range(40)], "doc_id long, quality int")
+    got = quality_model.score(table(spark, rows), labels).collect()
+    assert len(got) == len(rows) and len({r.score for r in got if r.doc_id == 2}) == 1
+    assert all(0 <= r.score <= 1 for r in got)
+
+
 # ------------------------------------------------------------------------ html
 
 
@@ -131,6 +152,73 @@ def test_very_long_page():
     assert html_text.main_text(html).count("\n") == 20_000
 
 
+def plain_select(lines, sigma=1.0, share=0.5):
+    import math
+
+    ratio = [len(x[0]) / (1 + x[1]) for x in lines]
+    reach = int(3 * sigma)
+    weight = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)}
+    smooth = [sum(w * ratio[min(max(i + d, 0), len(ratio) - 1)] for d, w in weight.items()) / sum(weight.values()) for i in range(len(ratio))]
+    mean = sum(smooth) / len(smooth)
+    limit = min(mean, math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
+    content = [x >= limit or len(lines) == 1 for x in smooth]
+    chars = lambda keep: sum(len(x[0]) for i, x in enumerate(lines) if keep(i, x))
+    dense = lambda s: chars(lambda i, x: x[2] == s and content[i]) >= share * chars(lambda i, x: x[2] == s)
+    named = [x for x in lines if x[3] >= 2]
+    if named and chars(lambda i, x: x[3] >= 2 and content[i]) >= chars(lambda i, x: x[3] < 2 and content[i]):
+        good = {x[2] for x in named if dense(x[2])}
+        if not good:
+            good = {max(sorted({x[2] for x in named}), key=lambda s: chars(lambda i, x: x[2] == s and content[i]))}
+        return [x[3] >= 2 and x[2] in good for x in lines]
+    return [content[i] or dense(x[2]) for i, x in enumerate(lines)]
+
+
+def test_selection_against_brute_force():
+    rng = random.Random(6)
+    for _ in range(400):
+        kinds = {s: rng.choice([1, 1, 2, 3]) for s in range(5)}
+        lines = [("x" * rng.choice([1, 3, 9, 40, 200]), rng.choice([0, 1, 2, 6]), s, kinds[s]) for s in (rng.randrange(5) for _ in range(rng.randint(1, 25)))]
+        assert html_text.select(lines) == plain_select(lines)
+
+
+LONG = "Long words of the content here, a good many of them. " * 6
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<![ if !IE ]><p>a</p><![endif]><![name[<p>b</p><!><!x><!DOCTYPE html><p>c</p>", "a\nb\nc"),
+        ("<article><p>teaser</p></article><div><p>" + LONG + "</p><p>" + LONG + "</p></div>", LONG.strip() + "\n" + LONG.strip()),
+        ("<div class='content side-by-side'><p>" + LONG + "</p></div><div class=sidebar><p>" + LONG + "</p></div>", LONG.strip()),
+        ("<article class='post comments-open'><p>" + LONG + "</p><div class='reader-comments'>no</div></article>", LONG.strip()),
+        ("<html><head><title>t</title><meta name=a><p>first</p>", "first"),
+        ("<html><head><title>t</title><body><div>first</div>", "first"),
+    ],
+)
+def test_pages_of_the_wild(html, text):
+    assert html_text.main_text(html) == text
+
+
+def test_no_markup_crashes():
+    rng = random.Random(9)
+    bits = ["<", ">", "!", "[", "]", "--", "<![", "<!", "<?", "</", "p", "div", " class='ad'", "=", '"', "&", "#x", ";", "text ", "<p>", "</div>", "<article>", "<script>", "<td>", "\n", "é"]
+    for _ in range(3000):
+        assert isinstance(html_text.main_text("".join(rng.choices(bits, k=rng.randint(1, 30)))), str)
+
+
+def test_deep_pages_take_linear_time():
+    import time
+
+    begun = time.monotonic()
+    assert html_text.main_text("<div>" * 100_000 + "deep") == "deep" and html_text.main_text("<b>" * 100_000 + "x" + "</i>" * 100_000) == "x"
+    assert time.monotonic() - begun < 30
+
+
+def test_repeated_and_null_pages(spark):
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>", "t"), (1, "u", "<p>a</p>", "t"), (None, None, None, None)], "page_id long, url string, html string, text string")
+    assert sorted(map(str, html_text.extract(pages).collect())) == sorted(["Row(page_id=1, url='u', text='a', n_chars=1)"] * 2 + ["Row(page_id=None, url=None, text='', n_chars=0)"])
+
+
 # --------------------------------------------------------------- sentencepiece
 
 TEXTS = [None, "", " ", "  hello  world \n x\ty", "Is and retitioning ouen the of, nterti", "é▁中文 日本 ✓   \x00", "▁", "▁▁ ▁", "日本語" * 400, "a" * 3000, "word " * 30_000, "\n\n \n", "ünïcödé 🎉🎉 ok", "tail "]
@@ -138,8 +226,11 @@ TEXTS = [None, "", " ", "  hello  world \n x\ty", "Is and retitioning ouen the o
 
 def test_round_trip(spark):
     rows = list(enumerate(TEXTS)) + [(None, "no id"), (4, TEXTS[4])]
-    encoded = sentencepiece_codec.encode(table(spark, rows).drop("ids"))
-    back = sentencepiece_codec.decode(encoded).collect()
+    encoded = sentencepiece_codec.encode(table(spark, rows))
+    assert encoded.columns.count("ids") == 1 and dict(encoded.dtypes)["ids"] == "array<int>"
+    kept = sentencepiece_codec.encode(table(spark, rows), name="pieces")
+    assert {r.ids for r in kept.collect()} == {"i"} and "pieces" in kept.columns
+    back = sentencepiece_codec.decode(encoded.withColumn("decoded", encoded.text)).collect()
     assert len(back) == len(rows) and all(r.decoded == (r.text or "") for r in back)
     digest = sentencepiece_codec.codec_digest(table(spark, rows)).collect()
     assert all(r.round_trip for r in digest)
@@ -147,6 +238,12 @@ def test_round_trip(spark):
     assert sentencepiece_codec.codec_digest(table(spark, [])).collect() == []
 
 
+def test_units_of_one_hash_are_told_apart():
+    data = np.frombuffer(b"abcabdabc", np.uint8)
+    start, stop = np.array([0, 3, 6, 6]), np.array([3, 6, 9, 8])
+    assert sentencepiece_codec._unlike(data, start, stop, np.array([0, 0, 0, 0])).tolist() == [False, True, False, True]
+
+
 def _fields(data: bytes):
     """(number, wire type, value) of a protocol buffer's fields."""
     at = 0

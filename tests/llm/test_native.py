@@ -5,8 +5,9 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from inkstone.llm import decontaminate, quality_rules, secret_scan
+from inkstone.llm import decontaminate, quality_rules, secret_scan, simhash
 from inkstone.llm.sql import ORACLES
 from tests.conftest import DATA
 from tests.oracle import compare, duck
@@ -62,6 +63,21 @@ def test_quality_filter_keeps_columns_and_rows(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 1]
 
 
+def clashing(df):
+    """df with columns named as operators might name theirs."""
+    for name in ("__f", "__v", "f", "v", "__key", "KEY", "kinds", "spans", "__spans", "__bad", "shard"):
+        df = df.withColumn(name, F.lit(f"own {name}"))
+    return df
+
+
+@pytest.mark.parametrize("operator", [quality_rules.quality_filter, secret_scan.redact, simhash.keep_one, lambda df: decontaminate.decontaminate(df, df.selectExpr("9L as item_id", "'no such item' as text"))])
+def test_columns_of_any_name_stay(spark, operator):
+    clean = "The quick reading of this text shows that it is a clean one and that all of the rules are happy with it today."
+    df = clashing(table(spark, [(1, clean)]).drop("key"))
+    got = operator(df)
+    assert got.dtypes == df.dtypes and got.collect() == df.collect()
+
+
 def plain_spans(text, rules=secret_scan.RULES):
     found = []
     for order, rule in enumerate(rules):
