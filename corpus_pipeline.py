@@ -2,7 +2,12 @@
 
 Quality rules drop documents, SimHash keeps one document of each near-duplicate group, decontamination drops documents
 that leak a benchmark item, the secret scan masks secrets in the text, and the last stage encodes every text in pieces and
-checks that they decode to it. All stages but the last return the columns of documents.
+checks that they decode to it. All stages but the last return the columns of documents; the last returns the ids.
+
+Defined cases: documents without a text have no words and go in the first stage. Rows without an id, or that repeat one, are
+judged each on its own text; of equal rows the second stage keeps one. Very long texts are read whole. Extra columns, whatever
+their names, stay up to the last stage. An empty table gives an empty result. Without benchmark items nothing leaks. The
+written stages stay in the shared folder, since the result reads the last of them.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sentencepiece_codec.codec_digest(docs)
+    return sentencepiece_codec.codec_digest(docs, keep_ids=True)
 
 
 STAGES = [
