@@ -13,7 +13,7 @@ def distances(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFr
     """rows with character and token distances of the normal forms and the gold's lengths."""
     df = rows.withColumns({"__p": L.normalise(F.col(pred)), "__g": L.normalise(F.col(gold))})
     df = df.withColumns({"__pt": L.tokens(F.col("__p")), "__gt": L.tokens(F.col("__g"))})
-    return df.withColumns({"char_errors": F.levenshtein("__p", "__g").cast("long"), "gold_chars": F.length("__g").cast("long"), "token_errors": L.token_distance(F.col("__pt"), F.col("__gt")).cast("long"), "gold_tokens": F.size("__gt").cast("long"), "exact": F.col("__p") == F.col("__g")}).drop("__p", "__g", "__pt", "__gt")
+    return df.withColumns({"char_errors": F.when(F.col("__p") == F.col("__g"), F.lit(0)).otherwise(F.levenshtein("__p", "__g")).cast("long"), "gold_chars": F.length("__g").cast("long"), "token_errors": F.when(F.col("__p") == F.col("__g"), F.lit(0)).otherwise(L.token_distance(F.col("__pt"), F.col("__gt"))).cast("long"), "gold_tokens": F.size("__gt").cast("long"), "exact": F.col("__p") == F.col("__g")}).drop("__p", "__g", "__pt", "__gt")
 
 
 def totals(scored: DataFrame, *grains: str) -> DataFrame:
@@ -33,9 +33,9 @@ def worst_status(regions: DataFrame, matched: DataFrame) -> DataFrame:
     return regions.join(worst, ["page_id", "region_id"], "left").select("page_id", "region_id", F.when(F.col("r").isNull(), "unmatched").otherwise(F.coalesce(F.get(names, F.col("r")), F.lit("none"))).alias("status"))
 
 
-def most_changed(rows: DataFrame, n: int, before: str, after: str, seq: str) -> DataFrame:
+def most_changed(rows: DataFrame, n: int, before: str, after: str, *seq: str) -> DataFrame:
     """The n rows that lost most errors; equal ones in their own order."""
-    return rows.withColumn("gain", F.col(before) - F.col(after)).where("gain <> 0").orderBy(F.col("gain").desc(), seq).limit(n)
+    return rows.withColumn("gain", F.col(before) - F.col(after)).where("gain <> 0").orderBy(F.col("gain").desc(), *seq).limit(n)
 
 
 def manifest_crops(manifest: DataFrame) -> DataFrame:

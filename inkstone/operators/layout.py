@@ -66,12 +66,13 @@ def same_row_edges(boxes: DataFrame, share: float = 0.4) -> DataFrame:
     return pairs(core, (overlap_y() >= share * F.least("a_h", "b_h")) & inside).select("page_id", "a_box_id", "b_box_id")
 
 
-def rows_of(boxes: DataFrame, edges: DataFrame, span: int = 1000) -> DataFrame:
-    """(page_id, box_id, row_id): the connected components of an edge relation; a box without edges is its own row."""
-    node = lambda c: F.col("page_id") * span + F.col(c)
+def rows_of(boxes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(page_id, box_id, row_id): the connected components of an edge relation; a box without edges is its own row. Boxes are
+    nodes by page and number together, so numbers may be of any size."""
+    node = lambda c: F.struct("page_id", F.col(c).alias("box_id"))
     parts = connected_components(edges.select(node("a_box_id").alias("src"), node("b_box_id").alias("dst")))
-    nodes = boxes.select("page_id", "box_id", node("box_id").alias("node"))
-    return nodes.join(parts, "node", "left").select("page_id", "box_id", (F.coalesce("component", "node") - F.col("page_id") * span).cast("int").alias("row_id"))
+    found = parts.select("node.page_id", "node.box_id", F.col("component.box_id").alias("first"))
+    return boxes.select("page_id", "box_id").join(found, ["page_id", "box_id"], "left").select("page_id", "box_id", F.coalesce("first", "box_id").alias("row_id"))
 
 
 def union_boxes(boxes: DataFrame, *by: str) -> DataFrame:

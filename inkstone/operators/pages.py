@@ -21,7 +21,7 @@ def error_row(code: Column, detail: Column) -> Column:
 
 
 def data_url(mime: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s+", ""))
 
 
 def merge_lines(lines: DataFrame, text: str = "latex") -> DataFrame:

@@ -26,7 +26,7 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, q = (F.col(x).cast("string") for x in ("p", "s", "q"))
-    kind = (F.col("p") % 12).cast("int")
+    kind = (F.col("p") % 15).cast("int")
     forms = [
         F.concat(F.lit("$A(5) = "), q, F.lit("$")),
         F.concat(F.lit("$A(s) = "), q, F.lit("$")),
@@ -36,9 +36,12 @@ def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("$x ≥ "), q, F.lit("$")),
         F.concat(F.lit(r"$\frac{"), q, F.lit("}{2$")),
         F.concat(F.lit(r"$\lim_{x \to 0} f(x) = \frac{"), q, F.lit("}{0} = 0$")),
-        F.concat(F.lit("asimptota orizontala: y = m x, e^n x + "), q),
+        F.concat(F.lit("asimptota orizontala: $y = m x, e^n x + "), q, F.lit("$")),
         F.concat(F.lit("$x o y = "), q, F.lit(r" \infty (1)$")),
         F.concat(F.lit(r"$x = \text{[illegible]} = "), q, F.lit("$")),
+        F.concat(F.lit("Fie o functie si l se simplifica, x o y, $x = "), q, F.lit("$")),
+        F.concat(F.lit(r"$x = \text{l sau A(s)} + "), q, F.lit("$")),
+        F.concat(F.lit("$y = l + "), q, F.lit("$")),
     ]
     text = F.concat(F.lit("Subiectul "), q)
     for i, form in reversed(list(enumerate(forms))):
@@ -47,10 +50,13 @@ def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pred_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every line of the labelled documents as a region of the document's crop, with a reading of it: as it is, without its
+    first three characters, or with a sign that no text has in place of a and e."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    gold = F.substring("text", 1, 120)
-    pred = F.when(F.col("doc_id") % 3 == 0, F.translate(gold, "ae", "oc")).when(F.col("doc_id") % 3 == 1, F.substring("text", 4, 117)).otherwise(gold)
-    return docs.join(labels, "doc_id").select("doc_id", F.col("source").alias("crop_id"), gold.alias("gold"), pred.alias("pred"), (F.col("quality") == 1).alias("verified"))
+    rows = docs.join(labels.select("doc_id", "quality"), "doc_id").select("doc_id", F.concat_ws("-", "source", "doc_id").alias("crop_id"), (F.col("quality") == 1).alias("verified"), F.posexplode(F.split("text", "\n")).alias("idx", "gold"))
+    kind = (F.col("doc_id") + F.col("idx")) % 3
+    pred = F.when(kind == 0, F.translate("gold", "ae", "¤¤")).when(kind == 1, F.expr("substring(gold, 4)")).otherwise(F.col("gold"))
+    return rows.where(F.trim("gold") != "").select("doc_id", "idx", "crop_id", "gold", pred.alias("pred"), "verified")
 
 
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,11 +67,13 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 DUCK = {
     "base": "select l_orderkey page_id, l_linenumber idx, min(l_partkey) p, min(l_suppkey) s, cast(min(l_quantity) as int) q from lineitem group by 1, 2",
     "boxes": "select page_id, cast(idx as int) box_id, cast(p % 1000 as int) x0, cast(idx * 60 + s % 40 as int) y0, cast(p % 1000 + 20 + 4 * q as int) x1, cast(idx * 60 + s % 40 + 20 + p % 50 as int) y1, cast(q * 20 as bigint) area from base",
-    "math_lines": r"""select page_id, cast(idx as int) idx, case p % 12 when 0 then '$A(5) = ' || q || '$' when 1 then '$A(s) = ' || q || '$' when 2 then '$x = ' || q || ' => y = ' || s || '$'
+    "math_lines": r"""select page_id, cast(idx as int) idx, case p % 15 when 0 then '$A(5) = ' || q || '$' when 1 then '$A(s) = ' || q || '$' when 2 then '$x = ' || q || ' => y = ' || s || '$'
         when 3 then '$x (=) ' || q || '$' when 4 then '$\begin{pmatrix} ' || q || ' & ' || s || ' \end{pmatrix}$' when 5 then '$x ≥ ' || q || '$' when 6 then '$\frac{' || q || '}{2$'
-        when 7 then '$\lim_{x \to 0} f(x) = \frac{' || q || '}{0} = 0$' when 8 then 'asimptota orizontala: y = m x, e^n x + ' || q when 9 then '$x o y = ' || q || ' \infty (1)$'
-        when 10 then '$x = \text{[illegible]} = ' || q || '$' else 'Subiectul ' || q end as text from base""",
-    "pred_gold": "select d.doc_id, d.source crop_id, substr(d.text, 1, 120) gold, case d.doc_id % 3 when 0 then translate(substr(d.text, 1, 120), 'ae', 'oc') when 1 then substr(d.text, 4, 117) else substr(d.text, 1, 120) end pred, l.quality = 1 verified from documents d join labels l using (doc_id)",
+        when 7 then '$\lim_{x \to 0} f(x) = \frac{' || q || '}{0} = 0$' when 8 then 'asimptota orizontala: $y = m x, e^n x + ' || q || '$' when 9 then '$x o y = ' || q || ' \infty (1)$'
+        when 10 then '$x = \text{[illegible]} = ' || q || '$' when 11 then 'Fie o functie si l se simplifica, x o y, $x = ' || q || '$'
+        when 12 then '$x = \text{l sau A(s)} + ' || q || '$' when 13 then '$y = l + ' || q || '$' else 'Subiectul ' || q end as text from base""",
+    "pred_gold": """select doc_id, idx, crop_id, gold, case (doc_id + idx) % 3 when 0 then translate(gold, 'ae', '¤¤') when 1 then substr(gold, 4) else gold end pred, verified
+        from (select d.doc_id, d.source || '-' || d.doc_id crop_id, l.quality = 1 verified, unnest(string_split(d.text, chr(10))) gold, unnest(range(len(string_split(d.text, chr(10))))) idx from documents d join labels l using (doc_id)) where trim(gold, ' ') <> ''""",
     "doc_lines": "select doc_id, i as idx, line from (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i from documents) where trim(line, ' ') <> ''",
 }
 NEEDS = {"boxes": ["base"], "math_lines": ["base"]}

@@ -50,6 +50,24 @@ def test_answers_override_rules(spark):
     assert kept[1][0] == "$x o y$" and not kept[1][2][0].fixed
 
 
+def test_rules_touch_math_alone(spark):
+    cases = [
+        ("Fie o functie f", "Fie o functie f"), ("Ecuatia are o solutie reala $x = 1$", "Ecuatia are o solutie reala $x = 1$"), ("Deci l se simplifica", "Deci l se simplifica"),
+        (r"$x = \text{l sau A(s)} + l$", r"$x = \text{l sau A(s)} + 1$"), ("$x = \ue000 + l$", "$x = \ue000 + 1$"), ("$x =) y$", r"$x \Rightarrow y$"), (r"$x \left(=\right) y$", r"$x \Leftrightarrow y$"),
+        ("$x c=) y$", r"$x \Leftrightarrow y$"), (r"$\sin c = )$", r"$\sin \Leftrightarrow$"), ("$abc = )$", "$abc = )$"), (r"$A(\ell) = t$", "$A(1) = 1$"), (r"$\begin{array}{l} 2 \\ 3 \end{array}$", r"$\begin{array}{l} 2 \\ 3 \end{array}$"),
+        (r"$\left[\begin{array}{cc} 1 & 2 \\ 3 & 4 \end{array}\right]$", r"$\begin{bmatrix} 1 & 2 \\ 3 & 4 \end{bmatrix}$"), (r"$x^{2}.I_{2} + 2.5$", r"$x^{2} \cdot I_{2} + 2.5$"), ("$e.g. x$", "$e.g. x$"),
+        (r"$x = 2, A^{\alpha}$", r"$x = 2 \text{,,A''}$"), ("$x = A^2$", "$x = A^2$"), ("$3A^2$", "$3A^2$"), ("$√(a+b) ⁴$", r"$\sqrt{(a+b)} ^{4}$"), (r"\text{Subiectul} 3", "Subiectul 3"), (r"deci \alpha unde $x$", r"deci $\alpha$ unde $x$"),
+    ]
+    got = verify(spark, [line for line, _ in cases])
+    assert [(line, g[0].split()) for (line, _), g in zip(cases, got, strict=True)] == [(line, latex.split()) for line, latex in cases]
+
+
+def test_a_page_that_defines_t_keeps_it(spark):
+    cases = [("$t = 2^x$", True), ("$2t + 1$", True), ("$f(t)$", True), (r"$t \geq 0$", True), ("$t^2$", True), ("notam asa", True), ("$t = y = x$", False), ("$x = t$", False)]
+    df = spark.createDataFrame([(i, 0, line) for i, (line, _) in enumerate(cases)], "page_id long, idx int, text string")
+    assert [r.t_is_variable for r in rules.page_context(df).orderBy("page_id").collect()] == [kept for _, kept in cases]
+
+
 def test_statuses(spark):
     got = verify(spark, ["", "text only here", r"$\frac{1$", "x", r"$\text{[illegible]}$", "Transcribe every line of the page. transcribe every line of the page use dollars around the math", "$$a\n+ b$$"], errors={3: "timeout"}, kinds={1: "diagram"})
     assert [g[1] for g in got] == ["grey", "green", "grey", "grey", "grey", "grey", "green"]
@@ -116,6 +134,43 @@ def test_token_distance(spark):
     assert got == [plain_distance(a, b) for a, b in pairs]
 
 
+def test_token_distance_of_very_many_tokens(spark):
+    a = [chr(0x4E00 + i) for i in range(9000)]
+    df = spark.createDataFrame([(a, a[:5] + ["\\x"] + a[6:8990])], "a array<string>, b array<string>")
+    assert df.select(L.token_distance(F.col("a"), F.col("b"))).first()[0] == 11
+
+
+@pytest.mark.parametrize(
+    ("tex", "errors"),
+    [(r"\begin{pmatrix} 1 \end{vmatrix}", [r"\end{vmatrix} without matching \begin"]), (r"\begin{a}\begin{b}\end{b}\end{a}", []), (r"\end{a}{", ["1 unclosed '{'", r"\end{a} without matching \begin"]), (r"\begin{a}\left(", [r"\begin{a} without \end", r"1 \left vs 0 \right"]), (r"\{}}", ["unmatched '}'", "unmatched '}'"][:2])],
+)
+def test_structure(spark, tex, errors):
+    assert one(spark, L.structural_errors(F.col("c0")), tex) == errors
+
+
+@pytest.mark.parametrize(("a", "b"), [("(\\begin{array}{c} 1 \\end{array})", "\\begin{pmatrix}1\\end{pmatrix}"), (r"\left| \begin{matrix}1\end{matrix} \right|", r"\begin{vmatrix}1\end{vmatrix}"), ("x =) y", "x ⇒ y"), ("( = )", r"\Leftrightarrow"), (r"x \text{ ,,A'' }", '"A "'.join(["x", ""])), (r"a\,b\quad", "ab"), (r"\operatorname{rang} A", "rangA"), ("ℝ²", r"\mathbb{R}^{2}"), (r"$\text{[Figura geometrica: x]}$ y", "y")])
+def test_more_normal_forms(spark, a, b):
+    x = one(spark, F.struct(L.normalise(F.col("c0")).alias("a"), L.normalise(F.col("c1")).alias("b")), a, b)
+    assert x.a == x.b
+
+
+@pytest.mark.parametrize(("token", "prose"), [("ex.", True), ("(d.e.", True), ("C.E.:", True), (":", True), ("", False), ("sin", False), ("si", True), ("x", False), ("(unde)", True), ("abc.)", True), ("functie,", True), ("a.b.c.d.", False), ("x1", False), ("până", True)])
+def test_prose(spark, token, prose):
+    assert one(spark, L.is_prose(F.col("c0")), token) is prose
+
+
+@pytest.mark.parametrize(("text", "math"), [("a + 2", True), ("2)", True), ("f(x2)", True), ("f(x)", False), ("word - word", False), ("x ∈ A", True), ("2 ) (", False), ("a_b", True), ("", False), ("(a) 2", False)])
+def test_mathematics(spark, text, math):
+    assert one(spark, L.looks_math(F.col("c0")), text) is math
+
+
+def test_rows_of_pages_with_very_many_boxes(spark):
+    boxes = spark.createDataFrame([(1, 5), (1, 1005), (2, 5), (2, 2005)], "page_id long, box_id int")
+    edges = spark.createDataFrame([(1, 1005, 5), (2, 2005, 5)], "page_id long, a_box_id int, b_box_id int")
+    assert sorted(map(tuple, layout.rows_of(boxes, edges).collect())) == [(1, 5, 5), (1, 1005, 5), (2, 5, 5), (2, 2005, 5)]
+    assert sorted(map(tuple, layout.rows_of(boxes, edges.limit(0)).collect())) == [(1, 5, 5), (1, 1005, 1005), (2, 5, 5), (2, 2005, 2005)]
+
+
 @pytest.mark.parametrize(("text", "looped"), [("", True), ("c|" * 40, True), ("a normal line of text", False), ("ab" * 5, False), (r"\text{ } & " * 20, True)])
 def test_degenerate(spark, text, looped):
     assert one(spark, L.is_degenerate(F.col("c0")), text) is looped
