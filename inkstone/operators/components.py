@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder that spark.checkpoint.dir names (a temporary one stands in for it in local mode alone)."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
@@ -40,12 +40,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     Self-loops, repeated and reversed edges and null ends are allowed (a null end makes no edge). Each round is
     checkpointed; the number of rounds grows with the logarithm of the graph's diameter. Skew: a hub's edges meet
     only through a minimum that is taken before the shuffle, and Spark splits the join that follows."""
-    now = _cut(edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
+    now = checkpointed(edges.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).where(F.col(src).isNotNull() & F.col(dst).isNotNull()).distinct())
     nodes = now
     now = now.where("a != b")
     mark = None
     while True:
-        now = _cut(_small_star(_large_star(now)))
+        now = checkpointed(_small_star(_large_star(now)))
         new = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if new == mark:
             break

@@ -201,3 +201,10 @@ def match_lines(lines: DataFrame, regions: DataFrame, least_share: float = 0.3)
     order = F.when(F.col("inside"), F.struct(F.lit(0).alias("o"), F.lit(0.0).alias("s"), F.col("region_id"))).when(F.col("share") >= least_share, F.struct(F.lit(1).alias("o"), (-F.col("share")).alias("s"), F.col("region_id")))
     best = both.withColumn("k", order).where("k is not null").groupBy("page_id", "line_id").agg(F.min("k").alias("k"))
     return best.select("page_id", "line_id", "k.region_id", (F.col("k.o") == 0).alias("by_centre"))
+
+
+def lines_of_regions(lines: DataFrame, regions: DataFrame, least_share: float = 0.3) -> DataFrame:
+    """(page_id, region_id, line_ids): every region with its lines in order, an empty list for a region without any."""
+    held = match_lines(lines, regions, least_share).groupBy("page_id", "region_id").agg(F.array_sort(F.collect_list("line_id")).alias("line_ids"))
+    none = F.array().cast(held.schema["line_ids"].dataType)
+    return regions.select("page_id", "region_id").join(held, ["page_id", "region_id"], "left").withColumn("line_ids", F.coalesce("line_ids", none))

@@ -24,28 +24,41 @@ def data_url(mime: Column, content: Column) -> Column:
     return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.regexp_replace(F.base64(content), r"\s+", ""))
 
 
-def merge_lines(lines: DataFrame, text: str = "latex") -> DataFrame:
-    """(page_id, document): a page's lines in order, a blank line between; blank rows and empty lines go."""
-    rows = F.filter(F.split(L.strip_fences(F.trim(F.col(text))), r"\r\n|\n|\r"), lambda r: ~r.rlike(r"(?U)^\s*$"))
+def _document(text: Column) -> Column:
+    """The aggregate that joins a page's lines in order, a blank line between; blank rows and empty lines go."""
+    rows = F.filter(F.split(L.strip_fences(F.trim(text)), r"\r\n|\n|\r"), lambda r: ~r.rlike(r"(?U)^\s*$"))
     clean = F.array_join(F.transform(rows, lambda r: F.regexp_replace(r, r"(?U)\s+$", "")), "\n")
     listed = F.array_sort(F.collect_list(F.struct("idx", clean.alias("t"))))
-    return lines.groupBy("page_id").agg(F.array_join(F.transform(F.filter(listed, lambda x: x["t"] != ""), lambda x: x["t"]), "\n\n").alias("document"))
+    return F.array_join(F.transform(F.filter(listed, lambda x: x["t"] != ""), lambda x: x["t"]), "\n\n")
+
+
+def _counts() -> dict[str, Column]:
+    """The aggregates of a page's verified lines, by name."""
+    corrections = F.size(F.filter("issues", lambda i: i["fixed"] & i["content"]))
+    by_status = {s: F.count_if(F.col("status") == s) for s in ("green", "yellow", "grey")}
+    failed = F.col("error").isNotNull()
+    return {"lines": F.count("*"), **by_status, "failed": F.count_if(failed), "corrections": F.sum(corrections), "open_issues": F.sum(F.size(blocking(F.col("issues")))), "all_failed": F.bool_and(failed)}
+
+
+def merge_lines(lines: DataFrame, text: str = "latex") -> DataFrame:
+    """(page_id, document): a page's lines in order, a blank line between; blank rows and empty lines go."""
+    return lines.groupBy("page_id").agg(_document(F.col(text)).alias("document"))
 
 
 def page_counts(verified: DataFrame) -> DataFrame:
     """Counts a page: lines by status, failed lines, corrections; all_failed says whether no line succeeded."""
-    corrections = F.size(F.filter("issues", lambda i: i["fixed"] & i["content"]))
-    return verified.groupBy("page_id").agg(
-        F.count("*").alias("lines"), *[F.count_if(F.col("status") == s).alias(s) for s in ("green", "yellow", "grey")], F.count_if(F.col("error").isNotNull()).alias("failed"), F.sum(corrections).alias("corrections"), F.sum(F.size(blocking(F.col("issues")))).alias("open_issues"), F.bool_and(F.col("error").isNotNull()).alias("all_failed"),
-    )
+    return verified.groupBy("page_id").agg(*[c.alias(name) for name, c in _counts().items()])
 
 
 def response(verified: DataFrame) -> DataFrame:
-    """(page_id, json): the nested result of each page, lines in order; partial if a line has an error."""
+    """(page_id, json): the nested result of each page, lines in order; partial if a line has an error. One aggregation, so
+    the lines are verified once."""
     line = F.struct("idx", "kind", "latex", "raw", "status", "error", "issues")
-    pages = verified.groupBy("page_id").agg(F.array_sort(F.collect_list(line.alias("l")), lambda a, b: (a["idx"] - b["idx"]).cast("int")).alias("lines"), F.count_if(F.col("error").isNotNull()).alias("failed"))
-    pages = pages.join(merge_lines(verified), "page_id").join(page_counts(verified).select("page_id", F.struct("green", "yellow", "grey", "corrections").alias("verification")), "page_id")
-    body = F.struct(F.when(F.col("failed") > 0, "partial").otherwise("success").alias("status"), F.col("document").alias("latex"), "verification", "lines")
+    ordered = F.array_sort(F.collect_list(line), lambda a, b: (a["idx"] - b["idx"]).cast("int"))
+    counts = {name: c for name, c in _counts().items() if name in ("green", "yellow", "grey", "corrections", "failed")}
+    pages = verified.groupBy("page_id").agg(_document(F.col("latex")).alias("document"), ordered.alias("lines"), *[c.alias(name) for name, c in counts.items()])
+    verification = F.struct("green", "yellow", "grey", "corrections").alias("verification")
+    body = F.struct(F.when(F.col("failed") > 0, "partial").otherwise("success").alias("status"), F.col("document").alias("latex"), verification, "lines")
     return pages.select("page_id", F.to_json(body).alias("json"))
 
 

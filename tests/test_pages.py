@@ -181,7 +181,7 @@ OPTIONS = {"A": "⇔", "B": "⇒", "C": "="}
 
 @pytest.mark.parametrize(
     ("answer", "options", "expected"),
-    [("B", OPTIONS, "B"), ("(b)", OPTIONS, "B"), ("B: implies", OPTIONS, "B"), ("Answer: C", OPTIONS, "C"), ("it is ⇒ here", OPTIONS, "B"), ("A small circle", OPTIONS, None), ("⇒ or =", OPTIONS, None), ("", OPTIONS, None), ("yes, there is", {"yes": "yes", "no": "no"}, "yes"), ("the digit 5", {"5": "5", "s": "s"}, "5"), ("5 or s", {"5": "5", "s": "s"}, "5"), ("maybe s or 5", {"5": "5", "s": "s"}, None), ("S", {"s": "s", "S": "S"}, "S"), (None, OPTIONS, None)],
+    [("B", OPTIONS, "B"), ("(b)", OPTIONS, "B"), ("B: implies", OPTIONS, "B"), ("Answer: C", OPTIONS, "C"), ("it is ⇒ here", OPTIONS, "B"), ("A small circle", OPTIONS, None), ("⇒ or =", OPTIONS, None), ("", OPTIONS, None), ("yes, there is", {"yes": "yes", "no": "no"}, "yes"), ("the digit 5", {"5": "5", "s": "s"}, "5"), ("5 or s", {"5": "5", "s": "s"}, "5"), ("maybe s or 5", {"5": "5", "s": "s"}, None), ("S", {"s": "s", "S": "S"}, "S"), (None, OPTIONS, None), ("B) ⇒", OPTIONS, "B"), ("a - equivalent", OPTIONS, "A"), ("The answer is (b), I think", OPTIONS, "B"), ("choice: c", OPTIONS, "C"), ("answer is unclear", OPTIONS, None), ("option D", OPTIONS, None), ("Before: ⇒", OPTIONS, "B")],
 )
 def test_match_option(spark, answer, options, expected):
     df = spark.createDataFrame([(answer, options)], "a string, o map<string,string>")
@@ -200,6 +200,34 @@ def test_second_pass(spark):
     assert {(r.page_id, r.idx): (r.latex, r.status) for r in again.collect()}[2, 0] == ("$A(5) = 1$", "green")
 
 
+def test_questions_name_what_was_read(spark):
+    lines = spark.createDataFrame([(1, 0, r"$x (=) y$"), (2, 0, r"$A(s) = 1$")], "page_id long, idx int, text string")
+    asked = {r.page_id: r for r in reask.questions(rules.verify(lines)).collect()}
+    assert "'(=)'" in asked[1].question and "$x" in asked[1].question and asked[1].question.endswith("A, B or C.")
+    assert "A(s)" in asked[2].question and asked[2].question.endswith("5 or s.")
+    ell = spark.range(1).select(reask.question_options(F.lit(r"ell_vs_1"), F.array(F.lit("1"), F.lit(r"\ell"))).alias("o"), reask.question_text(F.lit("ell_vs_1"), F.array(F.lit("1"), F.lit(r"\ell")), F.lit("x")).alias("q")).first()
+    assert ell.o == {"1": "1", "l": r"\ell"} and ell.q.endswith("1 or l.")
+
+
+def test_second_pass_end_to_end(spark):
+    """A failed line is read again, a worse reading is refused, an answer decides a line; lines without an image stay."""
+    rows = [(1, 0, None, "timeout"), (1, 1, r"$\begin{pmatrix}1 & 2\end{pmatrix}$", None), (1, 2, "$A(s) = 1$", None), (2, 0, "$A(s) = 1$", None)]
+    lines = spark.createDataFrame(rows, "page_id long, idx int, text string, error string")
+    images = spark.createDataFrame([(1, i, bytes([i])) for i in range(3)], "page_id long, idx int, image binary")
+    final, events = reask.second_pass(lines, images, lambda b: b["idx"].map({0: "$x = 1$", 1: "$x = {$"}), lambda b: b["prompt"].map(lambda p: "5" if "A(s)" in p else None))
+    got = {(r.page_id, r.idx): (r.latex, r.status) for r in final.collect()}
+    assert got == {(1, 0): ("$x = 1$", "green"), (1, 1): (rows[1][2], "yellow"), (1, 2): ("$A(5) = 1$", "green"), (2, 0): ("$A(s) = 1$", "yellow")}
+    seen = sorted((r.page_id, r.idx, r.event, r.accepted) for r in events.collect())
+    assert seen == [(1, 0, "retranscribe", True), (1, 1, "retranscribe", False), (1, 2, "question", True)]
+
+
+def test_regions_without_lines_stay(spark):
+    lines = spark.createDataFrame([(1, 0, 0, 0, 10, 10), (1, 1, 2, 2, 4, 4)], "page_id long, line_id int, x int, y int, w int, h int")
+    box = "struct<x:int,y:int,w:int,h:int>"
+    regions = spark.createDataFrame([(1, 0, (0, 0, 20, 20)), (1, 1, (90, 90, 5, 5)), (2, 0, (0, 0, 5, 5))], f"page_id long, region_id int, bbox {box}")
+    assert sorted(map(tuple, layout.lines_of_regions(lines, regions).collect())) == [(1, 0, [0, 1]), (1, 1, []), (2, 0, [])]
+
+
 def test_merge(spark):
     df = spark.createDataFrame([(1, 1, "b \n\n c"), (1, 0, "```\na\n```"), (1, 2, " "), (2, 0, "")], "page_id long, idx int, latex string")
     assert {r.page_id: r.document for r in pages.merge_lines(df).collect()} == {1: "a\n\nb\n c", 2: ""}
