@@ -32,6 +32,8 @@ from .common import cut, free_name, text_buffer
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared at once; larger ones are dealt again.
 LIMIT = 8192
+#: Tasks over which the members of one component are dealt when they get its label.
+PARTS = 32
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -167,17 +169,21 @@ def links(distinct: DataFrame, radius: int = RADIUS, limit: int = LIMIT) -> Data
 
 
 def _components(owners: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(fp, owner, component) of the distinct fingerprints with their owners."""
+    """(fp, owner, component, linked) of the distinct fingerprints with their owners; `linked` to another one or not."""
     parts = connected_components(links(owners.select("fp"), radius))
-    return owners.join(parts, owners["fp"] == parts["node"], "left").select("fp", "owner", F.coalesce("component", "fp").alias("component"))
+    joined = owners.join(parts, owners["fp"] == parts["node"], "left")
+    return joined.select("fp", "owner", F.coalesce("component", "fp").alias("component"), F.col("node").isNotNull().alias("linked"))
 
 
 def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """Per document: doc_id, fp, component_id (the smallest id it reaches through links of at most `radius` bits)."""
     prints = cut(fingerprints(documents, id_col, text_col, shingle))
     joined = _components(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner"))), radius)
-    lowest = joined.groupBy("component").agg(F.min("owner").alias("component_id"))
-    labels = joined.join(lowest, "component").select("fp", "component_id")
+    linked = joined.where("linked")
+    # A large component may hold many fingerprints: its members are dealt over several tasks, each with a copy of its label.
+    lowest = linked.groupBy("component").agg(F.min("owner").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(lowest, ["component", "part"])
+    labels = members.select("fp", "component_id").unionByName(joined.where("not linked").select("fp", F.col("owner").alias("component_id")))
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
 
 
