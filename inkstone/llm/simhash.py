@@ -33,7 +33,7 @@ BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared at once; larger ones are dealt again.
 LIMIT = 8192
 #: Tasks over which the members of one component are dealt when they get its label.
-PARTS = 32
+PARTS = 16
 
 
 def masks(bits: list[int], radius: int = RADIUS) -> list[int]:
@@ -181,7 +181,8 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     joined = _components(cut(prints.groupBy("fp").agg(F.min("doc_id").alias("owner"))), radius)
     linked = joined.where("linked")
     # A large component may hold many fingerprints: its members are dealt over several tasks, each with a copy of its label.
-    lowest = linked.groupBy("component").agg(F.min("owner").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    # The copies grow with the input, so they are shuffled, never broadcast.
+    lowest = linked.groupBy("component").agg(F.min("owner").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge")
     members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(lowest, ["component", "part"])
     labels = members.select("fp", "component_id").unionByName(joined.where("not linked").select("fp", F.col("owner").alias("component_id")))
     return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
