@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .centroids import cluster
 from .common import table
 from .decontaminate import leaks
 from .html_text import extract
@@ -15,9 +16,11 @@ from .secret_scan import scan
 from .sentencepiece_codec import codec_digest
 from .sharding import shard
 from .simhash import simhash_groups
+from .source_audit import audit
 from .sql import ORACLES, SHARD_BYTES
 from .substring_dedup import dedup_words
 from .suffix_dedup import dedup_bytes
+from .toxicity import score as toxicity
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -61,7 +64,19 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan(table(spark, sf_dir, "documents"))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"))
+
+
+def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_substring_dedup, op2_suffix_dedup, op3_sharding, op4_quality_classifier, op5_decontamination, op6_html_extraction, op7_simhash, op8_sentencepiece, op9_quality_rules, op10_secret_scan)
+    for f in (op1_substring_dedup, op2_suffix_dedup, op3_sharding, op4_quality_classifier, op5_decontamination, op6_html_extraction, op7_simhash, op8_sentencepiece, op9_quality_rules, op10_secret_scan, op11_source_divergence, op12_toxicity, op13_centroid_clustering)
 }

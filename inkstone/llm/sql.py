@@ -1,13 +1,15 @@
-"""DuckDB SQL for the corpus queries that SQL expresses on whole tables. The other queries (1, 2, 4, 6, 7, 8 and the
-pipeline) are held against brute force, round trips and held-out accuracy in tests/llm."""
+"""DuckDB SQL for the corpus queries that SQL expresses on whole tables. The other queries (1, 2, 4, 6, 7, 8, 12
+and the pipeline) are held against brute force, round trips and held-out accuracy in tests/llm."""
 
 from __future__ import annotations
 
+from .centroids import CLUSTERS, DIMENSIONS, ROUNDS, SCALE, SEED
 from .decontaminate import _EDGE, LEAST_PLAIN, LEAST_SHARE, UNITS, WINDOW
 from .quality_rules import LEAST_WORDS, MOST_REPEATED, RULES, STOP_WORDS
 from .quality_rules import WINDOW as REPEAT
 from .secret_scan import BASE
 from .secret_scan import RULES as SECRETS
+from .source_audit import CAPITALS, LEAST_DOCS, SMALL, TOP, UNIT
 
 BLANK = r"[\x20\x09-\x0D]+"
 
@@ -104,7 +106,45 @@ def op10() -> str:
     select doc_id, {", ".join(f"cast(coalesce(n_{k}, 0) as bigint) n_{k}" for k in BASE)}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join l using (rid)"""
 
 
+def op11() -> str:
+    """Every source of a language against every term and every other source of it, without any shortcut."""
+    share = lambda count, size: f"1 + ({UNIT} * ({count} + 1)::hugeint) // ({size} + v)"
+    gain = "cast(((p - q) * (p - q)) // q as bigint)"
+    return rf"""
+    with d as (select row_number() over () rid, coalesce(lang, '') lang, coalesce(source, '') source, translate(coalesce(text, ''), '{CAPITALS}', '{SMALL}') t from documents),
+    w as (select rid, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) term from d),
+    c as (select lang, source, term, count(*) n from w group by all),
+    k as (select lang, term from w group by 1, 2 having count(distinct rid) >= {LEAST_DOCS}),
+    v as (select lang, count(*) v from k group by 1),
+    g as (select distinct lang, source from d),
+    x as (select g.lang, g.source, k.term, coalesce(c.n, 0) n from g join k on g.lang = k.lang left join c on c.lang = g.lang and c.source = g.source and c.term = k.term),
+    y as (select x.*, v, sum(n) over (partition by lang, source) size, sum(n) over (partition by lang, term) n_all, sum(n) over (partition by lang) size_all from x join v using (lang)),
+    z as (select lang, source, term, n, {share("n", "size")} p, {share("n_all", "size_all")} q from y),
+    pairs as (select a.lang, a.source, b.source item, coalesce(s.value, 0) as value from g a join g b on a.lang = b.lang and a.source <> b.source
+        left join (select lang, source, item, sum({gain}) as value from (select a.lang, a.source, b.source item, a.p, b.p q from z a join z b on a.lang = b.lang and a.term = b.term and a.source <> b.source) group by 1, 2, 3) s on s.lang = a.lang and s.source = a.source and s.item = b.source),
+    tops as (select lang, source, term item, {gain} as value from z where n > 0 and p > q),
+    both_parts as (select lang, source, 'pair' part, item, cast(value as bigint) as value from pairs union all select lang, source, 'term', item, value from tops)
+    select lang, source, part, item, value, cast(row_number() over (partition by lang, source, part order by value desc, item) as int) rank from both_parts qualify part = 'pair' or rank <= {TOP}"""
+
+
+def op13() -> str:
+    """Every round spelled out: distances to all centroids, the nearest one, and the mean of each cluster rounded down."""
+    of = lambda c: f"list_sum(list_transform(range(1, {DIMENSIONS + 1}), lambda i: (p.v[i] - {c}.v[i]) * (p.v[i] - {c}.v[i])))"
+    nearest = lambda c: f"select vec_id, p.v, {c}.k, {of(c)} as distance from p, {c} qualify row_number() over (partition by vec_id order by distance, {c}.k) = 1"
+    steps = [f"c0 as materialized (select row_number() over (order by h) - 1 k, v from (select v, sha256('{SEED}:' || vec_id) h from p order by h limit {CLUSTERS}))"]
+    for i in range(ROUNDS):
+        mean = "cast((s - ((s % n) + n) % n) // n as bigint)"
+        steps.append(f"a{i} as materialized ({nearest(f'c{i}')})")
+        steps.append(f"m{i} as materialized (select k, list({mean} order by i) v from (select k, i, cast(sum(x) as bigint) s, count(*) n from (select k, unnest(v) x, unnest(range(1, {DIMENSIONS + 1})) i from a{i}) group by 1, 2) group by 1)")
+        steps.append(f"c{i + 1} as materialized (select c{i}.k, coalesce(m{i}.v, c{i}.v) v from c{i} left join m{i} using (k))")
+    return f"""
+    with p as materialized (select vec_id, list_transform(embedding, lambda x: cast(floor(x::double * {SCALE}) as bigint)) v from embeddings where len(embedding) = {DIMENSIONS} and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {DIMENSIONS}),
+    {", ".join(steps)}, last as materialized ({nearest(f"c{ROUNDS}")})
+    select vec_id, cast(last.k as int) as cluster, cast(distance as bigint) as distance, cast(sum(distance) over (partition by last.k) as bigint) cluster_inertia, cast(sum(distance) over () as bigint) inertia, sha256(array_to_string(c.v, ',')) centroid_sha256
+    from last join c{ROUNDS} c on c.k = last.k"""
+
+
 #: Bytes of text in a shard of the query. The tables at hand are small; 1 MiB lets the directory grow over several depths.
 SHARD_BYTES = 1 << 20
 
-ORACLES: dict[str, str] = {"op3_sharding": op3(SHARD_BYTES), "op5_decontamination": op5(), "op9_quality_rules": op9(), "op10_secret_scan": op10()}
+ORACLES: dict[str, str] = {"op3_sharding": op3(SHARD_BYTES), "op5_decontamination": op5(), "op9_quality_rules": op9(), "op10_secret_scan": op10(), "op11_source_divergence": op11(), "op13_centroid_clustering": op13()}
