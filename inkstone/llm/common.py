@@ -46,6 +46,11 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """What a row is known by: two 64-bit hashes of its id and text, of different seeds. Rows of one key have one id and text."""
+    return F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("a"), F.xxhash64(F.lit("second"), F.col(id_col), F.col(text_col)).alias("b"))
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """Bytes of all texts, from which the number of shards follows."""
     return int(df.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0)

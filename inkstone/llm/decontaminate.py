@@ -7,12 +7,13 @@ the item must stand for one value of the document within an occurrence of the it
 item's own positions); windows that say otherwise don't count. A document leaks an item when the consistent windows of all
 its occurrences cover at least a quarter of the item's windows.
 
-All documents' windows are joined with the benchmark's by hash; slots are then read from the documents that met any. What
+All documents' windows are joined with the benchmark's by hash, and then compared word by word; slots are then read from the documents that met any. What
 is broadcast is counted first and has at most 200,000 rows; a larger side is shuffled.
 
 Defined cases: null and empty texts have no windows and never leak. Items or documents shorter than a window have none
 either. Windows with fewer than four plain words prove nothing and are left out on both sides. Repeated items are the
-same item. A row is known by the hash of its id and text, and each row is judged by itself: rows that share an id, or have
+same item. Slot values with equally many votes: the smaller one counts. Very long texts and items are read whole. An empty table on
+either side gives no leaks. A row is known by two hashes of its id and text, and each row is judged by itself: rows that share an id, or have
 none, neither add up nor go with one another. The report has one row for an id (or null) and an item, that of the row with
 most windows. Extra columns are ignored (`decontaminate` keeps them).
 """
@@ -26,7 +27,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, free_name
+from .common import cut, free_name, row_key
 from .exprs import let, words
 
 WINDOW, LEAST_PLAIN, LEAST_SHARE, BROADCAST_ROWS = 8, 4, 0.25, 200_000
@@ -77,11 +78,11 @@ def window_hashes(text: Column) -> Column:
 
 
 def windows(text: Column) -> Column:
-    """Array of (pos, h, slots) of a text's windows that hold enough plain words."""
+    """Array of (pos, h, ws, slots) of a text's windows that hold enough plain words; ws are the words of the template."""
 
     def make(parts: Column) -> Column:
         at = F.sequence(F.lit(1), F.size(parts["w"]) - (WINDOW - 1))
-        made = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(parts["w"], i, WINDOW)).alias("h"), F.slice(parts["v"], i, WINDOW).alias("slots")))
+        made = F.transform(at, lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(parts["w"], i, WINDOW)).alias("h"), F.slice(parts["w"], i, WINDOW).alias("ws"), F.slice(parts["v"], i, WINDOW).alias("slots")))
         return F.filter(made, lambda x: F.size(F.array_compact(x["slots"])) <= WINDOW - LEAST_PLAIN)
 
     return _templates(text, lambda t: F.when(F.size(t) >= WINDOW, let(F.struct(t["w"].alias("w"), t["v"].alias("v")), make)))
@@ -93,10 +94,6 @@ def _bounded(df: DataFrame) -> tuple[DataFrame, bool]:
     return (F.broadcast(df) if few else df), few
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """One row for each leaked item of a document: doc_id, item_id, n_windows, item_windows, n_slots."""
     rows = row_leaks(documents, benchmark, id_col, text_col, item_col, item_text_col, least_share)
@@ -106,17 +103,17 @@ def leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
 
 def row_leaks(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", least_share: float = LEAST_SHARE) -> DataFrame:
     """`leaks` of each row by itself, with its key."""
-    made = benchmark.select(F.col(item_col).alias("item_id"), F.explode(windows(F.col(item_text_col))).alias("x")).select("item_id", F.col("x.pos").alias("item_pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("item_slots"))
+    made = benchmark.select(F.col(item_col).alias("item_id"), F.explode(windows(F.col(item_text_col))).alias("x")).select("item_id", F.col("x.pos").alias("item_pos"), F.col("x.h").alias("h"), F.col("x.ws").alias("item_ws"), F.col("x.slots").alias("item_slots"))
     items = cut(made.distinct())
     sizes, _ = _bounded(items.groupBy("item_id").agg(F.countDistinct("item_pos").alias("item_windows")))
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), _row_key(id_col, text_col).alias("key"))
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_key(id_col, text_col).alias("key"))
     # First the documents with any window of the benchmark; slots are read from these alone.
     known, _ = _bounded(items.select("h").distinct())
     met = cut(docs.select("key", F.explode(window_hashes(F.col("text"))).alias("h")).join(known, "h", "left_semi").select("key").distinct())
     some, _ = _bounded(met)
-    found = docs.join(some, "key", "left_semi").select("key", "doc_id", F.explode(windows(F.col("text"))).alias("x")).select("key", "doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.slots").alias("slots"))
+    found = docs.join(some, "key", "left_semi").select("key", "doc_id", F.explode(windows(F.col("text"))).alias("x")).select("key", "doc_id", F.col("x.pos").alias("pos"), F.col("x.h").alias("h"), F.col("x.ws").alias("ws"), F.col("x.slots").alias("slots"))
     sides, _ = _bounded(items)
-    hits = found.join(sides, "h").select("key", "doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "item_slots", "slots").distinct()
+    hits = found.join(sides, "h").where("ws = item_ws").select("key", "doc_id", "item_id", "item_pos", (F.col("pos") - F.col("item_pos")).alias("at"), "item_slots", "slots").distinct()
     pairs = F.filter(F.arrays_zip(F.col("item_slots").alias("a"), F.col("slots").alias("b")), lambda x: x["a"].isNotNull())
     hits = cut(hits.select("key", "doc_id", "item_id", "at", "item_pos", F.transform(pairs, lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))).alias("pairs")))
     # A slot's value is the one that most windows of the occurrence give it; ties go to the smaller one.
@@ -135,4 +132,4 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc
     """The documents that leak no item, with their own columns."""
     name = free_name(documents, "key")
     bad = row_leaks(documents, benchmark, id_col, text_col, least_share=least_share).select(F.col("key").alias(name)).distinct()
-    return documents.join(bad, _row_key(id_col, text_col) == F.col(name), "left_anti")
+    return documents.join(bad, row_key(id_col, text_col) == F.col(name), "left_anti")

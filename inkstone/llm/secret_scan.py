@@ -5,8 +5,9 @@ of its alternatives. The index lists, for blocks of documents, the documents wit
 postings are intersected and united as the query says, and only candidates are verified. Rules without a mandatory trigram
 (the hex rule) scan every text.
 
-Index keys are 64-bit hashes of id and text. Two rows with one key are both candidates, and candidates are verified on
-their text, so a collision costs time and no result.
+Index keys are hashes of id and text. Two rows with one key are both candidates, and candidates are verified on their text, so
+a collision costs time and no result. The candidates are few, but grow with the input: they are counted, and up to
+`BROADCAST_ROWS` are sent to the documents where these stand, so that no text is shuffled; beyond that both are dealt by key.
 
 Defined cases: null and empty texts hold nothing. Repeated rows are scanned alike; rows without an id keep their null id.
 Matches are leftmost and do not overlap within a kind; kinds may overlap each other, spans of one start stand in the order
@@ -24,7 +25,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import cut, free_name, row_key
 from .exprs import count_of, let
 
 
@@ -46,12 +47,21 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
-    # The header, the fields of an encrypted key, the key itself (line ends may be written as \\n) and the END line, if any.
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[\x20\x09-\x0D\\nr]*(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]*){0,2}[A-Za-z0-9+/=\\\x20\x09-\x0D]*(?:-----END [A-Z ]*PRIVATE KEY-----)?"),
+    # The header; behind it the fields of an encrypted key, lines of base64 (line ends may be written as \\n; a line has 32
+    # signs or more, but for the last one, which ends in =, stands before the END line or is cut off by the end of the text),
+    # and the END line. Prose behind a mere mention of the header is none of these.
+    Rule(
+        "private_key",
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:@(?:Proc-Type|DEK-Info):[A-Za-z0-9,\x20-]*){0,2}(?:(?:@[A-Za-z0-9+/]{32,}={0,2})+(?:@[A-Za-z0-9+/]{0,31}={0,2}@END|@[A-Za-z0-9+/]{1,31}(?:={1,2}|$))?|@[A-Za-z0-9+/]{0,31}={0,2}@END)?".replace(
+            "@END", "@-----END [A-Z ]*PRIVATE KEY-----"
+        ).replace("@", r"(?:[\x20\x09-\x0D]|\\[nr])*"),
+    ),
 )
 BASE = ("assign", "access", "hex")
 #: Documents in a block of the index.
 BLOCK_ROWS = 20_000
+#: Candidates up to which they are broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def trigram_query(pattern: str) -> list[list[str]] | None:
@@ -89,22 +99,18 @@ def trigram_query(pattern: str) -> list[list[str]] | None:
     return None if any(not x for x in found) else found
 
 
-def _row_key(id_col: str, text_col: str) -> Column:
-    return F.xxhash64(F.col(id_col), F.col(text_col))
-
-
 def trigram_index(documents: DataFrame, trigrams: list[str], id_col: str = "doc_id", text_col: str = "text", n_blocks: int = 1) -> DataFrame:
     """Postings: block, trigram, keys of the block's documents that hold it."""
     low = F.lower(F.col(text_col))
     have = let(low, lambda t: F.filter(F.array(*[F.lit(x) for x in trigrams]), lambda x: F.contains(t, x)))
-    rows = documents.where(F.col(text_col).isNotNull()).select(_row_key(id_col, text_col).alias("key"), have.alias("have"))
-    return rows.select("key", F.explode("have").alias("trigram")).groupBy(F.pmod("key", F.lit(n_blocks)).alias("block"), "trigram").agg(F.collect_set("key").alias("keys"))
+    rows = documents.where(F.col(text_col).isNotNull()).select(row_key(id_col, text_col).alias("key"), have.alias("have"))
+    return rows.select("key", F.explode("have").alias("trigram")).groupBy(F.pmod(F.col("key.a"), F.lit(n_blocks)).alias("block"), "trigram").agg(F.collect_set("key").alias("keys"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """(key, kinds): the documents that a rule's trigram query leaves, by intersecting and uniting postings."""
     postings = index.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("trigram", "keys"))).alias("p"))
-    none = F.array().cast("array<bigint>")
+    none = F.array().cast("array<struct<a:bigint,b:bigint>>")
 
     def evaluate(query: list[list[str]]) -> Column:
         alternatives = []
@@ -153,8 +159,9 @@ def with_spans(documents: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trigrams = sorted({t for r in rules for a in trigram_query(r.pattern) or [] for t in a})
     n_blocks = max(1, -(-documents.count() // BLOCK_ROWS))
     index = trigram_index(documents, trigrams, id_col, text_col, n_blocks)
-    found = candidates(index, rules).select(F.col("key").alias(key), F.col("kinds").alias(kinds))
-    rows = documents.withColumn(key, _row_key(id_col, text_col)).join(found, key, "left")
+    found = cut(candidates(index, rules).select(F.col("key").alias(key), F.col("kinds").alias(kinds)))
+    few = found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    rows = documents.withColumn(key, row_key(id_col, text_col)).join(F.broadcast(found) if few else found, key, "left")
     text = F.coalesce(F.col(text_col), F.lit(""))
     empty = F.array().cast("array<struct<start:int,order:int,end:int,kind:string>>")
     parts = []

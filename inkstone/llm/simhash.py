@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import cut, free_name, text_buffer
+from .common import cut, free_name, row_key, text_buffer
 
 BITS, RADIUS, SHINGLE, SEED = 64, 4, 4, 42
 #: Members of a bucket that are compared at once; larger ones are dealt again.
@@ -185,7 +185,9 @@ def near_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lowest = linked.groupBy("component").agg(F.min("owner").alias("component_id")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge")
     members = linked.withColumn("part", F.pmod(F.xxhash64("fp"), F.lit(PARTS)).cast("int")).join(lowest, ["component", "part"])
     labels = members.select("fp", "component_id").unionByName(joined.where("not linked").select("fp", F.col("owner").alias("component_id")))
-    return prints.join(labels, "fp", "left").select("doc_id", "fp", "component_id")
+    # Copies of one text share a fingerprint: they are dealt over several tasks too.
+    copies = labels.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)))).hint("merge")
+    return prints.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(PARTS)).cast("int")).join(copies, ["fp", "part"], "left").select("doc_id", "fp", "component_id")
 
 
 def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -195,12 +197,13 @@ def simhash_groups(documents: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group, with its own columns: the one with the smallest id (none sorts last), then the smallest hash of
-    id and text; of rows equal in both, any one."""
-    key, name = F.xxhash64(F.col(id_col), F.col(text_col)), free_name(documents, "key")
-    prints = fingerprints(documents, id_col, text_col, key=key)
-    owners = cut(prints.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")).alias("owner")))
-    winners = _components(owners).groupBy("component").agg(F.min("owner").alias("owner")).select(F.col("owner.key").alias(name))
+    """One row of each group, with its own columns: the one with the smallest id (none sorts last), then the smallest key of
+    id and text; of rows equal in both, any one. Keys are two hashes, so that rows of different texts are never one."""
+    key, name = row_key(id_col, text_col), free_name(documents, "key")
+    prints = fingerprints(documents, id_col, text_col, key_a=key["a"], key_b=key["b"])
+    own = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col("key_a").alias("a"), F.col("key_b").alias("b"))
+    owners = cut(prints.groupBy("fp").agg(F.min(own).alias("owner")))
+    winners = _components(owners).groupBy("component").agg(F.min("owner").alias("owner")).select(F.struct("owner.a", "owner.b").alias(name))
     # Equal rows are reduced before they are shuffled.
     rows = documents.withColumn(name, key).dropDuplicates([name])
     return rows.join(winners, name, "left_semi").drop(name)

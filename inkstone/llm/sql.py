@@ -25,12 +25,12 @@ def listed(words: list[str] | tuple[str, ...]) -> str:
 def op3(limit: int) -> str:
     """Every prefix's bytes; a document's shard is its shortest prefix that fits."""
     return f"""
-    with d as (select doc_id, cast(coalesce(strlen(text), 0) as bigint) n_bytes, lpad(bin(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint)), 60, '0') bits from documents),
+    with d as (select row_number() over () rid, doc_id, cast(coalesce(strlen(text), 0) as bigint) n_bytes, lpad(bin(cast('0x' || substr(md5(coalesce(cast(doc_id as varchar), '')), 1, 15) as bigint)), 60, '0') bits from documents),
     p as (select *, unnest(range(0, 61)) depth from d), q as (select *, substr(bits, 1, depth) prefix from p),
     s as (select depth, prefix, sum(n_bytes) shard_bytes, count(*) shard_docs from q group by 1, 2),
     f as (select q.*, s.shard_bytes, s.shard_docs from q join s using (depth, prefix) where s.shard_bytes <= {limit} or depth = 60)
     select doc_id, n_bytes, prefix as shard, cast(depth as int) depth, cast(shard_bytes as bigint) shard_bytes, shard_docs, shard_bytes <= {limit} as fits from f
-    qualify row_number() over (partition by doc_id order by depth) = 1"""
+    qualify row_number() over (partition by rid order by depth) = 1"""
 
 
 def op5() -> str:
@@ -48,13 +48,13 @@ def op5() -> str:
     n as (select k, id, pos, array_to_string(tw[pos:pos + {WINDOW - 1}], ' ') h, tv[pos:pos + {WINDOW - 1}] slots from x where len(list_filter(tv[pos:pos + {WINDOW - 1}], lambda v: v is not null)) <= {WINDOW - LEAST_PLAIN}),
     sizes as (select id item_id, count(distinct pos) item_windows from n where k = 'b' group by 1),
     hits as (select distinct d.id doc_id, b.id item_id, b.pos item_pos, d.pos, b.slots item_slots, d.slots from n d join n b on d.h = b.h and d.k = 'd' and b.k = 'b'),
-    pairs as (select doc_id, item_id, item_pos, pos, unnest(item_slots) a, unnest(slots) b from hits),
-    votes as (select doc_id, item_id, a, b, count(*) c from pairs where a is not null group by 1, 2, 3, 4),
-    chosen as (select doc_id, item_id, a, b from votes qualify row_number() over (partition by doc_id, item_id, a order by c desc, b) = 1),
-    bad as (select distinct p.doc_id, p.item_id, p.item_pos, p.pos from pairs p join chosen c on p.doc_id = c.doc_id and p.item_id = c.item_id and p.a = c.a where p.b <> c.b),
-    good as (select h.* from hits h anti join bad using (doc_id, item_id, item_pos, pos)),
+    pairs as (select doc_id, item_id, item_pos, pos, pos - item_pos as off, unnest(item_slots) a, unnest(slots) b from hits),
+    votes as (select doc_id, item_id, off, a, b, count(*) c from pairs where a is not null group by 1, 2, 3, 4, 5),
+    chosen as (select doc_id, item_id, off, a, b from votes qualify row_number() over (partition by doc_id, item_id, off, a order by c desc, b) = 1),
+    bad as (select distinct p.doc_id, p.item_id, p.item_pos, p.pos from pairs p join chosen c on p.doc_id = c.doc_id and p.item_id = c.item_id and p.off = c.off and p.a = c.a where p.b <> c.b),
+    good as (select h.*, pos - item_pos as off from hits h anti join bad using (doc_id, item_id, item_pos, pos)),
     counts as (select doc_id, item_id, count(distinct item_pos) n_windows from good group by 1, 2),
-    slots as (select doc_id, item_id, count(*) n_slots from chosen group by 1, 2)
+    slots as (select doc_id, item_id, count(distinct a) n_slots from chosen semi join good using (doc_id, item_id, off) group by 1, 2)
     select doc_id, item_id, n_windows, item_windows, coalesce(n_slots, 0) as n_slots from counts join sizes using (item_id) left join slots using (doc_id, item_id) where n_windows >= {LEAST_SHARE} * item_windows"""
 
 

@@ -144,6 +144,26 @@ def test_a_whole_private_key_is_found_and_masked(spark):
     assert f"private_key:7:{7 + len(locked)}" in spans[2].split(",")
 
 
+def test_prose_behind_the_header_of_a_private_key_stays(spark):
+    head, full, end = "-----BEGIN RSA PRIVATE KEY-----", "aB3+/xYz" * 8, "-----END RSA PRIVATE KEY-----"
+    rows = [
+        (1, f"see {head} is the header line of such a file and this prose goes on for a while. End"), (2, f"see {head}\nAnd so on"), (3, f"see {head}"), (4, f"see {head}\n{full}\nThis is prose."), (5, f"see {head}\n{full}\nshort=\nprose"),
+        (6, f"see {head}\n{full}\nshort\n{end}prose"), (7, f"see {head}\nshort\n{end} prose"), (8, f"see {head} {end} prose"), (9, f"see {head}\n{full}\ncut"), (10, f"{head} and {head}\n{full}"),
+    ]
+    masked = {r.doc_id: r.text for r in secret_scan.redact(table(spark, rows)).collect()}
+    assert masked == {
+        1: "see [secret] is the header line of such a file and this prose goes on for a while. End", 2: "see [secret]\nAnd so on", 3: "see [secret]", 4: "see [secret]\nThis is prose.", 5: "see [secret]\nprose",
+        6: "see [secret]prose", 7: "see [secret] prose", 8: "see [secret] prose", 9: "see [secret]", 10: "[secret] and [secret]",
+    }
+
+
+def test_candidates_beyond_the_broadcast(spark, monkeypatch):
+    rows = [*SECRETS, *[(7, "token=abcdef1")] * 40]
+    want = sorted(map(str, secret_scan.scan(table(spark, rows)).collect()))
+    monkeypatch.setattr(secret_scan, "BROADCAST_ROWS", 1)
+    assert sorted(map(str, secret_scan.scan(table(spark, rows)).collect())) == want
+
+
 ITEM = "If a Train leaves Paris at 9 with 120 people and each of the wagons holds 40 of them how many wagons does Marie count"
 
 
@@ -209,3 +229,35 @@ def test_sql_agrees(spark, name):
     from inkstone.llm.queries import QUERIES
 
     assert compare(spark, duck(f"{DATA}/sf0.001"), name, QUERIES[name], ORACLES[name], f"{DATA}/sf0.001") == ""
+
+
+def test_sql_of_leaks_votes_for_each_occurrence(spark, tmp_path):
+    """The SQL agrees where a document holds an item in several variants, of which the tables at hand have none."""
+    import duckdb
+
+    from inkstone.llm.queries import QUERIES
+
+    item = "today Anna pays 10 coins for apples while Boris pays 20 coins for pears and Clara pays 30 coins for plums before Dana goes home"
+    one, two = item.replace("10", "11").replace("Boris", "Petra"), item.replace("10", "12").replace("Boris", "Simon")
+    spark.createDataFrame([(1, f"so {one}"), (2, f"so {one}. so {two}"), (3, f"so {two}. so {item}. so {one}"), (4, "none")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(5, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"create view {t} as select * from read_parquet('{tmp_path}/{t}.parquet/*.parquet')")
+    assert compare(spark, con, "op5", QUERIES["op5_decontamination"], ORACLES["op5_decontamination"], str(tmp_path)) == ""
+    assert QUERIES["op5_decontamination"](spark, str(tmp_path)).count() == 3
+
+
+def test_rows_of_one_hash_are_told_apart(spark, monkeypatch):
+    """With the first of a row's two hashes the same for all rows, the second alone tells them apart."""
+    from inkstone.llm import simhash
+    from inkstone.llm.common import row_key
+
+    half = lambda i, t: F.struct(F.lit(1).cast("long").alias("a"), row_key(i, t)["b"].alias("b"))
+    for module in (decontaminate, simhash, secret_scan):
+        monkeypatch.setattr(module, "row_key", half)
+    bench = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    docs = table(spark, [(1, ITEM), (2, "something else"), (3, "other words here token=abcdef1")])
+    assert {r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()} == {2, 3}
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {1, 2, 3}
+    assert {r.doc_id for r in secret_scan.scan(docs).where("spans <> ''").collect()} == {3}
