@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import latex as L
@@ -10,10 +10,20 @@ from .reask import rank
 
 
 def distances(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
-    """rows with character and token distances of the normal forms and the gold's lengths."""
-    df = rows.withColumns({"__p": L.normalise(F.col(pred)), "__g": L.normalise(F.col(gold))})
+    """rows with character and token distances of the normal forms and the gold's lengths.
+
+    Lines are dealt anew: the work on a line grows faster than its length, and long lines stand together in their document.
+    Where every token is one character the two distances are one."""
+    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, which Spark does not lower
+    df = rows.repartition(n_parts, F.xxhash64(pred, gold)).withColumns({"__p": L.normalise(F.col(pred)), "__g": L.normalise(F.col(gold))})
     df = df.withColumns({"__pt": L.tokens(F.col("__p")), "__gt": L.tokens(F.col("__g"))})
-    return df.withColumns({"char_errors": F.when(F.col("__p") == F.col("__g"), F.lit(0)).otherwise(F.levenshtein("__p", "__g")).cast("long"), "gold_chars": F.length("__g").cast("long"), "token_errors": F.when(F.col("__p") == F.col("__g"), F.lit(0)).otherwise(L.token_distance(F.col("__pt"), F.col("__gt"))).cast("long"), "gold_tokens": F.size("__gt").cast("long"), "exact": F.col("__p") == F.col("__g")}).drop("__p", "__g", "__pt", "__gt")
+
+    def both(chars: Column) -> Column:
+        plain = (F.size("__pt") == F.length("__p")) & (F.size("__gt") == F.length("__g"))
+        return F.struct(chars.cast("long").alias("c"), F.when(plain, chars).otherwise(L.token_distance(F.col("__pt"), F.col("__gt"))).cast("long").alias("t"))
+
+    df = df.withColumn("__d", L.let(L.edit_distance(F.col("__p"), F.col("__g")), both))
+    return df.withColumns({"char_errors": F.col("__d.c"), "gold_chars": F.length("__g").cast("long"), "token_errors": F.col("__d.t"), "gold_tokens": F.size("__gt").cast("long"), "exact": F.col("__p") == F.col("__g")}).drop("__p", "__g", "__pt", "__gt", "__d")
 
 
 def totals(scored: DataFrame, *grains: str) -> DataFrame:

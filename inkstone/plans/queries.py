@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import latex as L
-from ..operators import evaluate, layout, pages, reask, rules
+from ..operators import evaluate, layout, merging, pages, reask, rules
 from ..sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -185,6 +185,56 @@ def geom_pad(spark, sf):
     return layout.padded(D.boxes(spark, sf), 12, 1300, 520)
 
 
+def _glyphs(spark, sf):
+    return layout.glyph_heights(D.boxes(spark, sf))
+
+
+# The queries below have no SQL: their rounds and folds change the rows that they read. tests/test_merging.py holds each
+# operator against plain Python.
+
+
+@query()
+def geom_merge_close(spark, sf):
+    return merging.merge_close(D.boxes(spark, sf), 10)
+
+
+@query()
+def geom_merge_rows(spark, sf):
+    return merging.merge_rows(D.boxes(spark, sf), _glyphs(spark, sf))
+
+
+@query()
+def geom_merge_boxes(spark, sf):
+    return merging.merge_boxes(D.boxes(spark, sf), _glyphs(spark, sf))
+
+
+@query()
+def geom_table_writing(spark, sf):
+    tables = layout.tables_of(_rules(spark, sf).where("dir = 'h' or rule_id % 4 = 1"), 10).withColumn("area", F.lit(0))
+    return merging.table_writing(D.boxes(spark, sf), tables, _glyphs(spark, sf))[1].where("table_id is not null")
+
+
+@query()
+def geom_bar_pieces(spark, sf):
+    return merging.join_bar_pieces(D.strokes(spark, sf), _glyphs(spark, sf))
+
+
+def _line_boxes(spark, sf):
+    b = layout.with_glyph(D.boxes(spark, sf))
+    return b.where("h >= 0.8 * glyph"), b.where("h < 0.8 * glyph")
+
+
+@query()
+def geom_attach_fragments(spark, sf):
+    lines, pieces = _line_boxes(spark, sf)
+    return merging.attach_fragments(lines, pieces, _glyphs(spark, sf))
+
+
+@query()
+def geom_absorb_fragments(spark, sf):
+    return merging.absorb_fragments(D.boxes(spark, sf), D.strokes(spark, sf), _glyphs(spark, sf))
+
+
 _LINES = "l as (select page_id, box_id line_id, x0 x, y0 y, x1 - x0 w, y1 - y0 h from boxes where box_id % 2 = 1), r as (select page_id, box_id region_id, x0 - 60 x, y0 - 70 y, x1 - x0 + 120 w, y1 - y0 + 100 h from boxes where box_id % 2 = 0)"
 
 
@@ -544,7 +594,7 @@ _SOLID = r"n as (select *, regexp_replace(pred, '[$\s]+', '', 'g') p, regexp_rep
 
 @query("select doc_id, idx, " + _ERRORS.format(g="gold", p="pred") + " as errors from pred_gold", "pred_gold")
 def eval_char_distance(spark, sf):
-    return D.pred_gold(spark, sf).select("doc_id", "idx", F.levenshtein("pred", "gold").cast("long").alias("errors"))
+    return D.pred_gold(spark, sf).select("doc_id", "idx", L.edit_distance(F.col("pred"), F.col("gold")).cast("long").alias("errors"))
 
 
 @query(f"with {_SOLID} select doc_id, idx, e as char_errors, length(g) as gold_chars, e as token_errors, length(g) as gold_tokens, p = g as exact from d", "pred_gold")

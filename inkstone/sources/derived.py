@@ -24,6 +24,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("page_id", F.col("idx").cast("int").alias("box_id"), x0.alias("x0"), y0.alias("y0"), x1.alias("x1"), y1.alias("y1"), (q * 20).cast("long").alias("area"))
 
 
+def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat strokes, several on one height of a page: pieces of fraction bars."""
+    p, s, q, idx = (F.col(x) for x in ("p", "s", "q", "idx"))
+    x0, y0 = (idx * 45 + p % 30).cast("int"), (100 + s % 4 + 60 * (p % 2)).cast("int")
+    return base(spark, sf_dir).select("page_id", idx.cast("int").alias("box_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 10 + q % 40).cast("int").alias("x1"), (y0 + 2 + p % 5).cast("int").alias("y1"), (q * 3).cast("long").alias("area"))
+
+
 def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, q = (F.col(x).cast("string") for x in ("p", "s", "q"))
     kind = (F.col("p") % 15).cast("int")

@@ -328,3 +328,33 @@ def test_entry(spark):
     df = entry.entry(spark)
     assert df.count() > 0 and "cer" in df.columns
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_edit_distance_against_the_whole_table(spark):
+    """The cut and banded distance is the plain one: on near and far strings, of one and several code units, empty ones too."""
+    import random
+
+    rng = random.Random(21)
+    rows = [("", ""), ("", "abc"), ("abc", ""), ("aaa", "aa"), ("abab", "baba"), ("x" * 5000, "x" * 4999 + "y"), ("ab" * 3000, "ba" * 3000)]
+    for _ in range(400):
+        a = rng.choices("abcé✓𝒳", k=rng.randint(0, 60))
+        b = [c for c in a if rng.random() > 0.1]
+        for _ in range(rng.randint(0, 5)):
+            b.insert(rng.randint(0, len(b)), rng.choice("abz"))
+        rows.append(("".join(a), "".join(b if rng.random() < 0.8 else rng.choices("abcé✓", k=rng.randint(0, 300)))))
+    df = spark.createDataFrame(rows, "a string, b string")
+    assert df.where(L.edit_distance(F.col("a"), F.col("b")) != F.levenshtein("a", "b")).count() == 0
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    words = [r"\\frac", r"\\lim", "x", "y", "{", "}", "\U00010400"]
+    pairs = [(rng.choices(words, k=rng.randint(0, 15)), rng.choices([*words, "only b"], k=rng.randint(0, 15))) for _ in range(150)]
+    got = spark.createDataFrame(pairs, "a array<string>, b array<string>").select("a", "b", L.token_distance(F.col("a"), F.col("b")).alias("d")).collect()
+    assert all(r.d == plain(r.a, r.b) for r in got)
