@@ -2,15 +2,18 @@
 
 The standard library's parser streams a page's events into lines (blocks of text), each with its number of tags and the
 section it stands in. Menus, headers and footers of the page, sidebars, notices, adverts, forms, scripts, styles and reader
-comments are left out by their elements and by what their class, id and role call them. Over the other lines of every page
-the text-to-tag ratio is smoothed by a Gaussian and split by a threshold; sections whose text lies mostly in content lines
-are selected whole, so short paragraphs of an article stay. An element's name, article or main, only breaks the tie
-between regions: it wins if it holds at least as much content as the rest of the page.
+comments are left out by their elements and by what their class, id and role call them. What they are is not always said: over
+the lines of every page the logarithm of the text-to-tag ratio is smoothed by a Gaussian (in and outside an article apart) and split by a threshold between its
+two clusters. A section, which is a part of the page or of its article, is kept whole or not at all, by the share of its text
+that stands in lines above the threshold: short paragraphs and lists stay with the text around them, lists of links and
+teasers go wherever they stand, in the article too. Tags that part blocks or format words are not counted, since short lines of
+prose have them as well. An element's name, article or main, decides between regions of prose: it wins if it holds at least as
+much content as the rest of the page.
 
 Defined cases: a null or empty page gives an empty text. Broken markup is read as the parser reads it; unclosed elements
 end with their section. Character references are decoded, with or without semicolon. Inside a block white space becomes
 one space. Marked sections and broken declarations are comments. Repeated pages give repeated rows. Lines at the threshold
-are content. Very long and very deep pages are read whole, in time that grows with their length. Extra columns are ignored.
+are content, and so are all lines where the clusters are not apart or all ratios tie. Very long and very deep pages are read whole, in time that grows with their length. Extra columns are ignored.
 An empty table gives an empty result.
 """
 
@@ -33,12 +36,17 @@ SECTIONS = frozenset("article main section div body html".split())
 CLOSES_P = BLOCKS - {"html", "body", "caption", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: What a part of a page is called that is never content (outside an article also the second list), and words that say
 #: only that something is a part. A class or id names such a part if that is its last word but for these.
-NEVER = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsors sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription sidebar nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus replies respond share sharing social pagination pager".split())
-OUTSIDE = frozenset("notice notices overlay menu footer masthead header discussion related recommended skiplink login signup search".split())
+NEVER = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsors sponsored promo promotion cookie cookies consent gdpr popup modal newsletter subscribe subscription sidebar feedback teaser teasers related recommended trending nav navbar navigation breadcrumb breadcrumbs comment comments commentlist disqus replies respond share sharing social pagination pager".split())
+OUTSIDE = frozenset("notice notices overlay menu footer masthead header discussion skiplink login signup search popular".split())
 PARTS = frozenset("area bar block body box buttons card cell col column container content form group holder icons inner item items left link links list main module outer panel right row section slot text top unit widget wrap wrapper".split())
 WORD = re.compile(r"[a-z]+", re.I)
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 SPACE = re.compile(r"\s+")
+#: Tags that format words. They and those of blocks say nothing about what a line is.
+FORMATS = frozenset("b i em strong u s small sub sup br wbr span code kbd samp var mark q cite abbr time del ins dfn bdi bdo ruby rt rp font big tt center".split())
+#: The threshold lies between the clusters if one's ratio is at least APART times the other's; it is never above CEILING
+#: characters a tag: a line with as much text as that for each of its tags is no link of a list.
+APART, CEILING = 4.0, 15.0
 
 
 def named_for(names: str, kinds: frozenset[str]) -> bool:
@@ -80,9 +88,12 @@ class Lines(HTMLParser):
         if text:
             section, rank = (self.open[-1][2], self.open[-1][3]) if self.open else (0, 0)
             self.lines.append((text, self.tags, section, rank))
-            self.tags = 0
+        self.tags = 0
         self.text.clear()
 
+    def count(self, tag: str) -> None:
+        self.tags += not self.dropped and tag not in BLOCKS and tag not in FORMATS
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in BLOCKS:
             self.flush()
@@ -90,7 +101,7 @@ class Lines(HTMLParser):
                 self.close_from(self.last("p"))
             if tag != "html" and self.last("head") >= 0:  # its end may be left out; no block stands in it
                 self.close_from(self.last("head"))
-        self.tags += not self.dropped
+        self.count(tag)
         if tag in VOID:
             self.text.append(" " if tag == "br" and not self.dropped else "")
             return
@@ -105,7 +116,7 @@ class Lines(HTMLParser):
             out = out or bool(own) and (named_for(own, NEVER) or rank < 2 and named_for(own, OUTSIDE))
         if tag in SECTIONS and not self.dropped and not out:
             self.sections += 1
-            section = self.sections if rank < 2 or tag == "article" and rank < 3 else section
+            section = self.sections
             rank = max(rank, 3 if tag == "article" else 2 if tag == "main" or named.get("role", "").lower() == "main" else 1)
         for kind in self.kinds(tag):
             self.places.setdefault(kind, []).append(len(self.open))
@@ -130,7 +141,7 @@ class Lines(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCKS:
             self.flush()
-        self.tags += not self.dropped
+        self.count(tag)
         at = self.last(tag)
         # An inline element has ended before if a block is open inside it.
         if at >= 0 and (tag in BLOCKS or tag in DROPPED or at > self.last("#block")):
@@ -145,32 +156,50 @@ class Lines(HTMLParser):
         return self.parse_bogus_comment(i)
 
 
-def select(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: float = 0.5) -> list[bool]:
-    """Which lines belong to the content.
+def threshold(values: np.ndarray) -> float:
+    """Where the two clusters of some values part: the mean of their means, from two-means that starts at the extremes. If the
+    clusters are not apart, the least value."""
+    low, high = float(values.min()), float(values.max())
+    for _ in range(50):
+        upper = values >= (low + high) / 2
+        if upper.all():
+            break
+        new = float(values[~upper].mean()), float(values[upper].mean())
+        if new == (low, high):
+            break
+        low, high = new
+    return (low + high) / 2 if high - low >= np.log(APART) else float(values.min())
+
+
+def content_lines(lines: list[tuple[str, int, int, int]], sigma: float = 1.0) -> np.ndarray:
+    """Which lines lie above the threshold of the smoothed ratio. What stands in an article and what does not are smoothed
+    apart."""
+    ratio = np.log([max(1.0, len(x[0]) / (1 + x[1])) for x in lines])
+    named = np.array([x[3] >= 2 for x in lines])
+    reach = int(3 * sigma)
+    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    parts = np.split(ratio, np.flatnonzero(named[1:] != named[:-1]) + 1)
+    smooth = np.concatenate([np.convolve(np.pad(x, reach, mode="edge"), kernel / kernel.sum(), mode="valid") for x in parts])
+    return smooth >= min(threshold(smooth), np.log(CEILING))
 
-    The text-to-tag ratio, smoothed, is split by a threshold into content and other lines. A section is content if at least
-    `share` of its text stands in such lines; then it is content as a whole. The name breaks ties: where named sections
-    (article, main) hold at least as much content as all others together they are the regions, and of the others none;
-    where they hold less, a page's text stands elsewhere, and sections count alike."""
+
+def select(lines: list[tuple[str, int, int, int]], sigma: float = 1.0, share: float = 0.5) -> list[bool]:
+    """Which lines belong to the content: those of the sections in which at least `share` of the text stands in content lines.
+    Where named sections (article, main) hold at least as much content as all others together, of the others none; where they
+    hold less, a page's text stands elsewhere, and sections count alike. If no section is left, the one with most content."""
     if not lines:
         return []
-    size = np.array([len(x[0]) for x in lines], float)
-    ratio = size / (1 + np.array([x[1] for x in lines], float))
-    reach = int(3 * sigma)
-    kernel = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
-    smooth = np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
-    content = smooth >= min(smooth.std(), smooth.mean()) if len(lines) > 1 else np.ones(1, bool)
+    size, content = np.array([len(x[0]) for x in lines], float), content_lines(lines, sigma)
     section, named = np.array([x[2] for x in lines]), np.array([x[3] for x in lines]) >= 2
     _, which = np.unique(section, return_inverse=True)
     mass = np.bincount(which, size * content)
-    dense = mass >= share * np.bincount(which, size)
+    kept = (mass >= share * np.bincount(which, size))[which]
     inside, outside = (float(size[content & x].sum()) for x in (named, ~named))
-    if named.any() and inside >= outside:
-        regions = dense[which] & named
-        if not regions.any():  # no section is dense: the one with most content
-            regions = (which == which[named][mass[which[named]].argmax()]) & named
-        return regions.tolist()
-    return (content | dense[which]).tolist()
+    region = named if named.any() and inside >= outside else np.ones(len(lines), bool)
+    if not (kept & region).any():
+        whole = np.bincount(which, size)
+        kept = which == which[region][(mass[which[region]] + whole[which[region]] * 1e-9).argmax()]
+    return (kept & region).tolist()
 
 
 def main_text(html: str) -> str:

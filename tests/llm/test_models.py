@@ -155,22 +155,35 @@ def test_very_long_page():
 def plain_select(lines, sigma=1.0, share=0.5):
     import math
 
-    ratio = [len(x[0]) / (1 + x[1]) for x in lines]
+    named = [x[3] >= 2 for x in lines]
+    ratio = [math.log(max(1.0, len(x[0]) / (1 + x[1]))) for x in lines]
     reach = int(3 * sigma)
     weight = {d: math.exp(-0.5 * (d / sigma) ** 2) for d in range(-reach, reach + 1)}
-    smooth = [sum(w * ratio[min(max(i + d, 0), len(ratio) - 1)] for d, w in weight.items()) / sum(weight.values()) for i in range(len(ratio))]
-    mean = sum(smooth) / len(smooth)
-    limit = min(mean, math.sqrt(sum((x - mean) ** 2 for x in smooth) / len(smooth)))
-    content = [x >= limit or len(lines) == 1 for x in smooth]
+    smooth = []
+    for i in range(len(lines)):
+        low = high = i  # the stretch in or outside an article around the line
+        while low and named[low - 1] == named[i]:
+            low -= 1
+        while high + 1 < len(lines) and named[high + 1] == named[i]:
+            high += 1
+        smooth.append(sum(w * ratio[min(max(i + d, low), high)] for d, w in weight.items()) / sum(weight.values()))
+    centres = [min(smooth), max(smooth)]
+    for _ in range(50):
+        groups = [[x for x in smooth if (x >= sum(centres) / 2) == upper] for upper in (False, True)]
+        if not groups[0]:
+            break
+        centres = [sum(g) / len(g) for g in groups]
+    limit = sum(centres) / 2 if centres[1] - centres[0] >= math.log(4) else min(smooth)
+    content = [x >= min(limit, math.log(15)) for x in smooth]
     chars = lambda keep: sum(len(x[0]) for i, x in enumerate(lines) if keep(i, x))
-    dense = lambda s: chars(lambda i, x: x[2] == s and content[i]) >= share * chars(lambda i, x: x[2] == s)
-    named = [x for x in lines if x[3] >= 2]
-    if named and chars(lambda i, x: x[3] >= 2 and content[i]) >= chars(lambda i, x: x[3] < 2 and content[i]):
-        good = {x[2] for x in named if dense(x[2])}
-        if not good:
-            good = {max(sorted({x[2] for x in named}), key=lambda s: chars(lambda i, x: x[2] == s and content[i]))}
-        return [x[3] >= 2 and x[2] in good for x in lines]
-    return [content[i] or dense(x[2]) for i, x in enumerate(lines)]
+    mass = lambda s: chars(lambda i, x: x[2] == s and content[i])
+    whole = lambda s: chars(lambda i, x: x[2] == s)
+    alone = any(named) and chars(lambda i, x: named[i] and content[i]) >= chars(lambda i, x: not named[i] and content[i])
+    region = [n or not alone for n in named]
+    good = {x[2] for i, x in enumerate(lines) if region[i] and mass(x[2]) >= share * whole(x[2])}
+    if not good:
+        good = {max(sorted({x[2] for i, x in enumerate(lines) if region[i]}), key=lambda s: (mass(s), whole(s)))}
+    return [r and x[2] in good for r, x in zip(region, lines, strict=True)]
 
 
 def test_selection_against_brute_force():
@@ -181,6 +194,34 @@ def test_selection_against_brute_force():
         assert html_text.select(lines) == plain_select(lines)
 
 
+LINKS = "<ul>" + "".join(f"<li><a href='/{i}'>Another story {i}</a></li>" for i in range(7)) + "</ul>"
+TEASERS = "".join(f"<div><a href='/{i}'><img src=x></a><a href='/{i}'>Ten things {i}</a> <a href='/c'>News</a></div>" for i in range(4))
+PROSE = "".join(f"<p>Paragraph {i} says a good deal about the matter at hand, and then some more of it.</p><p>Short.</p>" for i in range(6))
+TEXT = "\n".join(f"Paragraph {i} says a good deal about the matter at hand, and then some more of it.\nShort." for i in range(6))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        f"<body><div>{LINKS}</div><article>{PROSE}</article><div>{LINKS}</div></body>",
+        f"<body><article>{PROSE}<div>{LINKS}</div></article></body>",
+        f"<body><article><div>{LINKS}</div>{PROSE}<section>{TEASERS}</section></article></body>",
+        f"<body><div class=x1>{LINKS}</div><div class=x2>{PROSE}</div><div class=x3>{TEASERS}</div><div class=x4>{LINKS}</div></body>",
+        f"<body><main><div>{PROSE}</div><div>{LINKS}{TEASERS}</div></main></body>",
+    ],
+)
+def test_the_ratio_decides_where_no_name_does(html, monkeypatch):
+    """Lists of links and teasers without a telling name go by their ratio; with the ratio switched off they stay."""
+    assert html_text.main_text(html) == TEXT
+    monkeypatch.setattr(html_text, "content_lines", lambda lines, sigma=1.0: np.ones(len(lines), bool))
+    assert html.startswith("<body><div>") or html_text.main_text(html) != TEXT
+
+
+def test_lists_and_short_lines_of_an_article_stay():
+    html = f"<article><h1>Title</h1>{PROSE}<div><ul><li>first point</li><li>second point of a list</li><li>see <a href=x>the note on it</a> for more of this</li></ul></div><div><p>A note.</p></div></article>"
+    assert html_text.main_text(html) == f"Title\n{TEXT}\nfirst point\nsecond point of a list\nsee the note on it for more of this\nA note."
+
+
 LONG = "Long words of the content here, a good many of them. " * 6
 
 
