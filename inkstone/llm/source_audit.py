@@ -40,13 +40,11 @@ def terms(text: Column) -> Column:
 
 def share(count: Column, total: Column) -> Column:
     """1 + floor(UNIT * (count + 1) / total), three decimal digits at a time, so that no product leaves a long."""
-    total = F.greatest(total, F.lit(1))  # a language without kept terms has no shares; nothing reads them
-
-    def digits(rest: Column, left: int) -> Column:
-        whole = F.call_function("div", rest * 1000, total)
-        return whole if left == 1 else whole * (1000 ** (left - 1)) + let(rest * 1000 % total, lambda r: digits(r, left - 1))
-
-    return digits(count + 1, 3) + 1
+    total = F.greatest(total, F.lit(1).cast("long"))  # a language without kept terms has no shares; nothing reads them
+    rest, out = count + 1, F.lit(1).cast("long")
+    for place in (1_000_000, 1000, 1):
+        out, rest = out + F.call_function("div", rest * 1000, total) * place, rest * 1000 % total
+    return out
 
 
 def gain(p: Column, q: Column) -> Column:
@@ -93,33 +91,34 @@ def audit(documents: DataFrame, text_col: str = "text", lang_col: str = "lang",
     sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
     listed = groups.join(sums, ["lang", "idx"], "left").groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("idx", "source", F.coalesce("n", F.lit(0)).alias("n")))).alias("s"))
     langs = listed.join(sizes, "lang", "left").select("lang", F.coalesce("v", F.lit(0)).alias("v"), F.col("s.source").alias("sources"), F.col("s.n").alias("n"))
-    langs = cut(langs.withColumn("total", F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)))
-
-    wide = with_languages(kept, langs.drop("sources"), n_groups)
+    zero = F.transform("n", lambda n: share(F.lit(0).cast("long"), n + F.col("v")))
+    langs = cut(langs.withColumns({"total": F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x), "zero": zero}))
+    own = F.transform("counts", lambda c: F.struct(c["idx"].alias("idx"), share(c["n"], F.get("n", c["idx"]) + F.col("v")).alias("p")))
+    wide = with_languages(kept, langs.drop("sources"), n_groups).withColumn("own", own)
     return _pairs(wide, langs).unionByName(_terms(wide, groups, n_groups, top))
 
 
 def _pairs(wide: DataFrame, langs: DataFrame) -> DataFrame:
     """Part `pair`: the sums over all kept terms of what each ordered pair of a language's sources differs by."""
-    places = F.sequence(F.lit(0), F.size("n") - 1)
-    of_term = F.map_from_entries(F.transform("counts", lambda c: F.struct(c["idx"], c["n"])))
-    vector = let(of_term, lambda m: F.transform(places, lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0))))
-    shares = F.transform(F.arrays_zip(F.col("vector"), F.col("n")), lambda x: share(x["vector"], x["n"] + F.col("v")))
-
-    def emit(p: Column) -> Column:
-        def against(i: Column, others: Column) -> Column:
-            return let(F.get(p, i), lambda pi: F.transform(others, lambda j: F.struct(i.alias("i"), j.alias("j"), gain(pi, F.get(p, j)).alias("f"))))
-
-        has, lacks = F.transform("counts", lambda c: c["idx"]), F.filter(places, lambda i: F.get(F.col("vector"), i) == 0)
-        return F.concat(F.flatten(F.transform(has, lambda i: against(i, places))), F.flatten(F.transform(lacks, lambda i: against(i, has))))
-
-    emitted = wide.withColumn("vector", vector).select("lang", F.explode(let(shares, emit)).alias("x"))
-    found = emitted.groupBy("lang", F.col("x.i").alias("i"), F.col("x.j").alias("j")).agg(F.sum("x.f").alias("f"), F.count("*").alias("terms"))
+    # The wide vectors: each source's own share of the term, and the share of a source without it where it is without it.
+    own = let(F.map_from_entries(F.col("own")), lambda m: F.transform("zero", lambda z, i: F.try_element_at(m, i)))
+    vectors = let(own, lambda o: F.struct(F.zip_with(o, "zero", lambda p, z: F.coalesce(p, z)).alias("p"), F.zip_with(o, "zero", lambda p, z: F.when(p.isNull(), z)).alias("lacking")))
+
+    def emit(v: Column) -> Column:
+        """(i, j, what i and j differ by) as (k, f): k is i times the number of sources and j. First of the sources that have
+        the term against all, then of those that lack it against those that have it."""
+        of = lambda i, j, pi, pj: F.struct((i * F.size("zero") + j).alias("k"), gain(pi, pj).alias("f"))
+        has = F.transform("own", lambda x: F.transform(v["p"], lambda q, j: of(x["idx"], j, x["p"], q)))
+        lacks = F.transform("own", lambda x: F.filter(F.transform(v["lacking"], lambda z, i: F.when(z.isNotNull(), of(i, x["idx"], z, x["p"]))), lambda y: y.isNotNull()))
+        return F.flatten(F.concat(has, lacks))
+
+    emitted = wide.select("lang", F.explode(let(vectors, emit)).alias("x"))
+    found = emitted.groupBy("lang", F.col("x.k").alias("k")).agg(F.sum("x.f").alias("f"), F.count("*").alias("terms"))
     rest = F.lit(0).cast("long")
-    every = langs.select("lang", "v", "sources", "n", F.posexplode("sources").alias("i", "source")).select("lang", "v", "n", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
-    p, q = (share(rest, F.get(F.col("n"), F.col(x)) + F.col("v")) for x in ("i", "j"))
-    both = every.join(found, ["lang", "i", "j"], "left")
-    value = F.when(F.col("v") > 0, F.coalesce("f", rest) + (F.col("v") - F.coalesce("terms", rest)) * let(F.struct(p.alias("p"), q.alias("q")), lambda x: gain(x["p"], x["q"]))).otherwise(rest)
+    every = langs.select("lang", "v", "sources", "zero", F.posexplode("sources").alias("i", "source")).select("lang", "v", "zero", "i", "source", F.posexplode("sources").alias("j", "item")).where("i <> j")
+    both = every.withColumn("k", F.col("i") * F.size("zero") + F.col("j")).join(found, ["lang", "k"], "left")
+    without = (F.col("v") - F.coalesce("terms", rest)) * gain(F.get("zero", "i"), F.get("zero", "j"))
+    value = F.when(F.col("v") > 0, F.coalesce("f", rest) + without).otherwise(rest)
     rank = F.row_number().over(W.partitionBy("lang", "source").orderBy(F.col("value").desc(), "item"))
     return both.select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value")).withColumn("rank", rank.cast("int"))
 
@@ -130,8 +129,7 @@ def _terms(wide: DataFrame, groups: DataFrame, n_groups: int, top: int) -> DataF
     overall = share(F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c["n"]), F.col("total") + F.col("v"))
 
     def judge(q: Column) -> Column:
-        own = F.transform("counts", lambda c: F.struct(c["idx"].alias("idx"), share(c["n"], F.get(F.col("n"), c["idx"]) + F.col("v")).alias("p")))
-        return F.transform(F.filter(own, lambda x: x["p"] > q), lambda x: F.struct(x["idx"].alias("idx"), gain(x["p"], q).alias("value")))
+        return F.transform(F.filter("own", lambda x: x["p"] > q), lambda x: F.struct(x["idx"].alias("idx"), gain(x["p"], q).alias("value")))
 
     rows = wide.select("lang", "term", F.explode(let(overall, judge)).alias("x")).select("lang", "x.idx", F.col("term").alias("item"), "x.value")
     order = [F.col("value").desc(), "item"]

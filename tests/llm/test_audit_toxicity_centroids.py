@@ -68,6 +68,16 @@ def test_audit_against_brute_force(spark, monkeypatch):
     assert audit_rows(spark, rows) == want
 
 
+def test_sources_whose_shares_round_to_those_of_none(spark, monkeypatch):
+    """A source may have a term and yet the share of one that lacks it."""
+    rows = [(i, text, "en", s) for i, (text, s) in enumerate([("a b " * 300, "x"), ("a b b", "y"), ("a c", "z"), ("c a", "z"), ("c", "y")])]
+    monkeypatch.setattr(source_audit, "share", lambda count, total: (count + 1) * 7 % 3 + 1 + total * 0)
+    got = {(r[1], r[3]): r[4] for r in audit_rows(spark, rows) if r[2] == "pair"}
+    n = {"x": (300, 0), "y": (1, 1), "z": (2, 2)}  # of a and c; b has two documents only
+    f = lambda c: (c + 1) * 7 % 3 + 1
+    assert got == {(s, t): sum((f(a) - f(b)) ** 2 // f(b) for a, b in zip(n[s], n[t])) for s in n for t in n if s != t}
+
+
 def test_audit_of_nothing(spark):
     assert audit_rows(spark, []) == []
     assert audit_rows(spark, [(1, None, None, None)]) == []
