@@ -221,6 +221,64 @@ def test_second_pass_end_to_end(spark):
     assert seen == [(1, 0, "retranscribe", True), (1, 1, "retranscribe", False), (1, 2, "question", True)]
 
 
+def test_second_pass_outlives_failing_calls_and_asks_nothing_twice(spark):
+    rows = [(1, 0, None, "timeout"), (1, 1, None, "timeout"), (1, 2, "$A(s) = 1$", None), (2, 0, "$A(s) = 1$", None)]
+    lines = spark.createDataFrame(rows, "page_id long, idx int, text string, error string")
+    images = spark.createDataFrame([(p, i, bytes([p, i])) for p, i, _, _ in rows], "page_id long, idx int, image binary")
+
+    def transcribe(batch):
+        if (batch["idx"] == 1).any():
+            raise RuntimeError("model gone")
+        return batch["idx"].map({0: "$x = 1$"})
+
+    def ask(batch):
+        if (batch["page_id"] == 2).any():
+            raise ValueError("no answer")
+        return batch["prompt"].map(lambda p: "5")
+
+    kept = []
+    final, events = reask.second_pass(lines, images, transcribe, ask, remember=lambda df: kept.append(df.toPandas()))
+    want = {(1, 0): ("$x = 1$", "green"), (1, 1): ("", "grey"), (1, 2): ("$A(5) = 1$", "green"), (2, 0): ("$A(s) = 1$", "yellow")}
+    assert {(r.page_id, r.idx): (r.latex, r.status) for r in final.collect()} == want
+    told = {(r.page_id, r.idx): (r.accepted, r.detail) for r in events.collect()}
+    assert told[1, 0] == (True, "grey -> green") and told[1, 1] == (False, "failed: RuntimeError: model gone") and told[2, 0] == (False, "failed: ValueError: no answer")
+    assert [len(x) for x in kept] == [1, 1]
+    cache = spark.createDataFrame([tuple(r) for x in kept for r in x[["key", "answer"]].itertuples(index=False)], "key string, answer string")
+
+    def never(batch):
+        raise AssertionError("asked again")
+
+    again, events = reask.second_pass(lines, images, never, never, cache=cache)
+    assert {(r.page_id, r.idx): (r.latex, r.status) for r in again.collect()} == want
+    assert sum(r.accepted for r in events.collect()) == 2
+
+
+def test_regions_are_read_by_kind_and_fail_alone(spark):
+    from inkstone.operators import calls
+
+    seen = [(1, 0, "line", b"a"), (1, 1, "line", b"bad"), (1, 2, "table", b"t"), (1, 3, "table", b"loop"), (1, 4, "diagram", b"d"), (1, 5, "diagram", b"bad"), (1, 6, "note", b"n"), (2, 0, "line", b"a"), (2, 1, "table", b"bad loop")]
+    regions = spark.createDataFrame([(p, i, k, "image/png", b) for p, i, k, b in seen], "page_id long, idx int, kind string, mime string, image binary").coalesce(1)
+
+    def line(batch):
+        if batch["image"].map(lambda b: b.startswith(b"bad")).any():
+            raise OSError("down")
+        return batch["image"].map(lambda b: "line " + b.decode())
+
+    def diagram(batch):
+        if (batch["image"] == b"bad").any():
+            raise OSError("down")
+        return batch["image"].map(lambda b: "a triangle.")
+
+    readers = {"line": line, "table": lambda batch: batch["image"].map(lambda b: "|" * 40 if b.endswith(b"loop") else "a & b"), "diagram": diagram}
+    got = {(r.page_id, r.idx): (r.latex, r.error, r.image_url) for r in calls.transcribe_regions(regions, readers).collect()}
+    plain = r"$\text{[Figura geometrica]}$"
+    assert got == {
+        (1, 0): ("line a", None, None), (1, 1): ("", "OSError: down", None), (1, 2): ("a & b", None, None), (1, 3): ("line loop", None, None), (1, 4): (plain[:-3] + ": a triangle]}$", None, "data:image/png;base64,ZA=="),
+        (1, 5): (plain, None, "data:image/png;base64,YmFk"), (1, 6): ("line n", None, None), (2, 0): ("line a", None, None), (2, 1): ("", "OSError: down", None),
+    }
+    assert calls.transcribe_regions(regions.where("false"), readers).collect() == []
+
+
 def test_regions_without_lines_stay(spark):
     lines = spark.createDataFrame([(1, 0, 0, 0, 10, 10), (1, 1, 2, 2, 4, 4)], "page_id long, line_id int, x int, y int, w int, h int")
     box = "struct<x:int,y:int,w:int,h:int>"
