@@ -397,8 +397,8 @@ def rule_unicode(spark, sf):
 
 
 def _rule(spark, sf, *kinds):
-    steps = [rules.in_math([r for r in (*rules.RULES, rules.outside_text(rules.LONE)) if getattr(r, "kind", "digit_one") in kinds and r is not rules.matrix_rule])]
-    df = _ruled(spark, sf).withColumn("s", rules.run_rules(rules.start(F.col("text")), steps))
+    steps = [r for r in (*rules.RULES, *(rules.outside_text((x,)) for x in rules.LONE)) if getattr(r, "kind", "digit_one") in kinds and r is not rules.matrix_rule]
+    df = rules.in_math(_ruled(spark, sf).withColumn("s", rules.start(F.col("text"))), steps)
     return df.select("page_id", "idx", "s.text", F.array_join(F.transform("s.issues", lambda i: F.concat_ws("/", i["kind"], i["chosen"], i["strength"])), ",").alias("noted"))
 
 
@@ -425,7 +425,7 @@ def rule_ln(spark, sf):
 
 @query(r"""with f as (select page_id, bool_or(contains(text, 'orizontal')) h, bool_or(contains(text, '\infty') or contains(text, 'asimpt')) a from math_lines group by 1)
     select page_id, idx, case when contains(text, '\lim') then replace(case when h then replace(text, '\to 0', '\to \infty') else text end, '{0} =', '{\infty} =') else text end as text,
-    case when contains(text, '\lim') then case when h then 'infinity/∞/weak,' else '' end || 'infinity/∞/strong' else '' end as noted from math_lines join f using (page_id)""", "math_lines")
+    case when contains(text, '\lim') then case when h then 'infinity/∞/weak' else 'infinity/∞/strong' end else '' end as noted from math_lines join f using (page_id)""", "math_lines")
 def rule_infinity(spark, sf):
     return _rule(spark, sf, "infinity")
 
@@ -438,7 +438,8 @@ def rule_lone_one(spark, sf):
 @query(rf"""with c as {_CALLS} select page_id, idx, case when contains(text, '$A(s)') and exists (select 1 from c where c.page_id = m.page_id and c.arg = '5') then replace(text, 'A(s)', 'A(5)') else text end as text,
     case when contains(text, '$A(s)') then case when exists (select 1 from c where c.page_id = m.page_id and c.arg = '5') then 'strong' else 'flag' end else '' end as noted from math_lines m""", "math_lines")
 def rule_digit_argument(spark, sf):
-    df = _ruled(spark, sf).withColumn("s", rules.run_rules(rules.start(F.col("text")), [rules.in_math([rules.outside_text([rules.argument_rule])])]))
+    df = _ruled(spark, sf).withColumn("s", rules.start(F.col("text")))
+    df = rules.in_math(df, [rules.outside_text((rules.argument_rule,))])
     return df.select("page_id", "idx", "s.text", F.array_join(F.transform("s.issues", lambda i: i["strength"]), ",").alias("noted"))
 
 
