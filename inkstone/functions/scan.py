@@ -20,20 +20,20 @@ Place = Column | int
 
 
 def letter(word: Column) -> Column:
-    return (F.length(word) == 1) & (word.between("a", "z") | word.between("A", "Z"))
+    return word.rlike("^[A-Za-z]$")
 
 
 def digit(word: Column) -> Column:
-    return (F.length(word) == 1) & word.between("0", "9")
+    return word.rlike("^[0-9]$")
 
 
 def letter_or_digit(word: Column) -> Column:
-    return letter(word) | digit(word)
+    return word.rlike("^[A-Za-z0-9]$")
 
 
 @dataclass(frozen=True)
 class Tokens:
-    """The tokens of one line, a struct of two arrays."""
+    """The tokens of one line, a struct of three arrays: the words, the white space before each, and both together."""
 
     both: Column
 
@@ -63,12 +63,11 @@ class Tokens:
 
     def piece(self, start: Place, n: Place) -> Column:
         """n tokens from start on as text, the white space before them included."""
-        cut = lambda a: F.slice(a, F.lit(1) + start, F.greatest(F.lit(0), n if isinstance(n, Column) else F.lit(n)))
-        return F.array_join(F.zip_with(cut(self.both["gap"]), cut(self.both["word"]), lambda g, w: F.concat(g, w)), "")
+        return F.array_join(F.slice(self.both["all"], F.lit(1) + start, F.greatest(F.lit(0), n if isinstance(n, Column) else F.lit(n))), "")
 
     def spell(self, start: Column, n: Place) -> Column:
         """The same without the white space before them."""
-        return F.ltrim(F.regexp_replace(self.piece(start, n), r"^\s+", ""))
+        return F.substr(self.piece(start, n), F.length(self.gap(start)) + 1)
 
     def rest(self, start: Column) -> Column:
         return F.slice(self.both["word"], start + 1, F.greatest(F.lit(0), self.size() - start))
@@ -92,9 +91,11 @@ class Tokens:
         n = F.when(self.word(start) == "{", self.ahead(start, "}") + 1).otherwise(0)
         return let(n, lambda m: F.when((m > 0) & ~F.array_contains(F.slice(self.both["word"], start + 2, F.greatest(F.lit(0), m - 2)), "{"), m).otherwise(0))
 
-    def hits(self, find: Callable[[Column], Column]) -> Column:
-        """array<struct<at, n>>: where find gives a number of tokens, from the left, none inside another."""
+    def hits(self, find: Callable[[Column], Column], overlap: bool = False) -> Column:
+        """array<struct<at, n>>: where find gives a number of tokens; with `overlap` none that begins inside an earlier one."""
         all_ = F.filter(F.transform(self.both["word"], lambda w, i: F.struct(i.alias("at"), F.coalesce(find(i), F.lit(0)).cast("int").alias("n"))), lambda h: h["n"] > 0)
+        if not overlap:
+            return all_
         zero = F.struct(F.lit(0).alias("end"), F.array().cast(f"array<{HIT}>").alias("hits"))
         keep = lambda a, h: F.when(h["at"] >= a["end"], F.struct((h["at"] + h["n"]).alias("end"), F.concat(a["hits"], F.array(h)).alias("hits"))).otherwise(a)
         return let(all_, lambda found: F.when(F.size(found) < 2, found).otherwise(F.aggregate(found, zero, keep, lambda a: a["hits"])))
@@ -118,5 +119,5 @@ class Tokens:
 
 def read(text: Column, body: Callable[[Tokens], Column]) -> Column:
     """body(tokens of the text), the text being taken apart once."""
-    both = F.struct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2)).alias("word"))
+    both = F.struct(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(1)).alias("gap"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(2)).alias("word"), F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)).alias("all"))
     return let(both, lambda c: body(Tokens(c)))

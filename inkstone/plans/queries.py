@@ -397,7 +397,7 @@ def rule_unicode(spark, sf):
 
 
 def _rule(spark, sf, *kinds):
-    steps = [r for r in (*rules.RULES, *(rules.outside_text((x,)) for x in rules.LONE)) if getattr(r, "kind", "digit_one") in kinds and r is not rules.matrix_rule]
+    steps = [r for r in (*rules.RULES, *rules.LONE) if getattr(r, "kind", "") in kinds]
     df = rules.in_math(_ruled(spark, sf).withColumn("s", rules.start(F.col("text"))), steps)
     return df.select("page_id", "idx", "s.text", F.array_join(F.transform("s.issues", lambda i: F.concat_ws("/", i["kind"], i["chosen"], i["strength"])), ",").alias("noted"))
 
@@ -439,7 +439,7 @@ def rule_lone_one(spark, sf):
     case when contains(text, '$A(s)') then case when exists (select 1 from c where c.page_id = m.page_id and c.arg = '5') then 'strong' else 'flag' end else '' end as noted from math_lines m""", "math_lines")
 def rule_digit_argument(spark, sf):
     df = _ruled(spark, sf).withColumn("s", rules.start(F.col("text")))
-    df = rules.in_math(df, [rules.outside_text((rules.argument_rule,))])
+    df = rules.in_math(df, [rules.argument_rule])
     return df.select("page_id", "idx", "s.text", F.array_join(F.transform("s.issues", lambda i: i["strength"]), ",").alias("noted"))
 
 
