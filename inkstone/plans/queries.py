@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import latex as L
-from ..operators import calls, evaluate, layout, merging, pages, reask, rules
+from ..operators import calls, drawings, evaluate, layout, merging, pages, reask, rules
 from ..sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -168,10 +168,65 @@ def geom_segment_crossing(spark, sf):
     return p.where(G.crossing(a, b, F.lit(3.0))).select("page_id", F.col("a_box_id").alias("a_id"), F.col("b_box_id").alias("b_id"))
 
 
-@query(f"with g as ({_GLYPH}), s as ({_SIZED}) select page_id, box_id, case when h >= 1.2 * glyph and w > 160 then 'table' when h > w then 'diagram' else 'line' end as kind from s join g using (page_id)", "boxes")
+#: Levels of the rule pieces are 120 apart, so only the two pieces of one level can meet, and the joined rule's ends are theirs.
+_JOINED = """g as (select distinct page_id, 20 + page_id % 7 glyph from rule_pieces), l as (select page_id, rule_id // 4 level, max(case when rule_id % 4 = 2 then x1 end) stop, max(case when rule_id % 4 = 2 then y1 end) y, max(case when rule_id % 4 = 3 then x0 end) start, max(case when rule_id % 4 = 3 then y0 end) yy from rule_pieces where dir = 'h' group by 1, 2),
+    m as (select page_id, level, start - stop <= 3 * glyph and abs(y - yy) <= 0.5 * glyph meet from l join g using (page_id)),
+    j as (select page_id, min(rule_id) rule_id, arg_min(x0, x0)::double x0, arg_min(y0, x0)::double y0, arg_max(x1, x1)::double x1, arg_max(y1, x1)::double y1, count(*) n_pieces from (select r.*, case when meet then 0 else rule_id % 2 end part, level from rule_pieces r join m on m.page_id = r.page_id and m.level = r.rule_id // 4 where dir = 'h') group by page_id, level, part)"""
+
+
+def _rule_pieces(spark, sf):
+    rules = D.rule_pieces(spark, sf)
+    pages = rules.select("page_id").distinct()
+    return rules, pages.withColumn("glyph", (20 + F.col("page_id") % 7).cast("double")), pages.select("page_id", F.lit(900).alias("width"), F.lit(520).alias("height"))
+
+
+@query(f"with {_JOINED} select page_id, rule_id, x0, y0, x1, y1, n_pieces from j", "rule_pieces")
+def geom_rule_pieces(spark, sf):
+    rules, glyphs, _ = _rule_pieces(spark, sf)
+    return drawings.join_pieces(rules.where("dir = 'h'"), glyphs)
+
+
+@query(f"""with recursive {_JOINED}, h as (select j.*, glyph, 0.7 * glyph k from j join g using (page_id) where x1 - x0 >= 5 * glyph), v as (select r.*, glyph from rule_pieces r join g using (page_id) where dir = 'v' and y1 - y0 >= 2.5 * glyph and y1 - y0 <= 208 and x1 - x0 <= 0.18 * (y1 - y0)),
+    t as (select h.page_id, h.rule_id h_id, v.rule_id v_id, k, h.x0 hx0, h.x1 hx1, v.x0 vx0, v.x1 vx1, v.y0 vy0, v.y1 vy1, h.y0 + least(1, greatest(0, ((v.x0 + v.x1) / 2 - h.x0) / (h.x1 - h.x0))) * (h.y1 - h.y0) y from h join v using (page_id)),
+    c as (select *, vx0 + least(1, greatest(0, (y - vy0) / (vy1 - vy0))) * (vx1 - vx0) x from t), e as (select page_id, h_id, v_id, x between hx0 + k and hx1 - k and y between vy0 + k and vy1 - k crosses from c where x between hx0 - k and hx1 + k and y between vy0 - k and vy1 + k),
+    w as (select a.page_id, a.rule_id a, b.rule_id b, (greatest(a.y0, b.y0) + least(a.y1, b.y1)) / 2 y, a.glyph, a.x0 ax0, a.x1 ax1, a.y0 ay0, a.y1 ay1, b.x0 bx0, b.x1 bx1, b.y0 by0, b.y1 by1 from v a join v b on a.page_id = b.page_id and a.rule_id < b.rule_id where greatest(a.y0, b.y0) - least(a.y1, b.y1) <= a.glyph),
+    z as (select page_id, a, b from w where abs(ax0 + least(1, greatest(0, (y - ay0) / (ay1 - ay0))) * (ax1 - ax0) - bx0 - least(1, greatest(0, (y - by0) / (by1 - by0))) * (bx1 - bx0)) <= 0.7 * glyph),
+    u as (select page_id, h_id a, v_id b from e union select page_id, v_id, h_id from e union select page_id, a, b from z union select page_id, b, a from z),
+    r as (select page_id, rule_id, x0, y0, x1, y1, 1 is_h from h union all select page_id, rule_id, x0, y0, x1, y1, 0 from v),
+    q(page_id, id, root) as (select page_id, rule_id, rule_id from r union select q.page_id, u.b, q.root from q join u on u.page_id = q.page_id and u.a = q.id), n as (select page_id, id, min(root) table_id from q group by 1, 2),
+    x as (select n.page_id, table_id, cast(floor(min(least(x0, x1))) as int) x0, cast(floor(min(least(y0, y1))) as int) y0, cast(floor(max(greatest(x0, x1))) + 1 as int) x1, cast(floor(max(greatest(y0, y1))) + 1 as int) y1, sum(is_h) n_h, count(*) n_rules, max(20 + n.page_id % 7) glyph,
+        bool_or(exists (select 1 from e where e.page_id = n.page_id and e.h_id = n.id and e.crosses)) crosses from n join r on r.page_id = n.page_id and r.rule_id = n.id group by 1, 2),
+    d as (select n.page_id, n.table_id, r.x0, r.x1, r.y0, r.y1, is_h from n join r on r.page_id = n.page_id and r.rule_id = n.id),
+    s as (select distinct a.page_id, a.table_id from d a join d b on a.page_id = b.page_id and a.table_id = b.table_id and a.is_h = 1 and b.is_h = 0 join x on x.page_id = a.page_id and x.table_id = a.table_id
+        where a.x1 - a.x0 >= greatest(floor(4 * glyph), floor(0.3 * (x.x1 - x.x0))) and b.y1 - b.y0 >= greatest(floor(1.5 * glyph), floor(0.35 * (x.y1 - x.y0))) and abs(a.y1 - a.y0) <= 0.18 * (a.x1 - a.x0)
+        and (b.x0 + b.x1) / 2 between a.x0 + 0.7 * glyph and a.x1 - 0.7 * glyph and (a.y0 + a.y1) / 2 between b.y0 + 0.7 * glyph and b.y1 - 0.7 * glyph)
+    select x.page_id, x.table_id, x.x0, x.y0, x.x1, x.y1, n_rules from x left join s using (page_id, table_id) where crosses and x.x1 - x.x0 < 810 and x.y1 - x.y0 >= 1.5 * glyph and (n_h >= 2 or s.page_id is not null)""", "rule_pieces")
+def geom_find_tables(spark, sf):
+    return drawings.find_tables(*_rule_pieces(spark, sf))
+
+
+_PLUS = """k as (select *, abs(x1 - x0) dx, abs(y1 - y0) dy from drawing_strokes), big as (select *, greatest(floor(4 * glyph), floor(0.3 * w)) across, greatest(floor(1.5 * glyph), floor(0.35 * h)) down from drawing_regions),
+    plus as (select distinct r.page_id from big r join k a using (page_id) join k b using (page_id) where w > across and h > down and a.dx >= across and a.dy <= 0.18 * a.dx and b.dy >= down and b.dx <= 0.18 * b.dy
+        and (b.x0 + b.x1) / 2 between a.x0 + 0.7 * glyph and a.x1 - 0.7 * glyph and (a.y0 + a.y1) / 2 between b.y0 + 0.7 * glyph and b.y1 - 0.7 * glyph)"""
+_MEET = """ob as (select s.*, w, h, glyph, sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) len, degrees(atan2(y1 - y0, x1 - x0)) ang from drawing_strokes s join drawing_regions using (page_id) where sqrt((x1 - x0) ** 2 + (y1 - y0) ** 2) >= floor(2.5 * glyph)),
+    ends as (select a.page_id, a.glyph, e.px, e.py, b.x0, b.y0, b.x1 - b.x0 dx, b.y1 - b.y0 dy from ob a join ob b on a.page_id = b.page_id and a.stroke_id <> b.stroke_id, lateral (values (a.x0, a.y0), (a.x1, a.y1)) e(px, py)
+        where a.ang between 20 and 70 and a.len >= 0.4 * greatest(a.w, a.h) and least(abs(a.ang - b.ang), 180 - abs(a.ang - b.ang)) >= 25),
+    along as (select *, greatest(0, least(1, ((px - x0) * dx + (py - y0) * dy) / greatest(1, dx * dx + dy * dy))) t from ends), meet as (select distinct page_id from along where sqrt((px - x0 - t * dx) ** 2 + (py - y0 - t * dy) ** 2) <= 0.8 * glyph)"""
+
+
+@query(f"with {_MEET} select page_id, 0 as region_id from meet", "drawing_regions")
+def geom_meeting_strokes(spark, sf):
+    return drawings.meeting_strokes(D.drawing_regions(spark, sf), D.drawing_strokes(spark, sf))
+
+
+@query(f"""with {_PLUS}, {_MEET}, art as (select page_id from (select page_id, area, (greatest(m.x1 - m.x0, m.y1 - m.y0) >= 3.5 * glyph and least(m.x1 - m.x0, m.y1 - m.y0) >= 2.2 * glyph and area < 0.12 * (m.x1 - m.x0) * (m.y1 - m.y0)) sparse from drawing_marks m join drawing_regions using (page_id)) group by 1
+        having sum(area) > 0 and coalesce(sum(area) filter (where sparse), 0) >= 0.55 * sum(area) and count(*) <= 15),
+    b as (select m.*, glyph from drawing_marks m join drawing_regions using (page_id) where not (greatest(x1 - x0, y1 - y0) >= 2.5 * glyph and least(x1 - x0, y1 - y0) <= 0.45 * glyph)),
+    i as (select *, case when y0 <= max(y1) over (partition by page_id order by y0, y1 rows between unbounded preceding and 1 preceding) then 0 else 1 end fresh from b), n as (select *, sum(fresh) over (partition by page_id order by y0, y1 rows unbounded preceding) band from i),
+    bands as (select page_id from (select page_id, band, max(y1) - min(y0) tall, any_value(glyph) glyph from n group by 1, 2) where tall >= 0.5 * glyph group by 1 having count(*) >= 2)
+    select r.page_id, 0 as region_id, case when r.h >= 2 * r.glyph and r.page_id in (select page_id from bands) and r.page_id in (select page_id from plus) then 'table' when r.page_id in (select page_id from art) and r.page_id in (select page_id from meet) then 'diagram' else 'line' end as kind from drawing_regions r""", "drawing_regions", "drawing_marks")
 def geom_classify(spark, sf):
-    b = layout.with_glyph(D.boxes(spark, sf))
-    return b.select("page_id", "box_id", F.when((F.col("h") >= 1.2 * F.col("glyph")) & (F.col("w") > 160), "table").when(F.col("h") > F.col("w"), "diagram").otherwise("line").alias("kind"))
+    return drawings.classify(D.drawing_regions(spark, sf), D.drawing_marks(spark, sf), D.drawing_strokes(spark, sf))
 
 
 @query()

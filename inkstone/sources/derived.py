@@ -4,7 +4,7 @@ Pages are orders, a page's boxes and lines are its line items (grouped first: th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -31,6 +31,46 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base(spark, sf_dir).select("page_id", idx.cast("int").alias("box_id"), x0.alias("x0"), y0.alias("y0"), (x0 + 10 + q % 40).cast("int").alias("x1"), (y0 + 2 + p % 5).cast("int").alias("y1"), (q * 3).cast("long").alias("area"))
 
 
+def rule_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules of pages: odd lines are level, in two pieces with a gap between, even ones upright; both tilt a little."""
+    p, s, q, idx = (F.col(x) for x in ("p", "s", "q", "idx"))
+    half, x0, y0, tilt = F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), p % 40, idx * 60, s % 9
+    b = base(spark, sf_dir).where("idx % 2 = 1").select("page_id", "idx", half, x0.alias("x0"), y0.alias("y0"), tilt.alias("tilt"), (p % 100).alias("gap"), q)
+    left, right = F.col("half") == 0, F.col("x0") + 200 + F.col("gap")
+    start, stop = F.when(left, F.col("x0")).otherwise(right), F.when(left, F.col("x0") + 200).otherwise(right + 150 + F.col("q"))
+    height = F.when(left, F.col("y0")).otherwise(F.col("y0") + F.col("tilt"))
+    level = b.select("page_id", (F.col("idx") * 2 + F.col("half")).cast("int").alias("rule_id"), F.lit("h").alias("dir"), *[c.cast("int").alias(n) for c, n in ((start, "x0"), (height, "y0"), (stop, "x1"), (height, "y1"))])
+    x = 60 + idx * 30 + p % 20
+    upright = base(spark, sf_dir).where("idx % 2 = 0").select("page_id", (idx * 2).cast("int").alias("rule_id"), F.lit("v").alias("dir"), *[c.cast("int").alias(n) for c, n in ((x, "x0"), (s % 90, "y0"), (x + p % 7, "x1"), (s % 90 + 90 + q, "y1"))])
+    return level.unionByName(upright)
+
+
+def drawing_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Strokes of one region a page: by the page a grid, a triangle, slanting parallels or short level strokes."""
+    p, s, q, idx, kind = *(F.col(x) for x in ("p", "s", "q", "idx")), F.col("page_id") % 4
+    of = lambda *four: F.array(*[c.cast("int") if isinstance(c, Column) else F.lit(c) for c in four])
+    x, y = 60 + idx * 30 + p % 20, s % 30
+    grid = F.when(idx % 2 == 1, of(p % 40, idx * 60, p % 40 + 300 + 4 * q, idx * 60 + s % 9)).otherwise(of(x, y, x + p % 7, y + 120 + q))
+    side = F.when(idx % 3 == 1, of(p % 10, 0, p % 10 + s % 5, 130 + q)).when(idx % 3 == 2, of(p % 10, 150 + s % 20, 180 + q, 150 + s % 20 + p % 9)).otherwise(of(0, 0, 160 + q, 120 + s % 60))
+    e = F.when(kind == 0, grid).when(kind == 1, side).when(kind == 2, of(idx * 40, q, idx * 40 + 100 + p % 50, q + 60 + s % 60)).otherwise(of(idx * 30, p % 40, idx * 30 + 20 + q, p % 40 + s % 10))
+    return base(spark, sf_dir).select("page_id", F.lit(0).alias("region_id"), F.col("idx").cast("int").alias("stroke_id"), *[F.get(e, i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+
+
+def drawing_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Marks of the same regions: one large sparse mark and small ones where the strokes are a triangle, else as a page's boxes."""
+    large, q = F.col("box_id") == 3, F.floor(F.col("area") / 20)
+    drawn = F.col("page_id") % 4 == 1
+    x1 = F.when(drawn, F.when(large, F.col("x0") + 180).otherwise(F.col("x0") + 15)).otherwise(F.col("x1"))
+    y1 = F.when(drawn, F.when(large, F.col("y0") + 150).otherwise(F.col("y0") + 18)).otherwise(F.col("y1"))
+    area = F.when(drawn, F.when(large, F.lit(1200)).otherwise(q * 10)).otherwise(F.col("area")).cast("long")
+    return boxes(spark, sf_dir).select("page_id", F.lit(0).alias("region_id"), "box_id", "x0", "y0", x1.alias("x1"), y1.alias("y1"), area.alias("area"))
+
+
+def drawing_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = lambda c: F.max(f"{c}1") - F.min(f"{c}0")
+    return drawing_strokes(spark, sf_dir).groupBy("page_id", "region_id").agg(size("x").alias("w"), size("y").alias("h")).withColumn("glyph", (20 + F.col("page_id") % 7).cast("double"))
+
+
 def math_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p, s, q = (F.col(x).cast("string") for x in ("p", "s", "q"))
     kind = (F.col("p") % 15).cast("int")
@@ -74,6 +114,16 @@ def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 DUCK = {
     "base": "select l_orderkey page_id, l_linenumber idx, min(l_partkey) p, min(l_suppkey) s, cast(min(l_quantity) as int) q from lineitem group by 1, 2",
     "boxes": "select page_id, cast(idx as int) box_id, cast(p % 1000 as int) x0, cast(idx * 60 + s % 40 as int) y0, cast(p % 1000 + 20 + 4 * q as int) x1, cast(idx * 60 + s % 40 + 20 + p % 50 as int) y1, cast(q * 20 as bigint) area from base",
+    "rule_pieces": """select page_id, cast(idx * 2 as int) rule_id, 'h' dir, p % 40 x0, idx * 60 y0, p % 40 + 200 x1, idx * 60 y1 from base where idx % 2 = 1
+        union all select page_id, cast(idx * 2 + 1 as int), 'h', p % 40 + 200 + p % 100, idx * 60 + s % 9, p % 40 + 350 + p % 100 + q, idx * 60 + s % 9 from base where idx % 2 = 1
+        union all select page_id, cast(idx * 2 as int), 'v', 60 + idx * 30 + p % 20, s % 90, 60 + idx * 30 + p % 20 + p % 7, s % 90 + 90 + q from base where idx % 2 = 0""",
+    "drawing_strokes": """select page_id, cast(idx as int) stroke_id, e[1] x0, e[2] y0, e[3] x1, e[4] y1 from (select page_id, idx, case page_id % 4
+        when 0 then case when idx % 2 = 1 then [p % 40, idx * 60, p % 40 + 300 + 4 * q, idx * 60 + s % 9] else [60 + idx * 30 + p % 20, s % 30, 60 + idx * 30 + p % 20 + p % 7, s % 30 + 120 + q] end
+        when 1 then case idx % 3 when 1 then [p % 10, 0, p % 10 + s % 5, 130 + q] when 2 then [p % 10, 150 + s % 20, 180 + q, 150 + s % 20 + p % 9] else [0, 0, 160 + q, 120 + s % 60] end
+        when 2 then [idx * 40, q, idx * 40 + 100 + p % 50, q + 60 + s % 60] else [idx * 30, p % 40, idx * 30 + 20 + q, p % 40 + s % 10] end e from base)""",
+    "drawing_marks": """select page_id, box_id, x0, y0, case when page_id % 4 <> 1 then x1 when box_id = 3 then x0 + 180 else x0 + 15 end x1, case when page_id % 4 <> 1 then y1 when box_id = 3 then y0 + 150 else y0 + 18 end y1,
+        case when page_id % 4 <> 1 then area when box_id = 3 then 1200 else area // 20 * 10 end area from boxes""",
+    "drawing_regions": "select page_id, max(x1) - min(x0) w, max(y1) - min(y0) h, 20 + page_id % 7 glyph from drawing_strokes group by 1",
     "math_lines": r"""select page_id, cast(idx as int) idx, case p % 15 when 0 then '$A(5) = ' || q || '$' when 1 then '$A(s) = ' || q || '$' when 2 then '$x = ' || q || ' => y = ' || s || '$'
         when 3 then '$x (=) ' || q || '$' when 4 then '$\begin{pmatrix} ' || q || ' & ' || s || ' \end{pmatrix}$' when 5 then '$x ≥ ' || q || '$' when 6 then '$\frac{' || q || '}{2$'
         when 7 then '$\lim_{x \to 0} f(x) = \frac{' || q || '}{0} = 0$' when 8 then 'asimptota orizontala: $y = m x, e^n x + ' || q || '$' when 9 then '$x o y = ' || q || ' \infty (1)$'
@@ -83,7 +133,7 @@ DUCK = {
         from (select d.doc_id, d.source || '-' || d.doc_id crop_id, l.quality = 1 verified, unnest(string_split(d.text, chr(10))) gold, unnest(range(len(string_split(d.text, chr(10))))) idx from documents d join labels l using (doc_id)) where trim(gold, ' ') <> ''""",
     "doc_lines": "select doc_id, i as idx, line from (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i from documents) where trim(line, ' ') <> ''",
 }
-NEEDS = {"boxes": ["base"], "math_lines": ["base"]}
+NEEDS = {"boxes": ["base"], "math_lines": ["base"], "rule_pieces": ["base"], "drawing_strokes": ["base"], "drawing_marks": ["base", "boxes"], "drawing_regions": ["base", "drawing_strokes"]}
 
 
 def duck(sql: str, *names: str) -> str:
