@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import latex as L
+from .components import checkpointed
 from .reask import rank
 
 
@@ -48,6 +49,92 @@ def most_changed(rows: DataFrame, n: int, before: str, after: str, *seq: str) ->
     return rows.withColumn("gain", F.col(before) - F.col(after)).where("gain <> 0").orderBy(F.col("gain").desc(), *seq).limit(n)
 
 
+SUMS = ("char_errors", "gold_chars", "token_errors", "gold_tokens")
+
+
+def by_variant(rows: DataFrame, variants: dict[str, tuple[str, str | None]], *keep: str) -> DataFrame:
+    """One scored row a region and variant: the kept columns, gold, variant, pred, status and what `distances` adds. variants:
+    name -> (column of the reading, column of its status or None). A null reading counts as an empty one; a region without a
+    status is `unmatched` in a variant that has statuses."""
+
+    def one(name: str, pred: str, status: str | None) -> Column:
+        known = F.coalesce(F.col(status), F.lit("unmatched")) if status else F.lit(None).cast("string")
+        return F.struct(F.lit(name).alias("variant"), F.coalesce(F.col(pred), F.lit("")).alias("pred"), known.alias("status"))
+
+    each = F.explode(F.array(*[one(name, *columns) for name, columns in variants.items()]))
+    return distances(rows.select(*keep, F.coalesce("gold", F.lit("")).alias("gold"), each.alias("v")).select(*keep, "gold", "v.*"))
+
+
+def variant_totals(scored: DataFrame, by: str) -> DataFrame:
+    """(grain, variant, status, by, regions, sums, exact, cer, ter): totals of each variant (grain `all`), of its statuses
+    (`status`) and of each value of `by` (`by`), from one aggregation over grouping sets."""
+    v, s, b = F.col("variant"), F.col("status"), F.col(by)
+    grain = F.when(F.grouping("status") == 0, "status").when(F.grouping(by) == 0, "by").otherwise("all")
+    out = scored.groupingSets([[v], [v, s], [v, b]], v, s, b).agg(
+        grain.alias("grain"), F.count("*").alias("regions"), *[F.sum(c).alias(c) for c in SUMS], F.count_if("exact").alias("exact"),
+        (F.sum("char_errors") / F.greatest(F.lit(1), F.sum("gold_chars"))).alias("cer"), (F.sum("token_errors") / F.greatest(F.lit(1), F.sum("gold_tokens"))).alias("ter"),
+    )
+    return out.where("grain <> 'status' or status is not null")
+
+
+def nested_totals(totals: DataFrame) -> DataFrame:
+    """One row a variant: its totals, and by_status, a map from a status to its totals (four at most)."""
+    fields = ("regions", *SUMS, "exact", "cer", "ter")
+    by_status = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("grain") == "status", F.struct("status", F.struct(*fields))))))
+    whole = [F.max(F.when(F.col("grain") == "all", F.col(c))).alias(c) for c in fields]
+    return totals.where("grain <> 'by'").groupBy("variant").agg(*whole, by_status.alias("by_status"))
+
+
+def crop_rows(totals: DataFrame, by: str, variants: list[str], counts: DataFrame | None = None, events: DataFrame | None = None) -> DataFrame:
+    """One row for each value of `by`: regions, <variant>_cer of each variant; with counts (by, and what `pages.page_counts`
+    gives) these too; with events (by, accepted) the calls of the second pass and how many were taken."""
+    cer = [F.max(F.when(F.col("variant") == v, F.col("cer"))).alias(f"{v}_cer") for v in variants]
+    out = totals.where("grain = 'by'").groupBy(by).agg(F.max("regions").alias("regions"), *cer)
+    if counts is not None:
+        out = out.join(counts, by, "left")
+    if events is not None:
+        calls = events.groupBy(by).agg(F.count("*").alias("reask_calls"), F.count_if("accepted").alias("reask_accepted"))
+        zero = {c: F.coalesce(c, F.lit(0).cast("long")) for c in ("reask_calls", "reask_accepted")}
+        out = out.join(calls, by, "left").withColumns(zero)
+    return out
+
+
+def changed_regions(rows: DataFrame, before: str, after: str, *keep: str) -> DataFrame:
+    """The regions of which two readings differ in their normal form: kept columns, gold, both readings, before_errors,
+    after_errors and gain. Distances are taken of these regions alone."""
+    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("gold", before, after)}
+    differ = rows.withColumns(text).where(L.normalise(F.col(before)) != L.normalise(F.col(after)))
+    both = F.explode(F.array(*[F.struct(F.lit(n).alias("which"), F.col(c).alias("pred")) for n, c in (("before", before), ("after", after))]))
+    # A region's two readings are told apart by where they come from; regions that repeat in every column stay as many.
+    marked = differ.select(*keep, "gold", before, after, F.monotonically_increasing_id().alias("__row"))
+    scored = distances(checkpointed(marked).withColumn("__v", both).select("*", "__v.*"))
+    errors = {n: F.max(F.when(F.col("which") == n, F.col("char_errors"))).alias(f"{n}_errors") for n in ("before", "after")}
+    out = scored.groupBy("__row", *keep, "gold", before, after).agg(*errors.values())
+    return out.drop("__row").withColumn("gain", F.col("before_errors") - F.col("after_errors"))
+
+
+def movement(changed: DataFrame) -> DataFrame:
+    """(direction, regions, gain): how many changed regions improved, got worse or kept their number of errors."""
+    direction = F.when(F.col("gain") > 0, "improved").when(F.col("gain") < 0, "worse").otherwise("same")
+    return changed.groupBy(direction.alias("direction")).agg(F.count("*").alias("regions"), F.sum("gain").alias("gain"))
+
+
+def write_report(path: str, rows: DataFrame, variants: dict[str, tuple[str, str | None]], by: str, counts: DataFrame | None = None, events: DataFrame | None = None) -> None:
+    """The report as folders of JSON lines under `path`, written by the executors: `totals` (a row a variant, statuses nested),
+    `crops` (a row for each value of `by`), `changed_<after>` (regions that each variant changed against the one before it, most
+    gained first within a file) and, with events, `events`. Regions are scored once for totals and crops. Existing folders are
+    replaced."""
+    totals = checkpointed(variant_totals(by_variant(rows, variants, by), by))
+    nested_totals(totals).coalesce(1).write.mode("overwrite").json(f"{path}/totals")
+    crop_rows(totals, by, list(variants), counts, events).write.mode("overwrite").json(f"{path}/crops")
+    names = list(variants)
+    for before, after in zip(names, names[1:]):
+        changed = changed_regions(rows, variants[before][0], variants[after][0], by)
+        changed.sortWithinPartitions(F.col("gain").desc(), by).write.mode("overwrite").json(f"{path}/changed_{after}")
+    if events is not None:
+        events.write.mode("overwrite").json(f"{path}/events")
+
+
 def manifest_crops(manifest: DataFrame) -> DataFrame:
     """Verified regions with text of the crops that have any: crop_id, region_idx, latex. manifest: id, regions[latex, verified]."""
     usable = lambda r: r["verified"] & (F.trim(F.coalesce(r["latex"], F.lit(""))) != "")

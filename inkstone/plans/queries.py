@@ -702,3 +702,37 @@ def eval_topn(spark, sf):
     n = F.length("gold").cast("long")
     rows = D.pred_gold(spark, sf).select("doc_id", "idx", (n % 17).alias("before"), (n % 5).alias("after"))
     return evaluate.most_changed(rows, 20, "before", "after", "doc_id", "idx")
+
+
+VARIANTS = {"raw": ("raw", None), "verified": ("verified", "status"), "reask": ("reasked", "status_after")}
+_SCORED = r"""v as (select crop_id, gold, 'raw' variant, raw pred, null status from readings union all select crop_id, gold, 'verified', fixed, coalesce(status, 'unmatched') from readings union all select crop_id, gold, 'reask', reasked, coalesce(status_after, 'unmatched') from readings),
+    n as (select *, regexp_replace(pred, '[$\s]+', '', 'g') p, regexp_replace(gold, '[$\s]+', '', 'g') g from v), d as (select *, """ + _ERRORS.format(g="g", p="p") + " e from n)"
+_RATES = "count(*) regions, cast(sum(e) as bigint) char_errors, cast(sum(length(g)) as bigint) gold_chars, cast(sum(e) as bigint) token_errors, cast(sum(length(g)) as bigint) gold_tokens, count_if(p = g) exact, sum(e) / greatest(1, sum(length(g))) cer, sum(e) / greatest(1, sum(length(g))) ter"
+
+
+@query(f"""with {_SCORED} select 'all' as grain, variant, null as status, null as crop_id, {_RATES} from d group by variant union all select 'status', variant, status, null, {_RATES} from d where status is not null group by variant, status
+    union all select 'by', variant, null, crop_id, {_RATES} from d group by variant, crop_id""", "readings")
+def eval_variants(spark, sf):
+    return evaluate.variant_totals(evaluate.by_variant(D.readings(spark, sf), VARIANTS, "crop_id"), "crop_id")
+
+
+@query(f"""with {_SCORED}, c as (select crop_id, variant, count(*) n, sum(e) / greatest(1, sum(length(g))) cer from d group by 1, 2), a as (select crop_id, count(*) reask_calls, count_if(status_after = 'green') reask_accepted from readings where status <> 'green' group by 1)
+    select crop_id, max(n) regions, max(cer) filter (where variant = 'raw') raw_cer, max(cer) filter (where variant = 'verified') verified_cer, max(cer) filter (where variant = 'reask') reask_cer, coalesce(any_value(reask_calls), 0) reask_calls, coalesce(any_value(reask_accepted), 0) reask_accepted from c left join a using (crop_id) group by 1""", "readings")
+def eval_crops(spark, sf):
+    rows = D.readings(spark, sf)
+    events = rows.where("status <> 'green'").select("crop_id", (F.col("status_after") == "green").alias("accepted"))
+    return evaluate.crop_rows(evaluate.variant_totals(evaluate.by_variant(rows, VARIANTS, "crop_id"), "crop_id"), "crop_id", list(VARIANTS), events=events)
+
+
+_CHANGED = r"""n as (select *, regexp_replace(fixed, '[$\s]+', '', 'g') p, regexp_replace(reasked, '[$\s]+', '', 'g') r, regexp_replace(gold, '[$\s]+', '', 'g') g from readings),
+    d as (select doc_id, idx, """ + _ERRORS.format(g="g", p="p") + " before_errors, " + _ERRORS.format(g="g", p="r") + " after_errors from n where p <> r)"
+
+
+@query(f"with {_CHANGED} select doc_id, idx, before_errors, after_errors, before_errors - after_errors as gain from d", "readings")
+def eval_changed_regions(spark, sf):
+    return evaluate.changed_regions(D.readings(spark, sf), "verified", "reasked", "doc_id", "idx").select("doc_id", "idx", "before_errors", "after_errors", "gain")
+
+
+@query(f"with {_CHANGED} select case when before_errors > after_errors then 'improved' when before_errors < after_errors then 'worse' else 'same' end direction, count(*) regions, cast(sum(before_errors - after_errors) as bigint) gain from d group by 1", "readings")
+def eval_movement(spark, sf):
+    return evaluate.movement(evaluate.changed_regions(D.readings(spark, sf), "verified", "reasked", "doc_id", "idx"))

@@ -106,6 +106,16 @@ def pred_gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where(F.trim("gold") != "").select("doc_id", "idx", "crop_id", "gold", pred.alias("pred"), "verified")
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pred_gold with two later readings: `verified` reads e right on even lines, `reasked` reads lines of even length right."""
+    rows = pred_gold(spark, sf_dir).withColumnRenamed("verified", "is_verified")
+    verified = F.when((F.col("doc_id") + F.col("idx")) % 6 == 0, F.translate("gold", "a", "¤")).otherwise(F.col("pred"))
+    even = F.length("gold") % 2 == 0
+    status = F.get(F.array(F.lit("green"), F.lit("yellow"), F.lit("grey")), ((F.col("doc_id") + F.col("idx")) % 4).cast("int"))
+    out = rows.withColumn("verified", verified).withColumn("reasked", F.when(even, F.col("gold")).otherwise(F.col("verified")))
+    return out.withColumns({"status": status, "status_after": F.when(even, "green").otherwise(status)}).withColumnRenamed("pred", "raw")
+
+
 def doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("idx", "line"))
     return rows.where(F.trim("line") != "")
@@ -131,9 +141,11 @@ DUCK = {
         when 12 then '$x = \text{l sau A(s)} + ' || q || '$' when 13 then '$y = l + ' || q || '$' else 'Subiectul ' || q end as text from base""",
     "pred_gold": """select doc_id, idx, crop_id, gold, case (doc_id + idx) % 3 when 0 then translate(gold, 'ae', '¤¤') when 1 then substr(gold, 4) else gold end pred, verified
         from (select d.doc_id, d.source || '-' || d.doc_id crop_id, l.quality = 1 verified, unnest(string_split(d.text, chr(10))) gold, unnest(range(len(string_split(d.text, chr(10))))) idx from documents d join labels l using (doc_id)) where trim(gold, ' ') <> ''""",
+    "readings": """select * exclude (pred), pred raw, case when length(gold) % 2 = 0 then gold else fixed end reasked, case when length(gold) % 2 = 0 then 'green' else status end status_after
+        from (select * exclude (verified), case when (doc_id + idx) % 6 = 0 then translate(gold, 'a', '¤') else pred end fixed, case (doc_id + idx) % 4 when 0 then 'green' when 1 then 'yellow' when 2 then 'grey' end status from pred_gold)""",
     "doc_lines": "select doc_id, i as idx, line from (select doc_id, unnest(string_split(text, chr(10))) line, unnest(range(len(string_split(text, chr(10))))) i from documents) where trim(line, ' ') <> ''",
 }
-NEEDS = {"boxes": ["base"], "math_lines": ["base"], "rule_pieces": ["base"], "drawing_strokes": ["base"], "drawing_marks": ["base", "boxes"], "drawing_regions": ["base", "drawing_strokes"]}
+NEEDS = {"readings": ["pred_gold"], "boxes": ["base"], "math_lines": ["base"], "rule_pieces": ["base"], "drawing_strokes": ["base"], "drawing_marks": ["base", "boxes"], "drawing_regions": ["base", "drawing_strokes"]}
 
 
 def duck(sql: str, *names: str) -> str:
