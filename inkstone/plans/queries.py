@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import latex as L
-from ..operators import calls, drawings, evaluate, layout, merging, pages, reask, rules
+from ..operators import calls, columns, drawings, evaluate, layout, merging, pages, reask, rules
 from ..sources import derived as D
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -229,6 +229,13 @@ def geom_classify(spark, sf):
     return drawings.classify(D.drawing_regions(spark, sf), D.drawing_marks(spark, sf), D.drawing_strokes(spark, sf))
 
 
+@query()
+def geom_columns(spark, sf):
+    """Rounds that split and cluster anew: no SQL; tests/test_columns.py holds them against a plain walk."""
+    boxes = D.boxes(spark, sf)
+    return columns.reading_units(boxes.withColumn("line_id", F.lit(0)), _glyphs(spark, sf))
+
+
 @query()
 def geom_reading_order(spark, sf):
     return layout.reading_order(D.boxes(spark, sf))
