@@ -203,3 +203,49 @@ def classify(regions: DataFrame, marks: DataFrame, strokes: DataFrame) -> DataFr
     drawn = meeting_strokes(regions.join(line_art(regions, marks), REGION, "left_semi"), strokes).withColumn("is_diagram", F.lit(True))
     kind = F.when(F.col("is_table"), "table").when(F.col("is_diagram"), "diagram").otherwise("line")
     return regions.select(*REGION).join(tables, REGION, "left").join(drawn, REGION, "left").select(*REGION, kind.alias("kind"))
+
+
+# ---------------------------------------------------------------- labels
+
+
+def _turn(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """Positive or negative as the point p lies on one side or the other of the line from a to b, 0 on it."""
+    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+
+
+def _reaches(reach: Column) -> Column:
+    """Whether the box (x0, y0, x1, y1) is at most `reach` away from the stroke (s_x0 ...): an end of the stroke is near the box,
+    a corner of the box is near the stroke, or the stroke crosses a diagonal of the box."""
+    x0, y0, x1, y1 = layout._c(*ENDS)
+    sx0, sy0, sx1, sy1 = layout._c(*[f"s_{c}" for c in ENDS])
+    beyond = lambda v, a, b: F.greatest(a - v, v - b, F.lit(0))
+    ends = [F.hypot(beyond(x, x0, x1), beyond(y, y0, y1)) for x, y in ((sx0, sy0), (sx1, sy1))]
+    corners = [_distance(x, y, "s") for x in (x0, x1) for y in (y0, y1)]
+
+    def cut(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+        stroke = _turn(sx0, sy0, sx1, sy1, ax, ay) * _turn(sx0, sy0, sx1, sy1, bx, by) <= 0
+        return stroke & (_turn(ax, ay, bx, by, sx0, sy0) * _turn(ax, ay, bx, by, sx1, sy1) <= 0)
+
+    return (F.least(*ends, *corners) <= reach) | cut(x0, y0, x1, y1) | cut(x0, y1, x1, y0)
+
+
+def figure_labels(marks: DataFrame, strokes: DataFrame, figures: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """(page_id, box_id, figure_id): the small marks within a glyph of any figure's stroke, each with the figure whose centre is
+    nearest (by the sum of both distances; ties go to the smaller id). Figures are taken as they came: a label does not move the
+    centre for the next one, so no order of marks bears on the result. strokes: page_id, ends; figures: page_id, figure_id, ends."""
+    doubles = [F.col(c).cast("double").alias(c) for c in ENDS]
+    g = F.col("glyph")
+    small = marks.select("page_id", "box_id", *doubles).join(glyphs, "page_id").where((F.col("x1") - F.col("x0") <= 2.2 * g) & (F.col("y1") - F.col("y0") <= 1.6 * g))
+    s = _prefixed(strokes.select("page_id", *doubles), "s", "page_id")
+    near = small.join(s, "page_id").where(_reaches(g)).select("page_id", "box_id", *ENDS).distinct()
+    f = figures.select("page_id", "figure_id", ((F.col("x0") + F.col("x1")) / 2).alias("fx"), ((F.col("y0") + F.col("y1")) / 2).alias("fy"))
+    away = F.abs((F.col("x0") + F.col("x1")) / 2 - F.col("fx")) + F.abs((F.col("y0") + F.col("y1")) / 2 - F.col("fy"))
+    best = near.join(f, "page_id").groupBy("page_id", "box_id").agg(F.min(F.struct(away.alias("away"), "figure_id")).alias("m"))
+    return best.select("page_id", "box_id", "m.figure_id")
+
+
+def labelled_figures(figures: DataFrame, marks: DataFrame, labels: DataFrame) -> DataFrame:
+    """The figures with boxes that cover their labels, and n_labels."""
+    own = marks.select("page_id", "box_id", *ENDS).join(labels, ["page_id", "box_id"]).select("page_id", "figure_id", *ENDS, F.lit(1).alias("n"))
+    both = figures.select("page_id", "figure_id", *ENDS, F.lit(0).alias("n")).unionByName(own)
+    return both.groupBy("page_id", "figure_id").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.sum("n").alias("n_labels"))

@@ -229,6 +229,34 @@ def geom_classify(spark, sf):
     return drawings.classify(D.drawing_regions(spark, sf), D.drawing_marks(spark, sf), D.drawing_strokes(spark, sf))
 
 
+def _cut(a: str, b: str) -> str:
+    side = lambda p, q, x, y: f"(({q[0]} - {p[0]}) * ({y} - {p[1]}) - ({q[1]} - {p[1]}) * ({x} - {p[0]}))"
+    s, e, a, b = ("sx0", "sy0"), ("sx1", "sy1"), a.split(), b.split()
+    return f"({side(s, e, *a)} * {side(s, e, *b)} <= 0 and {side(a, b, *s)} * {side(a, b, *e)} <= 0)"
+
+
+def _corner(x: str, y: str) -> str:
+    t = f"greatest(0, least(1, (({x} - sx0) * (sx1 - sx0) + ({y} - sy0) * (sy1 - sy0)) / greatest(1, (sx1 - sx0) ** 2 + (sy1 - sy0) ** 2)))"
+    return f"sqrt(({x} - sx0 - {t} * (sx1 - sx0)) ** 2 + ({y} - sy0 - {t} * (sy1 - sy0)) ** 2)"
+
+
+_ENDS_NEAR = ", ".join(f"sqrt(greatest(x0 - {x}, {x} - x1, 0) ** 2 + greatest(y0 - {y}, {y} - y1, 0) ** 2)" for x, y in (("sx0", "sy0"), ("sx1", "sy1")))
+_CORNERS_NEAR = ", ".join(_corner(x, y) for x in ("x0", "x1") for y in ("y0", "y1"))
+
+
+@query(f"""with f as (select page_id, stroke_id % 2 figure_id, min(x0) fx0, min(y0) fy0, max(x1) fx1, max(y1) fy1 from drawing_strokes group by 1, 2),
+    m as (select page_id, box_id, d.x0, d.y0, d.x1, d.y1, s.x0 sx0, s.y0 sy0, s.x1 sx1, s.y1 sy1, glyph from drawing_marks d join drawing_regions using (page_id) join drawing_strokes s using (page_id) where d.x1 - d.x0 <= 2.2 * glyph and d.y1 - d.y0 <= 1.6 * glyph),
+    n as (select distinct page_id, box_id, x0, y0, x1, y1 from m where least({_ENDS_NEAR}, {_CORNERS_NEAR}) <= glyph or {_cut("x0 y0", "x1 y1")} or {_cut("x0 y1", "x1 y0")}),
+    o as (select page_id, box_id, figure_id, x0, y0, x1, y1 from n join f using (page_id) qualify row_number() over (partition by page_id, box_id order by abs((x0 + x1) / 2 - (fx0 + fx1) / 2) + abs((y0 + y1) / 2 - (fy0 + fy1) / 2), figure_id) = 1),
+    u as (select page_id, figure_id, fx0 x0, fy0 y0, fx1 x1, fy1 y1, 0 n from f union all select page_id, figure_id, x0, y0, x1, y1, 1 from o)
+    select page_id, figure_id, min(x0) x0, min(y0) y0, max(x1) x1, max(y1) y1, cast(sum(n) as bigint) n_labels from u group by 1, 2""", "drawing_regions", "drawing_marks")
+def geom_figure_labels(spark, sf):
+    strokes, marks = D.drawing_strokes(spark, sf), D.drawing_marks(spark, sf)
+    figures = layout.union_boxes(strokes.withColumns({"figure_id": F.col("stroke_id") % 2, "area": F.lit(0)}), "page_id", "figure_id").drop("area")
+    labels = drawings.figure_labels(marks, strokes, figures, D.drawing_regions(spark, sf).select("page_id", "glyph"))
+    return drawings.labelled_figures(figures, marks, labels)
+
+
 @query()
 def geom_columns(spark, sf):
     """Rounds that split and cluster anew: no SQL; tests/test_columns.py holds them against a plain walk."""

@@ -196,3 +196,30 @@ def test_kinds(spark):
     got = {r.page_id: r.kind for r in drawings.classify(regions, m, spark.createDataFrame(strokes, STROKES)).collect()}
     assert got == {1: "diagram", 2: "table", 3: "line", 4: "line", 5: "line"}
     assert drawings.text_rows(regions, m).where("page_id = 2").collect()[0].rows == 2
+
+
+def test_labels_near_strokes(spark):
+    """Against points sampled along each stroke; marks at nearly a glyph's distance are not drawn."""
+    rng = random.Random(21)
+    strokes, marks, figures, want = [], [], [], {}
+    for p in range(25):
+        own = [[rng.randint(0, 300) for _ in range(4)] for _ in range(3)]
+        strokes += [(p, 0, i, *s) for i, s in enumerate(own)]
+        boxes = [(f, *[rng.randint(0, 300) for _ in range(2)]) for f in (4, 9)]
+        figures += [(p, f, x, y, x + 40, y + 30) for f, x, y in boxes]
+        for i in range(8):
+            x, y, w, h = rng.randint(0, 300), rng.randint(0, 300), rng.randint(4, 60), rng.randint(4, 40)
+            points = [(s[0] + k / 400 * (s[2] - s[0]), s[1] + k / 400 * (s[3] - s[1])) for s in own for k in range(401)]
+            away = min(math.hypot(max(x - a, a - x - w, 0), max(y - b, b - y - h, 0)) for a, b in points)
+            if abs(away - GLYPH) < 2:
+                continue
+            marks.append((p, 0, i, x, y, x + w, y + h, 10))
+            if w <= 2.2 * GLYPH and h <= 1.6 * GLYPH and away <= GLYPH:
+                want[p, i] = min((abs(x + w / 2 - fx - 20) + abs(y + h / 2 - fy - 15), f) for f, fx, fy in boxes)[1]
+    m = spark.createDataFrame(marks, MARKS)
+    f = spark.createDataFrame(figures, "page_id long, figure_id int, x0 int, y0 int, x1 int, y1 int")
+    labels = drawings.figure_labels(m, spark.createDataFrame(strokes, STROKES), f, glyphs(spark, range(25)))
+    assert {(r.page_id, r.box_id): r.figure_id for r in labels.collect()} == want
+    assert 20 < len(want) < len(marks)
+    grown = drawings.labelled_figures(f, m, labels).collect()
+    assert len(grown) == len(figures) and sum(r.n_labels for r in grown) == len(want)
