@@ -53,7 +53,9 @@ def drawing_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
     grid = F.when(idx % 2 == 1, of(p % 40, idx * 60, p % 40 + 300 + 4 * q, idx * 60 + s % 9)).otherwise(of(x, y, x + p % 7, y + 120 + q))
     side = F.when(idx % 3 == 1, of(p % 10, 0, p % 10 + s % 5, 130 + q)).when(idx % 3 == 2, of(p % 10, 150 + s % 20, 180 + q, 150 + s % 20 + p % 9)).otherwise(of(0, 0, 160 + q, 120 + s % 60))
     e = F.when(kind == 0, grid).when(kind == 1, side).when(kind == 2, of(idx * 40, q, idx * 40 + 100 + p % 50, q + 60 + s % 60)).otherwise(of(idx * 30, p % 40, idx * 30 + 20 + q, p % 40 + s % 10))
-    return base(spark, sf_dir).select("page_id", F.lit(0).alias("region_id"), F.col("idx").cast("int").alias("stroke_id"), *[F.get(e, i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
+    # Exploded, the ends are worked out once a row; as plain columns Spark would repeat the choice wherever an end is read.
+    drawn = base(spark, sf_dir).select("page_id", F.lit(0).alias("region_id"), F.col("idx").cast("int").alias("stroke_id"), F.explode(F.array(e)).alias("e"))
+    return drawn.select("page_id", "region_id", "stroke_id", *[F.get("e", i).alias(c) for i, c in enumerate(("x0", "y0", "x1", "y1"))])
 
 
 def drawing_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
