@@ -107,7 +107,7 @@ def upright_pieces(vert: DataFrame, margin: float = 0.7) -> DataFrame:
 def plus_signs(regions: DataFrame, strokes: DataFrame, margin: float = 0.7) -> DataFrame:
     """(page_id, region_id): the regions with a plus, a long level stroke and a long upright one that go past each other on both
     sides. The legs of a triangle meet at their ends alone."""
-    across, down = F.greatest(F.floor(4 * F.col("glyph")), F.floor(0.3 * F.col("w"))), F.greatest(F.floor(1.5 * F.col("glyph")), F.floor(0.35 * F.col("h")))
+    across, down = F.greatest(F.floor(4 * F.col("glyph")), F.floor(_share(30, F.col("w")))), F.greatest(F.floor(1.5 * F.col("glyph")), F.floor(_share(35, F.col("h"))))
     wide = regions.where((F.col("w") > across) & (F.col("h") > down)).select(*REGION, across.alias("across"), down.alias("down"), (margin * F.col("glyph")).alias("m"))
     dx, dy, level, upright = _level()
     long = strokes.join(wide, REGION).withColumns({"level": level & (dx >= F.col("across")), "upright": upright & (dy >= F.col("down"))})
@@ -150,11 +150,20 @@ def text_rows(regions: DataFrame, marks: DataFrame) -> DataFrame:
     thin marks) are no writing. Regions without writing are not returned."""
     b = marks.join(regions.select(*REGION, "glyph"), REGION)
     w, h, g = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("glyph")
-    rule = (F.greatest(w, h) >= 2.5 * g) & (F.least(w, h) <= 0.45 * g)
+    rule = (F.greatest(w, h) >= 2.5 * g) & (F.least(w, h) <= _share(45, g))
     bands = layout.merged_intervals(b.where(~rule), [*REGION, "glyph"], "y0", "y1")
     return bands.where(F.col("stop") - F.col("start") >= 0.5 * g).groupBy(*REGION).agg(F.count("*").alias("rows"))
 
 
+def _length(dx: Column, dy: Column) -> Column:
+    return F.sqrt(dx * dx + dy * dy)
+
+
+def _share(hundredths: int, x: Column) -> Column:
+    """A share of a number, exact where it is one: 0.35 * 360 is 125.99999999999999 in floating point, this is 126."""
+    return x * hundredths / 100
+
+
 def _angle(p: str) -> Column:
     return F.pmod(F.abs(F.degrees(F.atan2(F.col(f"{p}_y1") - F.col(f"{p}_y0"), F.col(f"{p}_x1") - F.col(f"{p}_x0")))), F.lit(180.0))
 
@@ -168,19 +177,19 @@ def _distance(x: Column, y: Column, p: str) -> Column:
     x0, y0, x1, y1 = layout._c(f"{p}_x0", f"{p}_y0", f"{p}_x1", f"{p}_y1")
     dx, dy = x1 - x0, y1 - y0
     t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((x - x0) * dx + (y - y0) * dy) / F.greatest(F.lit(1.0), dx * dx + dy * dy)))
-    return F.hypot(x - (x0 + t * dx), y - (y0 + t * dy))
+    return _length(x - x0 - t * dx, y - y0 - t * dy)
 
 
 def meeting_strokes(regions: DataFrame, strokes: DataFrame, reach: float = 0.8, least_angle: float = 25.0) -> DataFrame:
     """(page_id, region_id): the regions in which a long oblique stroke (20 to 70 degrees, at least two fifths of the region's
     larger side) ends at another stroke of a clearly different angle. Strokes under 2.5 glyphs are not looked at."""
     s = strokes.select(*REGION, "stroke_id", *[F.col(c).cast("double").alias(c) for c in ENDS]).join(regions.select(*REGION, "w", "h", "glyph"), REGION)
-    length = F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
+    length = _length(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"))
     s = s.where(length >= F.floor(2.5 * F.col("glyph")))
     a = _prefixed(s.withColumn("length", length), "a", *REGION).withColumn("a_angle", _angle("a"))
-    oblique = a.where(_acute(F.col("a_angle")).between(20, 70) & (F.col("a_length") >= 0.4 * F.greatest("a_w", "a_h")))
+    oblique = a.where(_acute(F.col("a_angle")).between(20, 70) & (F.col("a_length") >= _share(40, F.greatest("a_w", "a_h"))))
     b = _prefixed(s.drop("w", "h", "glyph"), "b", *REGION).withColumn("b_angle", _angle("b"))
-    near = F.least(_distance(F.col("a_x0"), F.col("a_y0"), "b"), _distance(F.col("a_x1"), F.col("a_y1"), "b")) <= reach * F.col("a_glyph")
+    near = F.least(_distance(F.col("a_x0"), F.col("a_y0"), "b"), _distance(F.col("a_x1"), F.col("a_y1"), "b")) <= _share(round(100 * reach), F.col("a_glyph"))
     turns = _acute(F.abs(F.col("a_angle") - F.col("b_angle"))) >= least_angle
     return oblique.join(b, REGION).where((F.col("a_stroke_id") != F.col("b_stroke_id")) & turns & near).select(*REGION).distinct()
 
@@ -189,9 +198,9 @@ def line_art(regions: DataFrame, marks: DataFrame, most_marks: int = 15) -> Data
     """(page_id, region_id): the regions with few marks of which at least 55 % of the ink is large, thin and sparse."""
     b = marks.join(regions.select(*REGION, "glyph"), REGION)
     w, h, g = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.col("glyph")
-    sparse = (F.greatest(w, h) >= 3.5 * g) & (F.least(w, h) >= 2.2 * g) & (F.col("area") < 0.12 * w * h)
+    sparse = (F.greatest(w, h) >= 3.5 * g) & (F.least(w, h) >= _share(220, g)) & (F.col("area") * 100 < w * h * 12)
     ink = b.groupBy(*REGION).agg(F.sum("area").alias("ink"), F.coalesce(F.sum(F.when(sparse, F.col("area"))), F.lit(0)).alias("art"), F.count("*").alias("n"))
-    return ink.where((F.col("ink") > 0) & (F.col("art") >= 0.55 * F.col("ink")) & (F.col("n") <= most_marks)).select(*REGION)
+    return ink.where((F.col("ink") > 0) & (F.col("art") * 100 >= F.col("ink") * 55) & (F.col("n") <= most_marks)).select(*REGION)
 
 
 def classify(regions: DataFrame, marks: DataFrame, strokes: DataFrame) -> DataFrame:
@@ -219,7 +228,7 @@ def _reaches(reach: Column) -> Column:
     x0, y0, x1, y1 = layout._c(*ENDS)
     sx0, sy0, sx1, sy1 = layout._c(*[f"s_{c}" for c in ENDS])
     beyond = lambda v, a, b: F.greatest(a - v, v - b, F.lit(0))
-    ends = [F.hypot(beyond(x, x0, x1), beyond(y, y0, y1)) for x, y in ((sx0, sy0), (sx1, sy1))]
+    ends = [_length(beyond(x, x0, x1), beyond(y, y0, y1)) for x, y in ((sx0, sy0), (sx1, sy1))]
     corners = [_distance(x, y, "s") for x in (x0, x1) for y in (y0, y1)]
 
     def cut(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
