@@ -72,8 +72,8 @@ def join_pieces(pieces: DataFrame, glyphs: DataFrame) -> DataFrame:
         if not edges.head(1):
             break
         still = moving.join(pages, "page_id", "left_semi")
-        groups = layout.rows_of(still.withColumnRenamed("rule_id", "box_id"), edges).withColumnRenamed("box_id", "rule_id")
-        ends = still.join(groups, ["page_id", "rule_id"]).groupBy("page_id", F.col("row_id").alias("rule_id"), "glyph").agg(
+        groups = layout.with_rows(still.withColumnRenamed("rule_id", "box_id"), edges).withColumnRenamed("box_id", "rule_id")
+        ends = groups.groupBy("page_id", F.col("row_id").alias("rule_id"), "glyph").agg(
             F.min(F.struct("x0", "rule_id", "y0")).alias("left"), F.max(F.struct("x1", (-F.col("rule_id")).alias("r"), "y1")).alias("right"), F.sum("n_pieces").alias("n_pieces")
         )
         moving = checkpointed(ends.select("page_id", "rule_id", "left.x0", "left.y0", "right.x1", "right.y1", "n_pieces", "glyph"))
@@ -130,9 +130,9 @@ def find_tables(rules: DataFrame, glyphs: DataFrame, sizes: DataFrame) -> DataFr
     pairs = checkpointed(touching(h, v))
     edges = pairs.select("page_id", F.col("h_id").alias("a_box_id"), F.col("v_id").alias("b_box_id")).unionByName(upright_pieces(v))
     both = h.withColumn("is_h", F.lit(1)).unionByName(v.withColumn("is_h", F.lit(0)))
-    groups = layout.rows_of(both.withColumnRenamed("rule_id", "box_id"), edges).withColumnRenamed("box_id", "rule_id")
+    groups = layout.with_rows(both.withColumnRenamed("rule_id", "box_id"), edges).withColumnRenamed("box_id", "rule_id")
     crossed = pairs.where("crosses").select("page_id", F.col("h_id").alias("rule_id")).distinct().withColumn("crosses", F.lit(True))
-    member = checkpointed(both.join(groups, ["page_id", "rule_id"]).join(crossed, ["page_id", "rule_id"], "left").withColumnRenamed("row_id", "region_id"))
+    member = checkpointed(groups.join(crossed, ["page_id", "rule_id"], "left").withColumnRenamed("row_id", "region_id"))
     box = member.groupBy(*REGION, "glyph").agg(
         *[F.floor(F.min(F.least(f"{c}0", f"{c}1"))).cast("int").alias(f"{c}0") for c in "xy"], *[(F.floor(F.max(F.greatest(f"{c}0", f"{c}1"))) + 1).cast("int").alias(f"{c}1") for c in "xy"],
         F.sum("is_h").alias("rows"), F.count("*").alias("n_rules"), F.bool_or(F.coalesce("crosses", F.lit(False))).alias("crosses"),

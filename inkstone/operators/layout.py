@@ -10,7 +10,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from .components import connected_components
+from ..functions.latex import let
+from .components import checkpointed, connected_components
 
 BOX = ("box_id", "x0", "y0", "x1", "y1", "area")
 
@@ -66,13 +67,48 @@ def same_row_edges(boxes: DataFrame, share: float = 0.4) -> DataFrame:
     return pairs(core, (overlap_y() >= share * F.least("a_h", "b_h")) & inside).select("page_id", "a_box_id", "b_box_id")
 
 
-def rows_of(boxes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(page_id, box_id, row_id): the connected components of an edge relation; a box without edges is its own row. Boxes are
-    nodes by page and number together, so numbers may be of any size."""
+#: Edges of a page up to which its components are found in one fold; pages with more of them contract stars.
+MOST_EDGES = 2000
+
+
+def _components_of_pages(edges: DataFrame, kind: str) -> DataFrame:
+    """(page_id, firsts): a map from each box with an edge to the smallest one of its component, by a fold over the page's edges."""
+    none = F.array().cast(f"array<array<{kind}>>")
+
+    def step(groups: Column, e: Column) -> Column:
+        meets = lambda g: F.array_contains(g, e["a"]) | F.array_contains(g, e["b"])
+        joined = F.array_distinct(F.concat(F.array(e["a"], e["b"]), F.flatten(F.filter(groups, meets))))
+        return F.concat(F.filter(groups, lambda g: ~meets(g)), F.array(joined))
+
+    pages = edges.groupBy("page_id").agg(F.collect_set(F.struct("a", "b")).alias("es")).select("page_id", F.aggregate("es", none, step).alias("groups"))
+    firsts = F.map_from_entries(F.flatten(F.transform("groups", lambda g: let(F.array_min(g), lambda first: F.transform(g, lambda x: F.struct(x.alias("box"), first.alias("first")))))))
+    return pages.select("page_id", firsts.alias("firsts"))
+
+
+def with_rows(boxes: DataFrame, edges: DataFrame) -> DataFrame:
+    """boxes with row_id, the smallest box of their connected component in an edge relation; a box without edges is its own row.
+
+    Edges are within a page, so a page is done by itself: its edges travel once. A page with very many edges is no list for one
+    task; those pages contract stars, with boxes as nodes by page and number together, so numbers may be of any size."""
+    kind = boxes.schema["box_id"].dataType.simpleString()
+    known = edges.select("page_id", F.col("a_box_id").cast(kind).alias("a"), F.col("b_box_id").cast(kind).alias("b")).where("a is not null and b is not null")
+    known = checkpointed(known)
+    large = known.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_EDGES).select("page_id")
+    some = bool(large.head(1))
+    small = known.join(large, "page_id", "left_anti") if some else known
+    own = F.coalesce(F.try_element_at("firsts", F.col("box_id")), F.col("box_id"))
+    out = boxes.join(_components_of_pages(small, kind), "page_id", "left").withColumn("row_id", own).drop("firsts")
+    if not some:
+        return out
     node = lambda c: F.struct("page_id", F.col(c).alias("box_id"))
-    parts = connected_components(edges.select(node("a_box_id").alias("src"), node("b_box_id").alias("dst")))
+    parts = connected_components(known.join(large, "page_id", "left_semi").select(node("a").alias("src"), node("b").alias("dst")))
     found = parts.select("node.page_id", "node.box_id", F.col("component.box_id").alias("first"))
-    return boxes.select("page_id", "box_id").join(found, ["page_id", "box_id"], "left").select("page_id", "box_id", F.coalesce("first", "box_id").alias("row_id"))
+    return out.join(found, ["page_id", "box_id"], "left").withColumn("row_id", F.coalesce("first", "row_id")).drop("first")
+
+
+def rows_of(boxes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(page_id, box_id, row_id) of every box, as `with_rows` gives it."""
+    return with_rows(boxes.select("page_id", "box_id"), edges)
 
 
 def union_boxes(boxes: DataFrame, *by: str) -> DataFrame:
@@ -158,10 +194,10 @@ def rule_crossings(rules: DataFrame, margin: int) -> DataFrame:
 
 def tables_of(rules: DataFrame, margin: int) -> DataFrame:
     """Boxes of the groups of rules that cross one another."""
-    cross = rule_crossings(rules, margin).select("page_id", F.col("h_id").alias("a_box_id"), F.col("v_id").alias("b_box_id"))
-    rows = rows_of(rules.select("page_id", F.col("rule_id").alias("box_id")), cross)
-    hit = cross.select("page_id", F.col("a_box_id").alias("box_id")).union(cross.select("page_id", F.col("b_box_id").alias("box_id"))).distinct()
-    members = rules.withColumnRenamed("rule_id", "box_id").join(rows, ["page_id", "box_id"]).join(hit, ["page_id", "box_id"], "left_semi")
+    cross = checkpointed(rule_crossings(rules, margin).select("page_id", F.col("h_id").alias("a_box_id"), F.col("v_id").alias("b_box_id")))
+    ends = cross.groupBy("page_id").agg(F.collect_set("a_box_id").alias("hs"), F.collect_set("b_box_id").alias("vs"))
+    hit = ends.select("page_id", F.array_union("hs", "vs").alias("hit"))
+    members = with_rows(rules.withColumnRenamed("rule_id", "box_id"), cross).join(hit, "page_id").where(F.array_contains("hit", F.col("box_id")))
     return members.groupBy("page_id", F.col("row_id").alias("table_id")).agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"), F.count("*").alias("n_rules"))
 
 

@@ -7,6 +7,7 @@ boxes, which a page's aggregation collects: a page holds some hundred at most.""
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,41 +42,49 @@ def one_row() -> Column:
     return (-layout.overlap_x() < 2 * F.col("a_glyph")) & shared
 
 
-def contract(boxes: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame]:
-    """(boxes, pages): the boxes after one step, in which each connected group becomes its union under its smallest id; and
-    the pages where something was joined."""
-    edges = checkpointed(layout.pairs(boxes, condition).select("page_id", "a_box_id", "b_box_id"))
-    rows = boxes.join(layout.rows_of(boxes, edges), ["page_id", "box_id"])
+def contract(boxes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The boxes after one step, in which each connected group becomes its union under its smallest id."""
+    rows = layout.with_rows(boxes, edges)
     joined = rows.groupBy("page_id", F.col("row_id").alias("box_id"), "glyph").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.sum("area").alias("area"), F.sum("n_boxes").alias("n_boxes"))
-    return joined.select(*boxes.columns), edges.select("page_id").distinct()
+    return joined.select(*boxes.columns)
+
+
+def _union_all(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _settled(moving: DataFrame, condition: Column) -> tuple[DataFrame, DataFrame | None]:
+    """(boxes, pages): the boxes after steps by one condition until it joins nothing, and the pages where it joined something
+    (None without any). Pages where it joins nothing leave the steps and are not written again."""
+    parts, touched = [], None
+    while True:
+        edges = checkpointed(layout.pairs(moving, condition).select("page_id", "a_box_id", "b_box_id"))
+        if not edges.head(1):
+            return _union_all([*parts, moving]), touched
+        pages = edges.select("page_id").distinct()
+        touched = pages if touched is None else touched
+        parts.append(moving.join(pages, "page_id", "left_anti"))
+        moving = checkpointed(contract(moving.join(pages, "page_id", "left_semi"), edges))
 
 
 def _until_stable(boxes: DataFrame, glyphs: DataFrame, conditions: list[Column]) -> DataFrame:
     """Steps by each condition in turn, each repeated until it joins nothing, until none of them joins anything. Edges are
-    derived anew from the boxes that the last step made. Pages at rest are set aside."""
-    moving = checkpointed(boxes.withColumn("n_boxes", F.lit(1).cast("long")).join(glyphs, "page_id"))
-    resting: DataFrame | None = None
+    derived anew from the boxes that the last step made. Another turn is for the pages alone where a condition behind the first
+    joined something: elsewhere every condition has joined nothing since the last step."""
+    moving, done = checkpointed(boxes.withColumn("n_boxes", F.lit(1).cast("long")).join(glyphs, "page_id")), []
     while True:
-        touched: DataFrame | None = None
-        for condition in conditions:
-            still = moving  # pages on which this condition may still join something
-            while True:
-                after, pages = contract(still, condition)
-                pages = checkpointed(pages)
-                if not pages.head(1):
-                    break
-                touched = pages if touched is None else touched.unionByName(pages).distinct()
-                moving = checkpointed(moving.join(pages, "page_id", "left_anti").unionByName(after.join(pages, "page_id", "left_semi")))
-                still = moving.join(pages, "page_id", "left_semi")
-        if touched is None:
-            done = moving if resting is None else resting.unionByName(moving)
-            return done.drop("glyph")
-        touched = checkpointed(touched)
-        still = moving.join(touched, "page_id", "left_anti")
-        resting = checkpointed(still if resting is None else resting.unionByName(still))
-        moving = checkpointed(moving.join(touched, "page_id", "left_semi"))
-        if len(conditions) == 1:  # it has joined nothing in its last step
-            return resting.unionByName(moving).drop("glyph")
+        again: list[DataFrame] = []
+        for i, condition in enumerate(conditions):
+            moving, touched = _settled(moving, condition)
+            if touched is not None and i > 0:
+                again.append(touched)
+            if touched is not None and i + 1 < len(conditions):
+                moving = checkpointed(moving)
+        if not again:
+            return _union_all([*done, moving]).drop("glyph")
+        pages = checkpointed(_union_all(again).distinct())
+        done.append(moving.join(pages, "page_id", "left_anti"))
+        moving = checkpointed(moving.join(pages, "page_id", "left_semi"))
 
 
 def merge_close(boxes: DataFrame, gap: int | None = None) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from inkstone.operators import merging
+from inkstone.operators import layout, merging
 
 SCHEMA = "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int, area long"
 CORNERS = slice(1, 5)
@@ -247,3 +247,25 @@ def test_loose_marks_join_the_line_they_touch(spark):
     want = {p: plain(bs, marks[p], glyph(p)) for p, bs in lines.items()}
     assert got == {p: x for p, (x, _) in want.items()}
     assert sum(n for _, n in want.values()) > 10
+
+
+def test_components_of_pages_with_very_many_edges(spark, monkeypatch):
+    """Pages over the bound on edges contract stars, the others are folded: both as one walk over all edges says."""
+    rng = random.Random(9)
+    edges = [(page, *sorted(rng.sample(range(30), 2))) for page in range(6) for _ in range(4 * page + 1)]
+    first = {(page, box): box for page in range(6) for box in range(30)}
+    for _ in range(30):
+        for page, a, b in edges:
+            first[page, a] = first[page, b] = min(first[page, a], first[page, b])
+    boxes = spark.createDataFrame(list(first), "page_id long, box_id int")
+    for bound in (2000, 10, 0):
+        monkeypatch.setattr(layout, "MOST_EDGES", bound)
+        got = layout.rows_of(boxes, spark.createDataFrame(edges, "page_id long, a_box_id int, b_box_id int"))
+        assert {(r.page_id, r.box_id): r.row_id for r in got.collect()} == first
+
+
+def test_components_of_pages_shuffle_by_page_alone(spark):
+    """A page's edges travel once; rounds over the whole relation are for pages with very many edges."""
+    boxes = spark.createDataFrame([(1, 5), (1, 7)], "page_id long, box_id int")
+    plan = layout.rows_of(boxes, spark.createDataFrame([(1, 5, 7)], "page_id long, a_box_id int, b_box_id int"))._jdf.queryExecution().toString()
+    assert "hashpartitioning(page_id" in plan and "box_id" not in "".join(x.split(")")[0] for x in plan.split("hashpartitioning(")[1:])
