@@ -10,21 +10,24 @@ from .components import checkpointed
 from .reask import rank
 
 
-def distances(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
-    """rows with character and token distances of the normal forms and the gold's lengths.
+def dealt(rows: DataFrame, *texts: str) -> DataFrame:
+    """Rows dealt anew by their texts: the work on a line grows faster than its length, and long lines stand together in their
+    document. A given number of partitions is not lowered by Spark."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*texts))
 
-    Lines are dealt anew: the work on a line grows faster than its length, and long lines stand together in their document.
-    Where every token is one character the two distances are one."""
-    n_parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a given number, which Spark does not lower
-    df = rows.repartition(n_parts, F.xxhash64(pred, gold)).withColumns({"__p": L.normalise(F.col(pred)), "__g": L.normalise(F.col(gold))})
-    df = df.withColumns({"__pt": L.tokens(F.col("__p")), "__gt": L.tokens(F.col("__g"))})
 
-    def both(chars: Column) -> Column:
-        plain = (F.size("__pt") == F.length("__p")) & (F.size("__gt") == F.length("__g"))
-        return F.struct(chars.cast("long").alias("c"), F.when(plain, chars).otherwise(L.token_distance(F.col("__pt"), F.col("__gt"))).cast("long").alias("t"))
+def distances(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
+    """rows with character and token distances of the normal forms and the gold's lengths.
 
-    df = df.withColumn("__d", L.let(L.edit_distance(F.col("__p"), F.col("__g")), both))
-    return df.withColumns({"char_errors": F.col("__d.c"), "gold_chars": F.length("__g").cast("long"), "token_errors": F.col("__d.t"), "gold_tokens": F.size("__gt").cast("long"), "exact": F.col("__p") == F.col("__g")}).drop("__p", "__g", "__pt", "__gt", "__d")
+    Without a command every token is one character and the two distances are one."""
+    df = dealt(rows, pred, gold).withColumn("__g", L.normalise(F.col(gold)))
+    df = df.withColumn("__p", F.when(F.col(pred) == F.col(gold), F.col("__g")).otherwise(L.normalise(F.col(pred))))
+    p, g, command = F.col("__p"), F.col("__g"), F.lit("\\")
+    spelt, listed = F.contains(p, command) | F.contains(g, command), F.contains(g, command)
+    df = df.withColumns({"__c": L.edit_distance(p, g), "__t": L.token_distance(*[F.when(spelt & (p != g), L.tokens(x)) for x in (p, g)])})
+    tokens = F.when(spelt & (p != g), F.col("__t")).otherwise(F.col("__c"))
+    gold_tokens = F.when(listed, F.size(L.tokens(g))).otherwise(F.length(g))
+    return df.withColumns({"char_errors": F.col("__c").cast("long"), "gold_chars": F.length(g).cast("long"), "token_errors": tokens.cast("long"), "gold_tokens": gold_tokens.cast("long"), "exact": p == g}).drop("__p", "__g", "__c", "__t")
 
 
 def totals(scored: DataFrame, *grains: str) -> DataFrame:

@@ -1,7 +1,11 @@
 """Variants of readings, what changed between them and the report, against plain Python on a few regions."""
 
 import json
+import random
 
+from pyspark.sql import functions as F
+
+from inkstone.functions import latex as L
 from inkstone.operators import evaluate
 
 SCHEMA = "crop_id string, region_idx int, gold string, raw string, verified string, status string, reasked string, status_after string"
@@ -85,3 +89,43 @@ def test_nothing_to_score(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert evaluate.variant_totals(evaluate.by_variant(df, VARIANTS, "crop_id"), "crop_id").count() == 0
     assert evaluate.movement(evaluate.changed_regions(df, "raw", "verified", "crop_id")).count() == 0
+
+
+def test_distance_in_bands_is_that_of_the_whole_table(monkeypatch):
+    """Bands of every width, windows that move along both sequences, items instead of characters."""
+    from inkstone.functions import distance as bits
+
+    rng = random.Random(3)
+    for band in (1, 2, 3, 8, 512):
+        monkeypatch.setattr(bits, "BAND", band)
+        for _ in range(300):
+            a = rng.choices("abcd"[: rng.randint(1, 4)], k=rng.randint(0, 40))
+            b = rng.choices("abcd", k=rng.randint(0, 50)) if rng.random() < 0.2 else [c for c in a if rng.random() > 0.1]
+            for _ in range(rng.randint(0, 6)):
+                b.insert(rng.randint(0, len(b)), rng.choice("abz"))
+            assert bits.levenshtein("".join(a), "".join(b)) == bits.levenshtein(a, b) == distance(a, b)
+
+
+def test_a_long_line_far_from_its_reading(spark):
+    """24,000 characters, every fifth another."""
+    gold = "".join(random.Random(5).choices("bcdfghijklmnopqrstuvwxyz", k=24000))
+    df = spark.createDataFrame([("".join("¤" if i % 5 == 0 else c for i, c in enumerate(gold)), gold)], "pred string, gold string")
+    r = evaluate.distances(df).first()
+    assert (r.char_errors, r.token_errors, r.gold_chars, r.gold_tokens, r.exact) == (4800, 4800, 24000, 24000, False)
+
+
+def test_commands_count_as_one_token(spark):
+    rows = [(r"\frac{a}{b}", r"\frac{a}{c}"), (r"\frac{a}{b}", "frac{a}{b}"), ("x", r"\sin x"), (None, r"\sin x"), (r"\sin x", r"\sin x"), ("xy", "x z")]
+    got = [(r.char_errors, r.token_errors, r.gold_chars, r.gold_tokens, r.exact) for r in evaluate.distances(spark.createDataFrame(rows, "pred string, gold string")).orderBy("gold", "pred").collect()]
+    # Without its space \\sin x is one command.
+    assert got == [(1, 1, 11, 7, False), (None, None, 5, 1, None), (0, 0, 5, 1, True), (4, 1, 5, 1, False), (1, 4, 10, 10, False), (1, 1, 2, 2, False)]
+
+
+def test_the_short_way_to_a_normal_form(spark):
+    """A command that sets only space makes every text go the long way, and changes nothing."""
+    rng = random.Random(8)
+    parts = ["a", "A", "b", " ", "$", "\n", "\u00a0", "\u2003", "≥", "²", "ℝ", "→", "=", ")", "(", "=>", "<=>", "^", "_", "{", "}", '"', "'", "„", "”", "“", ",,", "|", "é", "𝒳"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(2000)] + ["„ A ”", '"$A$"', ",,A' '", "x ≥ 2", "( = )", "a  b\t$c$"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    bad = df.where(L.normalise(F.col("t")) != L.normalise(F.concat("t", F.lit(r"\;")))).collect()
+    assert not bad
