@@ -58,14 +58,17 @@ SUMS = ("char_errors", "gold_chars", "token_errors", "gold_tokens")
 def by_variant(rows: DataFrame, variants: dict[str, tuple[str, str | None]], *keep: str) -> DataFrame:
     """One scored row a region and variant: the kept columns, gold, variant, pred, status and what `distances` adds. variants:
     name -> (column of the reading, column of its status or None). A null reading counts as an empty one; a region without a
-    status is `unmatched` in a variant that has statuses."""
+    status is `unmatched` in a variant that has statuses. A reading that several variants of a region share is scored once."""
 
     def one(name: str, pred: str, status: str | None) -> Column:
         known = F.coalesce(F.col(status), F.lit("unmatched")) if status else F.lit(None).cast("string")
         return F.struct(F.lit(name).alias("variant"), F.coalesce(F.col(pred), F.lit("")).alias("pred"), known.alias("status"))
 
-    each = F.explode(F.array(*[one(name, *columns) for name, columns in variants.items()]))
-    return distances(rows.select(*keep, F.coalesce("gold", F.lit("")).alias("gold"), each.alias("v")).select(*keep, "gold", "v.*"))
+    each = rows.select(*keep, F.coalesce("gold", F.lit("")).alias("gold"), F.array(*[one(name, *columns) for name, columns in variants.items()]).alias("__vs"))
+    read = each.select("*", F.explode(F.array_distinct(F.col("__vs.pred"))).alias("pred"))
+    held = F.transform(F.filter("__vs", lambda v: v["pred"] == F.col("pred")), lambda v: F.struct(v["variant"].alias("variant"), v["status"].alias("status")))
+    scored = distances(read.select(*keep, "gold", "pred", held.alias("__held"))).withColumn("__v", F.explode("__held"))
+    return scored.select(*keep, "gold", "__v.variant", "pred", "__v.status", *SUMS, "exact")
 
 
 def variant_totals(scored: DataFrame, by: str) -> DataFrame:

@@ -91,6 +91,13 @@ def test_nothing_to_score(spark):
     assert evaluate.movement(evaluate.changed_regions(df, "raw", "verified", "crop_id")).count() == 0
 
 
+def test_a_reading_of_several_variants_is_scored_once(spark, monkeypatch):
+    df, plain, scored = spark.createDataFrame(ROWS, SCHEMA), evaluate.distances, []
+    monkeypatch.setattr(evaluate, "distances", lambda rows: scored.append(rows.count()) or plain(rows))
+    assert evaluate.by_variant(df, VARIANTS, "crop_id").count() == 3 * len(ROWS)
+    assert scored == [sum(len({r[i] or "" for i in (3, 4, 6)}) for r in ROWS)] == [10]
+
+
 def test_distance_in_bands_is_that_of_the_whole_table(monkeypatch):
     """Bands of every width, windows that move along both sequences, items instead of characters."""
     from inkstone.functions import distance as bits
