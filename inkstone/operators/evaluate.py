@@ -108,15 +108,13 @@ def crop_rows(totals: DataFrame, by: str, variants: list[str], counts: DataFrame
 def changed_regions(rows: DataFrame, before: str, after: str, *keep: str) -> DataFrame:
     """The regions of which two readings differ in their normal form: kept columns, gold, both readings, before_errors,
     after_errors and gain. Distances are taken of these regions alone."""
-    text = {c: F.coalesce(F.col(c), F.lit("")) for c in ("gold", before, after)}
-    differ = rows.withColumns(text).where(L.normalise(F.col(before)) != L.normalise(F.col(after)))
-    both = F.explode(F.array(*[F.struct(F.lit(n).alias("which"), F.col(c).alias("pred")) for n, c in (("before", before), ("after", after))]))
-    # A region's two readings are told apart by where they come from; regions that repeat in every column stay as many.
-    marked = differ.select(*keep, "gold", before, after, F.monotonically_increasing_id().alias("__row"))
-    scored = distances(checkpointed(marked).withColumn("__v", both).select("*", "__v.*"))
-    errors = {n: F.max(F.when(F.col("which") == n, F.col("char_errors"))).alias(f"{n}_errors") for n in ("before", "after")}
-    out = scored.groupBy("__row", *keep, "gold", before, after).agg(*errors.values())
-    return out.drop("__row").withColumn("gain", F.col("before_errors") - F.col("after_errors"))
+    names = ("gold", before, after)
+    rows = rows.select(*keep, *[F.coalesce(c, F.lit("")).alias(c) for c in names])
+    # Exploded, the normal forms are worked out once a row; the filter would repeat them as plain columns.
+    forms = F.explode(F.array(F.struct(*[L.normalise(F.col(c)).alias(n) for n, c in zip("gba", names)])))
+    differ = dealt(rows.where(F.col(before) != F.col(after)), *names).select("*", forms.alias("__n")).where("__n.b <> __n.a")
+    errors = {f"{n}_errors": L.edit_distance(F.col(f"__n.{n[0]}"), F.col("__n.g")).cast("long") for n in ("before", "after")}
+    return differ.withColumns(errors).drop("__n").withColumn("gain", F.col("before_errors") - F.col("after_errors"))
 
 
 def movement(changed: DataFrame) -> DataFrame:

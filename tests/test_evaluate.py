@@ -98,6 +98,12 @@ def test_a_reading_of_several_variants_is_scored_once(spark, monkeypatch):
     assert scored == [sum(len({r[i] or "" for i in (3, 4, 6)}) for r in ROWS)] == [10]
 
 
+def test_changed_regions_are_scored_in_their_row(spark):
+    """No grouping brings a region's two readings together again, and its normal forms are worked out once."""
+    plan = evaluate.changed_regions(spark.createDataFrame(ROWS, SCHEMA), "verified", "reasked", "crop_id", "region_idx")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1 and plan.count("Figura geometrica") == 3
+
+
 def test_distance_in_bands_is_that_of_the_whole_table(monkeypatch):
     """Bands of every width, windows that move along both sequences, items instead of characters."""
     from inkstone.functions import distance as bits
