@@ -19,16 +19,17 @@ BLOCK = ["page_id", "path"]
 SIDE = [*BLOCK, "side"]
 
 
-def block_gutters(marks: DataFrame, gap: float = 2.5, side: float = 3.5, least_height: float = 1.8) -> DataFrame:
-    """(page_id, path, middle): the middle of each block's widest empty vertical band, at least `gap` glyphs wide with `side`
-    glyphs of the block on both sides, of the blocks that are high enough for two rows."""
-    box = marks.groupBy(*BLOCK, "glyph").agg(F.min("x0").alias("left"), F.max("x1").alias("right"), (F.max("y1") - F.min("y0")).alias("high"))
-    room = box.where(F.col("high") >= least_height * F.col("glyph")).withColumns({"gap": F.floor(gap * F.col("glyph")), "room": F.floor(side * F.col("glyph"))})
-    bands = layout.merged_intervals(marks.join(room.select(*BLOCK), BLOCK, "left_semi"), BLOCK, "x0", "x1")
-    empty = bands.withColumn("end", F.lead("start").over(W.partitionBy(*BLOCK).orderBy("start"))).where("end is not null").join(room, BLOCK)
-    fit = empty.where((F.col("end") - F.col("stop") >= F.col("gap")) & (F.col("stop") - F.col("left") >= F.col("room")) & (F.col("right") - F.col("end") >= F.col("room")))
-    best = fit.groupBy(*BLOCK).agg(F.max(F.struct((F.col("end") - F.col("stop")).alias("wide"), (-F.col("stop")).alias("first"), "end")).alias("b"))
-    return best.select(*BLOCK, ((F.col("b.end") - F.col("b.first")) / 2).alias("middle"))
+def with_gutters(marks: DataFrame, gap: float = 2.5, side: float = 3.5, least_height: float = 1.8) -> DataFrame:
+    """marks with middle, that of their block's widest empty vertical band, at least `gap` glyphs wide with `side` glyphs of the
+    block on both sides; null where there is none or the block is not high enough for two rows."""
+    block, order = W.partitionBy(*BLOCK), W.partitionBy(*BLOCK).orderBy("x0", "x1")
+    held = marks.withColumn("__stop", F.max("x1").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    held = held.withColumns({"__left": F.min("x0").over(block), "__right": F.max("x1").over(block), "__high": F.max("y1").over(block) - F.min("y0").over(block)})
+    wide, room = F.col("x0") - F.col("__stop"), F.floor(side * F.col("glyph"))
+    fits = (wide > 0) & (wide >= F.floor(gap * F.col("glyph"))) & (F.col("__stop") - F.col("__left") >= room) & (F.col("__right") - F.col("x0") >= room) & (F.col("__high") >= least_height * F.col("glyph"))
+    best = F.max(F.when(fits, F.struct(wide.alias("wide"), (-F.col("__stop")).alias("first"), F.col("x0").alias("end")))).over(block)
+    held = held.withColumn("__b", best).withColumn("middle", (F.col("__b.end") - F.col("__b.first")) / 2)
+    return held.drop("__stop", "__left", "__right", "__high", "__b")
 
 
 def banded(marks: DataFrame) -> DataFrame:
@@ -38,47 +39,55 @@ def banded(marks: DataFrame) -> DataFrame:
     return marks.withColumn("__new", (F.col("y0") > reach).cast("int")).withColumn("row", F.coalesce(F.sum("__new").over(order.rowsBetween(W.unboundedPreceding, 0)), F.lit(0)).cast("int")).drop("__new")
 
 
-def same_rows(rows: DataFrame, tall: float = 1.6, covered: float = 0.4) -> DataFrame:
-    """(page_id, path): the blocks whose two sides have the same rows, as a matrix has. rows: banded marks. Low rows that cover
-    little of their width (limits of a bar, exponents) do not count, unless a side has no others."""
-    by = [*SIDE, "row"]
-    box = rows.groupBy(*by, "glyph").agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")])
-    ink = layout.merged_intervals(rows, by, "x0", "x1").groupBy(*by).agg(F.sum(F.col("stop") - F.col("start")).alias("ink"))
-    real = (F.col("y1") - F.col("y0") > tall * F.col("glyph")) | (F.col("ink") / F.greatest(F.lit(1), F.col("x1") - F.col("x0")) > covered)
-    counted = box.join(ink, by).withColumn("real", real).withColumn("any", F.bool_or("real").over(W.partitionBy(*SIDE))).where("real or not any")
-    ranked = counted.withColumn("rank", F.row_number().over(W.partitionBy(*SIDE).orderBy("y0", "row")))
-    of = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))
-    pairs = ranked.groupBy(*BLOCK, "rank").agg(*[of(s, c).alias(f"{p}_{c}") for s, p in ((0, "a"), (1, "b")) for c in ("y0", "y1")])
-    lower = F.least(F.col("a_y1") - F.col("a_y0"), F.col("b_y1") - F.col("b_y0"))
-    beside = F.col("a_y0").isNotNull() & F.col("b_y0").isNotNull() & (G.overlap(*layout._c("a_y0", "a_y1", "b_y0", "b_y1")) > 0.5 * lower)
-    return pairs.groupBy(*BLOCK).agg(F.bool_and(beside).alias("same")).where("same").select(*BLOCK)
+def with_same_rows(rows: DataFrame, tall: float = 1.6, covered: float = 0.4) -> DataFrame:
+    """rows with same: whether the two sides of their block have the same rows, as a matrix has. rows: banded marks. Low rows that
+    cover little of their width (limits of a bar, exponents) do not count, unless a side has no others."""
+    band = W.partitionBy(*SIDE, "row")
+    reach = F.max("x1").over(band.orderBy("x0", "x1").rowsBetween(W.unboundedPreceding, -1))
+    inked = rows.withColumn("__new", F.greatest(F.lit(0), F.col("x1") - F.greatest("x0", reach)))
+    size = lambda c: F.max(f"{c}1").over(band) - F.min(f"{c}0").over(band)
+    box = inked.withColumns({"__y0": F.min("y0").over(band), "__y1": F.max("y1").over(band), "__w": size("x"), "__ink": F.sum("__new").over(band)})
+    real = (F.col("__y1") - F.col("__y0") > tall * F.col("glyph")) | (F.col("__ink") / F.greatest(F.lit(1), F.col("__w")) > covered)
+    counted = box.withColumn("__real", real).withColumn("__counts", F.col("__real") | ~F.bool_or("__real").over(W.partitionBy(*SIDE)))
+    ranked = counted.withColumn("__rank", F.dense_rank().over(W.partitionBy(*SIDE, "__counts").orderBy("row")))
+    pair = W.partitionBy(*BLOCK, "__counts", "__rank")
+    ends = ranked.withColumns({f"__{p}{i}": F.max(F.when(F.col("side") == s, F.col(f"__y{i}"))).over(pair) for s, p in ((0, "a"), (1, "b")) for i in (0, 1)})
+    lower = F.least(F.col("__a1") - F.col("__a0"), F.col("__b1") - F.col("__b0"))
+    beside = F.col("__a0").isNotNull() & F.col("__b0").isNotNull() & (G.overlap(*layout._c("__a0", "__a1", "__b0", "__b1")) > 0.5 * lower)
+    same = F.min(F.when(F.col("__counts"), beside)).over(W.partitionBy(*BLOCK))
+    return ends.withColumn("same", same).select(*rows.columns, "same")
 
 
-def split_columns(marks: DataFrame, glyphs: DataFrame) -> DataFrame:
-    """(page_id, box_id, path): every mark with the path of its block, after blocks are split until none has a gutter between
-    sides of different rows. All blocks of all pages advance a step in each round, which is checkpointed; blocks that do not
-    split leave the rounds, and a split parts a block's marks, so the rounds are at most as deep as columns are nested."""
-    start = marks.select("page_id", "box_id", F.array(F.col("line_id").cast("int")).alias("path"), "x0", "y0", "x1", "y1").join(glyphs, "page_id")
-    now, done = checkpointed(start), []
+def placed(marks: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """Every mark (page_id, box_id, x0, y0, x1, y1) with the path of its block, after blocks are split until none has a gutter
+    between sides of different rows. All blocks of all pages advance a step in each round: windows over one shuffle by block,
+    checkpointed. Blocks that do not split leave the rounds, and a split parts a block's marks, so the rounds are at most as deep
+    as columns are nested."""
+    held = ["page_id", "box_id", "path", "x0", "y0", "x1", "y1"]
+    now, done = marks.withColumn("path", F.array(F.col("line_id").cast("int"))).select(*held).join(glyphs.select("page_id", "glyph"), "page_id"), []
     while True:
-        parted = now.join(block_gutters(now), BLOCK).withColumn("side", ((F.col("x0") + F.col("x1")) / 2 >= F.col("middle")).cast("int"))
-        rows = checkpointed(banded(parted).drop("middle"))
-        split = checkpointed(rows.join(same_rows(rows), BLOCK, "left_anti"))
-        done.append(now.join(split.select(*BLOCK).distinct(), BLOCK, "left_anti").select("page_id", "box_id", "path"))
+        parted = with_gutters(now).withColumn("side", ((F.col("x0") + F.col("x1")) / 2 >= F.col("middle")).cast("int"))
+        judged = with_same_rows(banded(parted)).withColumn("split", F.col("middle").isNotNull() & ~F.col("same"))
+        judged = checkpointed(judged.select(*now.columns, "side", "row", "split"))
+        done.append(judged.where("not split").select(*held))
+        split = judged.where("split")
         if not split.head(1):
             break
-        now = checkpointed(split.withColumn("path", F.concat("path", F.array("side", "row"))).select(*now.columns))
+        now = split.withColumn("path", F.concat("path", F.array("side", "row"))).select(*now.columns)
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
 
 
+def split_columns(marks: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """(page_id, box_id, path): every mark with the path of its block."""
+    return placed(marks, glyphs).select("page_id", "box_id", "path")
+
+
 def reading_units(marks: DataFrame, glyphs: DataFrame) -> DataFrame:
     """(page_id, position, path, x0, y0, x1, y1, n_boxes): the blocks of each page in reading order; path as text, parts joined
     by dots. A page's blocks are ordered in one window: they are at most as many as its marks."""
-    paths = split_columns(marks, glyphs).dropDuplicates(["page_id", "box_id", "path"])
-    held = marks.join(paths, ["page_id", "box_id"]).where(F.get("path", 0) == F.col("line_id"))
-    box = held.groupBy(*BLOCK).agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.count("*").alias("n_boxes"))
+    box = placed(marks, glyphs).groupBy(*BLOCK).agg(*[F.min(c).alias(c) for c in ("x0", "y0")], *[F.max(c).alias(c) for c in ("x1", "y1")], F.count("*").alias("n_boxes"))
     place = F.row_number().over(W.partitionBy("page_id").orderBy("path"))
     return box.withColumn("position", place).select("page_id", "position", F.array_join(F.transform("path", lambda i: i.cast("string")), ".").alias("path"), "x0", "y0", "x1", "y1", "n_boxes")

@@ -86,6 +86,21 @@ def test_nested_columns_and_a_matrix(spark):
     assert units == [(1, "0.0.0", 1), (2, "0.1.0.0.0", 1), (3, "0.1.0.1.0", 1), (4, "0.1.0.1.1", 1), (5, "0.1.0.1.2", 1), (6, "0.1.1", 1)]
 
 
+def test_a_round_is_one_shuffle(spark):
+    marks = spark.createDataFrame([(1, 0, 0, 0, 5, 5, 10.0)], "page_id long, box_id int, x0 int, y0 int, x1 int, y1 int, glyph double").selectExpr("*", "array(0) as path")
+    parted = columns.with_gutters(marks).selectExpr("*", "int(x0 + x1 >= 2 * middle) as side")
+    plan = columns.with_same_rows(columns.banded(parted))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_marks_of_one_number_count_where_they_stand(spark):
+    """Two marks of one number on both sides of a gutter: each counts in its own block."""
+    marks = [(0, 0, 0, 60, 100), (1, 100, 0, 160, 12), (1, 100, 30, 160, 42), (0, 100, 60, 160, 72)]
+    df = spark.createDataFrame([(1, m[0], 0, *m[1:]) for m in marks], SCHEMA)
+    units = columns.reading_units(df, spark.createDataFrame([(1, 10.0)], "page_id long, glyph double")).orderBy("position").collect()
+    assert [(r.path, r.n_boxes, r.y0, r.y1) for r in units] == [("0.0.0", 1, 0, 100), ("0.1.0", 1, 0, 12), ("0.1.1", 1, 30, 42), ("0.1.2", 1, 60, 72)]
+
+
 def test_no_marks(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert columns.reading_units(empty, spark.createDataFrame([], "page_id long, glyph double")).count() == 0
