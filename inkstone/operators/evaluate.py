@@ -10,17 +10,18 @@ from .components import checkpointed
 from .reask import rank
 
 
-def dealt(rows: DataFrame, *texts: str) -> DataFrame:
-    """Rows dealt anew by their texts: the work on a line grows faster than its length, and long lines stand together in their
-    document. A given number of partitions is not lowered by Spark."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*texts))
+def dealt(rows: DataFrame) -> DataFrame:
+    """Rows dealt anew by all that they hold: the work on a line grows faster than its length, long lines stand together in their
+    document, and a line that many documents have is not one task's. A given number of partitions is not lowered by Spark."""
+    hashable = [name for name, kind in rows.dtypes if "map<" not in kind]
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(*hashable))
 
 
 def distances(rows: DataFrame, pred: str = "pred", gold: str = "gold") -> DataFrame:
     """rows with character and token distances of the normal forms and the gold's lengths.
 
     Without a command every token is one character and the two distances are one."""
-    df = dealt(rows, pred, gold).withColumn("__g", L.normalise(F.col(gold)))
+    df = dealt(rows).withColumn("__g", L.normalise(F.col(gold)))
     df = df.withColumn("__p", F.when(F.col(pred) == F.col(gold), F.col("__g")).otherwise(L.normalise(F.col(pred))))
     p, g, command = F.col("__p"), F.col("__g"), F.lit("\\")
     spelt, listed = F.contains(p, command) | F.contains(g, command), F.contains(g, command)
@@ -112,7 +113,7 @@ def changed_regions(rows: DataFrame, before: str, after: str, *keep: str) -> Dat
     rows = rows.select(*keep, *[F.coalesce(c, F.lit("")).alias(c) for c in names])
     # Exploded, the normal forms are worked out once a row; the filter would repeat them as plain columns.
     forms = F.explode(F.array(F.struct(*[L.normalise(F.col(c)).alias(n) for n, c in zip("gba", names)])))
-    differ = dealt(rows.where(F.col(before) != F.col(after)), *names).select("*", forms.alias("__n")).where("__n.b <> __n.a")
+    differ = dealt(rows.where(F.col(before) != F.col(after))).select("*", forms.alias("__n")).where("__n.b <> __n.a")
     errors = {f"{n}_errors": L.edit_distance(F.col(f"__n.{n[0]}"), F.col("__n.g")).cast("long") for n in ("before", "after")}
     return differ.withColumns(errors).drop("__n").withColumn("gain", F.col("before_errors") - F.col("after_errors"))
 

@@ -104,6 +104,12 @@ def test_changed_regions_are_scored_in_their_row(spark):
     assert "Aggregate" not in plan and plan.count("RepartitionByExpression") == 1 and plan.count("Figura geometrica") == 3
 
 
+def test_a_common_line_is_dealt_over_tasks(spark):
+    rows = spark.range(800).selectExpr("id as doc_id", "'same' as gold", "'lame' as pred", "map('k', id) as m")
+    sizes = evaluate.distances(rows).groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 200
+
+
 def test_distance_in_bands_is_that_of_the_whole_table(monkeypatch):
     """Bands of every width, windows that move along both sequences, items instead of characters."""
     from inkstone.functions import distance as bits
