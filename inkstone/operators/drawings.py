@@ -5,19 +5,31 @@ read where it matters. regions(page_id, region_id, w, h, glyph) are parts of pag
 x0, y0, x1, y1) and marks(page_id, region_id, x0, y0, x1, y1, area). glyphs(page_id, glyph); sizes(page_id, width, height).
 
 Pairs of rules, and of strokes, are within a page or region and carry it as an equality. A page without a glyph or size has
-no tables; a null corner makes a rule or stroke meet nothing; a repeated row bears on counts of marks alone."""
+no tables; a null corner makes a rule or stroke meet nothing; a repeated row bears on counts of marks alone.
+
+The rules of a page are gathered into arrays and folded there, pieces and tables alike: rules travel once, by page, and nothing
+is written between. A page with very many rules is no array for one task: those pages take rounds of joins over checkpoints."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.latex import let
 from . import layout
 from .components import checkpointed
 
 REGION = ["page_id", "region_id"]
 ENDS = ("x0", "y0", "x1", "y1")
 
+#: A rule or stroke: its columns by name, be they prefixed columns of a join or fields of a struct.
+At = Callable[[str], Column]
+
+#: Rules of a page up to which they are folded as arrays; pages with more of them take rounds.
+MOST_RULES = 200
+
 
 def _prefixed(df: DataFrame, p: str, *keys: str) -> DataFrame:
     return df.select(*keys, *[F.col(c).alias(f"{p}_{c}") for c in df.columns if c not in keys])
@@ -29,32 +41,93 @@ def _along(at: Column, a0: Column, b0: Column, a1: Column, b1: Column) -> Column
     return b0 + share * (b1 - b0)
 
 
-def height_at(p: str, x: Column) -> Column:
-    return _along(x, *layout._c(f"{p}_x0", f"{p}_y0", f"{p}_x1", f"{p}_y1"))
+def _near(a0: Column, a1: Column, b0: Column, b1: Column, k: Column) -> Column:
+    """Whether stretches with these ends are at most k apart, or little more: a cheap test before an exact one that is stricter."""
+    return (F.greatest(a0, a1) - F.least(b0, b1) >= -k - 1) & (F.greatest(b0, b1) - F.least(a0, a1) >= -k - 1)
+
+
+def _side(p: str) -> At:
+    return lambda c: F.col(f"{p}_{c}")
+
 
+def height_at(r: At, x: Column) -> Column:
+    return _along(x, r("x0"), r("y0"), r("x1"), r("y1"))
 
-def place_at(p: str, y: Column) -> Column:
-    return _along(y, *layout._c(f"{p}_y0", f"{p}_x0", f"{p}_y1", f"{p}_x1"))
 
+def place_at(r: At, y: Column) -> Column:
+    return _along(y, r("y0"), r("x0"), r("y1"), r("x1"))
 
-def _level(tilt: float = 0.18) -> tuple[Column, Column, Column, Column]:
+
+def _level(r: At = F.col, tilt: float = 0.18) -> tuple[Column, Column, Column, Column]:
     """(dx, dy, nearly level, nearly upright) of a stroke."""
-    dx, dy = F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0"))
+    dx, dy = F.abs(r("x1") - r("x0")), F.abs(r("y1") - r("y0"))
     return dx, dy, dy <= tilt * dx, dx <= tilt * dy
 
 
+def _large_pages(rules: DataFrame) -> DataFrame | None:
+    """The pages with very many rules, None without any."""
+    large = rules.groupBy("page_id").agg(F.count("*").alias("n")).where(F.col("n") > MOST_RULES).select("page_id")
+    return checkpointed(large) if large.head(1) else None
+
+
+def _pairs_of(a: Column, b: Column, condition: Callable[[At, At], Column]) -> Column:
+    """The pairs (a, b) of numbers of rules from two arrays of which the condition holds."""
+    edge = lambda x, y: F.struct(x["rule_id"].alias("a"), y["rule_id"].alias("b"))
+    return F.flatten(F.transform(a, lambda x: F.transform(F.filter(b, lambda y: condition(x.getField, y.getField)), lambda y: edge(x, y))))
+
+
 # ---------------------------------------------------------------- pieces of rules
 
 
-def continuations(rules: DataFrame, reach: float = 3.0, off: float = 0.5) -> DataFrame:
-    """Pairs of horizontal pieces (rules with glyph) of which the right one goes on where the left one ends: at most `reach`
-    glyphs apart, at heights at most `off` glyphs apart where they meet, or midway where they run side by side."""
+def goes_on(a: At, b: At, glyph: Column, reach: float = 3.0, off: float = 0.5) -> Column:
+    """Whether the horizontal piece b goes on where a ends: at most `reach` glyphs apart, at heights at most `off` glyphs apart
+    where they meet, or midway where they run side by side. The left one of two pieces is a; a piece without a number meets none."""
+    first = (a("x0") < b("x0")) | ((a("x0") == b("x0")) & (a("rule_id") < b("rule_id")))
+    gap, shared = b("x0") - a("x1"), (b("x0") + F.least(a("x1"), b("x1"))) / 2
+    beside = _near(a("y0"), a("y1"), b("y0"), b("y1"), off * glyph) & (F.abs(height_at(a, shared) - height_at(b, shared)) <= off * glyph)
+    meet = F.when(gap < 0, beside).otherwise(F.abs(a("y1") - b("y0")) <= off * glyph)
+    return first & (gap <= reach * glyph) & meet & a("rule_id").isNotNull() & b("rule_id").isNotNull()
+
+
+def continuations(rules: DataFrame) -> DataFrame:
+    """Pairs of horizontal pieces (rules with glyph) of which the right one goes on where the left one ends."""
     both = _prefixed(rules, "a", "page_id").join(_prefixed(rules, "b", "page_id"), "page_id")
-    first = F.struct("a_x0", "a_rule_id") < F.struct(F.col("b_x0").alias("a_x0"), F.col("b_rule_id").alias("a_rule_id"))
-    gap, shared = F.col("b_x0") - F.col("a_x1"), (F.col("b_x0") + F.least("a_x1", "b_x1")) / 2
-    apart = F.when(gap < 0, F.abs(height_at("a", shared) - height_at("b", shared))).otherwise(F.abs(F.col("a_y1") - F.col("b_y0")))
-    near = (gap <= reach * F.col("a_glyph")) & (apart <= off * F.col("a_glyph"))
-    return both.where(first & near).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
+    return both.where(goes_on(_side("a"), _side("b"), F.col("a_glyph"))).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
+
+
+def _piece(number: Column, left: Column, right: Column, n: Column) -> Column:
+    return F.struct(number.alias("rule_id"), *[end[c].cast("double").alias(c) for end, c in ((left, "x0"), (left, "y0"), (right, "x1"), (right, "y1"))], n.cast("long").alias("n_pieces"))
+
+
+def _whole_piece() -> Column:
+    row = F.struct(*ENDS)
+    return _piece(F.col("rule_id"), row, row, F.lit(1))
+
+
+def _joined(pieces: Column, glyph: Column, kind: str) -> Column:
+    """A page's array of pieces after all rounds: each joins connected groups, until none do. A round that joins leaves a piece
+    less or is the last, so there are no more rounds than pieces."""
+
+    def union(first: Column, own: Column) -> Column:
+        left = F.array_min(F.transform(own, lambda p: F.struct(p["x0"].alias("x0"), p["rule_id"].alias("r"), p["y0"].alias("y0"))))
+        right = F.array_max(F.transform(own, lambda p: F.struct(p["x1"].alias("x1"), (-p["rule_id"]).alias("r"), p["y1"].alias("y1"))))
+        n = F.aggregate(own, F.lit(0).cast("long"), lambda n, p: n + p["n_pieces"])
+        return F.when(F.size(own) == 1, F.get(own, F.lit(0))).otherwise(let(left, lambda left: let(right, lambda right: _piece(first, left, right, n))))
+
+    def contract(now: Column, firsts: Column) -> Column:
+        first = lambda p: F.coalesce(F.try_element_at(firsts, p["rule_id"]), p["rule_id"])
+        return F.transform(F.array_distinct(F.transform(now, first)), lambda f: let(F.filter(now, lambda p: first(p).eqNullSafe(f)), lambda own: union(f, own)))
+
+    after = lambda done, now: F.struct(F.lit(done).alias("done"), now.alias("now"))
+
+    def step(state: Column, _: Column) -> Column:
+        now = state["now"]
+        known = _pairs_of(now, now, lambda a, b: goes_on(a, b, glyph))
+        moved = lambda es: after(False, let(layout.firsts(es, kind), lambda firsts: contract(now, firsts)))
+        return F.when(state["done"] | (F.size(now) < 2), state).otherwise(let(known, lambda es: F.when(F.size(es) == 0, after(True, now)).otherwise(moved(es))))
+
+    start = after(False, pieces)
+    return F.aggregate(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(pieces))), start, step, lambda state: state["now"])
 
 
 def join_pieces(pieces: DataFrame, glyphs: DataFrame) -> DataFrame:
@@ -62,7 +135,16 @@ def join_pieces(pieces: DataFrame, glyphs: DataFrame) -> DataFrame:
     page_id, rule_id (the smallest), ends, n_pieces.
 
     A round joins connected groups at once, so no order of pieces bears on the result; a longer rule tilts anew, so pairs are
-    derived again from the joined rules. Pages at rest leave the rounds; each round joins at least two pieces of each other page."""
+    derived again from the joined rules."""
+    large, kind = _large_pages(pieces), pieces.schema["rule_id"].dataType.simpleString()
+    small = pieces if large is None else pieces.join(large, "page_id", "left_anti")
+    pages = small.groupBy("page_id").agg(F.collect_list(_whole_piece()).alias("ps")).join(glyphs, "page_id")
+    out = pages.select("page_id", F.inline(_joined(F.col("ps"), F.col("glyph"), kind)))
+    return out if large is None else out.unionByName(_joined_in_rounds(pieces.join(large, "page_id", "left_semi"), glyphs))
+
+
+def _joined_in_rounds(pieces: DataFrame, glyphs: DataFrame) -> DataFrame:
+    """join_pieces over the whole relation. Pages at rest leave the rounds; each round joins at least two pieces of each other page."""
     rule = pieces.select("page_id", "rule_id", *[F.col(c).cast("double").alias(c) for c in ENDS], F.lit(1).cast("long").alias("n_pieces"))
     moving, rest = checkpointed(rule.join(glyphs, "page_id")), []
     while True:
@@ -86,28 +168,56 @@ def join_pieces(pieces: DataFrame, glyphs: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tables
 
 
+def _within(h: At, v: At, x: Column, y: Column, k: Column) -> Column:
+    return x.between(h("x0") + k, h("x1") - k) & y.between(v("y0") + k, v("y1") - k)
+
+
 def touching(horiz: DataFrame, vert: DataFrame, margin: float = 0.7) -> DataFrame:
     """(page_id, h_id, v_id, crosses): pairs of a horizontal (with glyph) and a vertical rule that touch within `margin` glyphs;
     crosses: each goes on past the other by as much on both sides."""
     both = _prefixed(horiz, "h", "page_id").join(_prefixed(vert, "v", "page_id"), "page_id")
-    both = both.withColumn("y", height_at("h", (F.col("v_x0") + F.col("v_x1")) / 2)).withColumn("x", place_at("v", F.col("y")))
+    both = both.withColumn("y", height_at(_side("h"), (F.col("v_x0") + F.col("v_x1")) / 2)).withColumn("x", place_at(_side("v"), F.col("y")))
     m = margin * F.col("h_glyph")
-    within = lambda k: F.col("x").between(F.col("h_x0") + k, F.col("h_x1") - k) & F.col("y").between(F.col("v_y0") + k, F.col("v_y1") - k)
+    within = lambda k: _within(_side("h"), _side("v"), F.col("x"), F.col("y"), k)
     return both.where(within(-m)).select("page_id", F.col("h_rule_id").alias("h_id"), F.col("v_rule_id").alias("v_id"), within(m).alias("crosses"))
 
 
-def upright_pieces(vert: DataFrame, margin: float = 0.7) -> DataFrame:
-    """Pairs of pieces of one vertical rule (with glyph): at most a glyph apart, at one place midway between them."""
-    both = _prefixed(vert, "a", "page_id").join(_prefixed(vert, "b", "page_id"), "page_id").where("a_rule_id < b_rule_id")
-    y = (F.greatest("a_y0", "b_y0") + F.least("a_y1", "b_y1")) / 2
-    near = (F.greatest("a_y0", "b_y0") - F.least("a_y1", "b_y1") <= F.col("a_glyph")) & (F.abs(place_at("a", y) - place_at("b", y)) <= margin * F.col("a_glyph"))
-    return both.where(near).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
+def _touching_of(hs: Column, vs: Column, m: Column) -> Column:
+    """The pairs (a, b, crosses) of `touching` within a page's arrays of rules."""
+
+    def near(h: Column, v: Column) -> Column:
+        return _near(h["y0"], h["y1"], v["y0"], v["y1"], m) & _near(h["x0"], h["x1"], v["x0"], v["x1"], m)
+
+    def pair(h: Column, v: Column) -> Column:
+        ha, va = h.getField, v.getField
+        found = lambda x, y: F.struct(h["rule_id"].alias("a"), v["rule_id"].alias("b"), _within(ha, va, x, y, m).alias("crosses"), _within(ha, va, x, y, -m).alias("touches"))
+        return let(height_at(ha, (v["x0"] + v["x1"]) / 2), lambda y: let(place_at(va, y), lambda x: found(x, y)))
+
+    return F.filter(F.flatten(F.transform(hs, lambda h: F.transform(F.filter(vs, lambda v: near(h, v)), lambda v: pair(h, v)))), lambda p: p["touches"])
+
+
+def goes_up(a: At, b: At, glyph: Column, margin: float = 0.7) -> Column:
+    """Whether a and b are pieces of one vertical rule: at most a glyph apart, at one place midway between them."""
+    low, high = F.greatest(a("y0"), b("y0")), F.least(a("y1"), b("y1"))
+    y = (low + high) / 2
+    return (a("rule_id") < b("rule_id")) & (low - high <= glyph) & (F.abs(place_at(a, y) - place_at(b, y)) <= margin * glyph)
+
+
+def upright_pieces(vert: DataFrame) -> DataFrame:
+    """Pairs of pieces of one vertical rule (with glyph)."""
+    both = _prefixed(vert, "a", "page_id").join(_prefixed(vert, "b", "page_id"), "page_id")
+    return both.where(goes_up(_side("a"), _side("b"), F.col("a_glyph"))).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
+
+
+def _plus_least(w: Column, h: Column, glyph: Column) -> tuple[Column, Column]:
+    """How wide and how high the strokes of a plus are at least."""
+    return F.greatest(F.floor(4 * glyph), F.floor(_share(30, w))), F.greatest(F.floor(1.5 * glyph), F.floor(_share(35, h)))
 
 
 def plus_signs(regions: DataFrame, strokes: DataFrame, margin: float = 0.7) -> DataFrame:
     """(page_id, region_id): the regions with a plus, a long level stroke and a long upright one that go past each other on both
     sides. The legs of a triangle meet at their ends alone."""
-    across, down = F.greatest(F.floor(4 * F.col("glyph")), F.floor(_share(30, F.col("w")))), F.greatest(F.floor(1.5 * F.col("glyph")), F.floor(_share(35, F.col("h"))))
+    across, down = _plus_least(*layout._c("w", "h", "glyph"))
     wide = regions.where((F.col("w") > across) & (F.col("h") > down)).select(*REGION, across.alias("across"), down.alias("down"), (margin * F.col("glyph")).alias("m"))
     dx, dy, level, upright = _level()
     long = strokes.join(wide, REGION).withColumns({"level": level & (dx >= F.col("across")), "upright": upright & (dy >= F.col("down"))})
@@ -117,16 +227,89 @@ def plus_signs(regions: DataFrame, strokes: DataFrame, margin: float = 0.7) -> D
     return h.join(v, REGION).where(inside).select(*REGION).distinct()
 
 
+def _has_plus(strokes: Column, w: Column, h: Column, glyph: Column, margin: float = 0.7) -> Column:
+    """`plus_signs` of one region with an array of strokes."""
+    (across, down), m = _plus_least(w, h, glyph), margin * glyph
+
+    def passes(a: Column, b: Column) -> Column:
+        x, y = (b["x0"] + b["x1"]) / 2, (a["y0"] + a["y1"]) / 2
+        beyond = x.between(F.least(a["x0"], a["x1"]) + m, F.greatest(a["x0"], a["x1"]) - m)
+        return beyond & y.between(F.least(b["y0"], b["y1"]) + m, F.greatest(b["y0"], b["y1"]) - m)
+
+    def wide(a: Column) -> Column:
+        dx, _, level, _ = _level(a.getField)
+        return level & (dx >= across)
+
+    def high(b: Column) -> Column:
+        _, dy, _, upright = _level(b.getField)
+        return upright & (dy >= down)
+
+    return (w > across) & (h > down) & F.exists(strokes, lambda a: wide(a) & F.exists(strokes, lambda b: high(b) & passes(a, b)))
+
+
+def _tables_of(hs: Column, vs: Column, glyph: Column, width: Column, kind: str, margin: float = 0.7) -> Column:
+    """(table_id, ends, n_rules): the array of a page's tables, from those of its joined horizontal and of its vertical rules."""
+
+    def box(first: Column, own: Column) -> Column:
+        low = lambda c: F.floor(F.array_min(F.transform(own, lambda r: F.least(r[f"{c}0"], r[f"{c}1"])))).cast("int")
+        high = lambda c: (F.floor(F.array_max(F.transform(own, lambda r: F.greatest(r[f"{c}0"], r[f"{c}1"])))) + 1).cast("int")
+        return F.struct(first.alias("table_id"), low("x").alias("x0"), low("y").alias("y0"), high("x").alias("x1"), high("y").alias("y1"), F.size(own).cast("long").alias("n_rules"), own.alias("own"))
+
+    def fits(t: Column) -> Column:
+        w, h = t["x1"] - t["x0"], t["y1"] - t["y0"]
+        rows = F.size(F.filter(t["own"], lambda r: r["is_h"]))
+        return (w < 0.9 * width) & (h >= 1.5 * glyph) & ((rows >= 2) | ((rows == 1) & _has_plus(t["own"], w, h, glyph)))
+
+    def grouped(pairs: Column, firsts: Column) -> Column:
+        first = lambda number: F.coalesce(F.try_element_at(firsts, number), number)
+        rule = lambda r, is_h: F.struct(first(r["rule_id"]).alias("first"), *[r[c].alias(c) for c in ENDS], F.lit(is_h).alias("is_h"))
+        rules = F.concat(F.transform(hs, lambda r: rule(r, True)), F.transform(vs, lambda r: rule(r, False)))
+        crossed = F.array_distinct(F.transform(F.filter(pairs, lambda p: p["crosses"]), lambda p: first(p["a"])))
+        boxes = let(rules, lambda rs: F.transform(crossed, lambda f: let(F.filter(rs, lambda r: r["first"] == f), lambda own: box(f, own))))
+        return F.transform(F.filter(boxes, fits), lambda t: F.struct(*[t[c].alias(c) for c in ("table_id", *ENDS, "n_rules")]))
+
+    def edges(pairs: Column) -> Column:
+        numbered = F.filter(pairs, lambda p: p["a"].isNotNull() & p["b"].isNotNull())
+        touch = F.transform(numbered, lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b")))
+        return F.concat(touch, _pairs_of(vs, vs, lambda a, b: goes_up(a, b, glyph)))
+
+    found = lambda pairs: let(layout.firsts(edges(pairs), kind), lambda firsts: grouped(pairs, firsts))
+    return let(_touching_of(hs, vs, margin * glyph), lambda pairs: F.when(F.exists(pairs, lambda p: p["crosses"]), found(pairs)))
+
+
 def find_tables(rules: DataFrame, glyphs: DataFrame, sizes: DataFrame) -> DataFrame:
     """(page_id, table_id, x0, y0, x1, y1, n_rules): boxes of the groups of rules that touch and of which a pair crosses, with
     two horizontal rules, or one that makes a plus in the group's box; narrower than nine tenths of the page and at least 1.5
     glyphs high. table_id is the smallest rule of the group."""
-    dx, dy, level, upright = _level()
-    known = rules.join(glyphs, "page_id").join(sizes, "page_id")
-    g = F.col("glyph")
-    pieces = known.where((F.col("dir") == "h") & (dx >= 2.5 * g) & level).select("page_id", "rule_id", *ENDS)
-    h = join_pieces(pieces, glyphs).join(glyphs, "page_id").where(F.col("x1") - F.col("x0") >= 5 * g).select("page_id", "rule_id", *ENDS, "glyph")
-    v = known.where((F.col("dir") == "v") & (dy >= 2.5 * g) & (dy <= 0.4 * F.col("height")) & upright).select("page_id", "rule_id", *[F.col(c).cast("double").alias(c) for c in ENDS], "glyph")
+    large, kind = _large_pages(rules), rules.schema["rule_id"].dataType.simpleString()
+    small = rules if large is None else rules.join(large, "page_id", "left_anti")
+    _, _, level, upright = _level()
+    of = lambda good: F.collect_list(F.when(good, _whole_piece()))
+    pages = small.groupBy("page_id").agg(of((F.col("dir") == "h") & level).alias("hs"), of((F.col("dir") == "v") & upright).alias("vs")).where((F.size("hs") > 0) & (F.size("vs") > 0))
+    pages, g = pages.join(glyphs, "page_id").join(sizes, "page_id"), F.col("glyph")
+    hs = F.filter(_joined(F.filter("hs", lambda r: _long(r.getField, g)), g, kind), lambda r: r["x1"] - r["x0"] >= 5 * g)
+    vs = F.filter("vs", lambda r: _high(r.getField, g))
+    out = pages.select("page_id", F.inline(let(vs, lambda vs: F.when(F.size(vs) > 0, let(hs, lambda hs: _tables_of(hs, vs, g, F.col("width"), kind))))))
+    return out if large is None else out.unionByName(_tables_in_rounds(rules.join(large, "page_id", "left_semi"), glyphs, sizes))
+
+
+def _long(r: At, g: Column) -> Column:
+    """Whether a level rule is a piece of a horizontal one."""
+    return _level(r)[0] >= 2.5 * g
+
+
+def _high(r: At, g: Column) -> Column:
+    """Whether an upright rule is a vertical one: not too short, and not as high as the page."""
+    dy = _level(r)[1]
+    return (dy >= 2.5 * g) & (dy <= 0.4 * F.col("height"))
+
+
+def _tables_in_rounds(rules: DataFrame, glyphs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """find_tables over the whole relation, for pages with very many rules."""
+    known, g = rules.join(glyphs, "page_id").join(sizes, "page_id"), F.col("glyph")
+    _, _, level, upright = _level()
+    h = _joined_in_rounds(known.where((F.col("dir") == "h") & level & _long(F.col, g)).select("page_id", "rule_id", *ENDS), glyphs).join(glyphs, "page_id").where(F.col("x1") - F.col("x0") >= 5 * g).select("page_id", "rule_id", *ENDS, "glyph")
+    v = known.where((F.col("dir") == "v") & upright & _high(F.col, g)).select("page_id", "rule_id", *[F.col(c).cast("double").alias(c) for c in ENDS], "glyph")
     pairs = checkpointed(touching(h, v))
     edges = pairs.select("page_id", F.col("h_id").alias("a_box_id"), F.col("v_id").alias("b_box_id")).unionByName(upright_pieces(v))
     both = h.withColumn("is_h", F.lit(1)).unionByName(v.withColumn("is_h", F.lit(0)))

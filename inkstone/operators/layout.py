@@ -71,8 +71,8 @@ def same_row_edges(boxes: DataFrame, share: float = 0.4) -> DataFrame:
 MOST_EDGES = 2000
 
 
-def _components_of_pages(edges: DataFrame, kind: str) -> DataFrame:
-    """(page_id, firsts): a map from each box with an edge to the smallest one of its component, by a fold over the page's edges."""
+def firsts(edges: Column, kind: str) -> Column:
+    """A map from each number with an edge to the smallest one of its component, by a fold over an array of edges (a, b)."""
     none = F.array().cast(f"array<array<{kind}>>")
 
     def step(groups: Column, e: Column) -> Column:
@@ -80,9 +80,13 @@ def _components_of_pages(edges: DataFrame, kind: str) -> DataFrame:
         joined = F.array_distinct(F.concat(F.array(e["a"], e["b"]), F.flatten(F.filter(groups, meets))))
         return F.concat(F.filter(groups, lambda g: ~meets(g)), F.array(joined))
 
-    pages = edges.groupBy("page_id").agg(F.collect_set(F.struct("a", "b")).alias("es")).select("page_id", F.aggregate("es", none, step).alias("groups"))
-    firsts = F.map_from_entries(F.flatten(F.transform("groups", lambda g: let(F.array_min(g), lambda first: F.transform(g, lambda x: F.struct(x.alias("box"), first.alias("first")))))))
-    return pages.select("page_id", firsts.alias("firsts"))
+    first = lambda g: let(F.array_min(g), lambda first: F.transform(g, lambda x: F.struct(x.alias("box"), first.alias("first"))))
+    return F.map_from_entries(F.flatten(F.transform(F.aggregate(edges, none, step), first)))
+
+
+def _components_of_pages(edges: DataFrame, kind: str) -> DataFrame:
+    """(page_id, firsts): the components of each page's edges."""
+    return edges.groupBy("page_id").agg(F.collect_set(F.struct("a", "b")).alias("es")).select("page_id", firsts(F.col("es"), kind).alias("firsts"))
 
 
 def with_rows(boxes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ _JOINED = """g as (select distinct page_id, 20 + page_id % 7 glyph from rule_pie
 
 def _rule_pieces(spark, sf):
     rules = D.rule_pieces(spark, sf)
-    pages = rules.select("page_id").distinct()
+    pages = D.base(spark, sf).select("page_id").distinct()  # every line has a rule
     return rules, pages.withColumn("glyph", (20 + F.col("page_id") % 7).cast("double")), pages.select("page_id", F.lit(900).alias("width"), F.lit(520).alias("height"))
 
 

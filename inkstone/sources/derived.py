@@ -12,8 +12,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def base(spark: SparkSession, sf_dir: str) -> DataFrame:
+def base(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFrame:
+    """together: items are dealt by page alone, so that what follows by page deals nothing out again."""
     items = table(spark, sf_dir, "lineitem")
+    items = items.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity").repartition("l_orderkey") if together else items
     return items.groupBy(F.col("l_orderkey").alias("page_id"), F.col("l_linenumber").alias("idx")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"), F.min("l_quantity").cast("int").alias("q"))
 
 
@@ -34,15 +36,14 @@ def strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rule_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules of pages: odd lines are level, in two pieces with a gap between, even ones upright; both tilt a little."""
     p, s, q, idx = (F.col(x) for x in ("p", "s", "q", "idx"))
-    half, x0, y0, tilt = F.explode(F.array(F.lit(0), F.lit(1))).alias("half"), p % 40, idx * 60, s % 9
-    b = base(spark, sf_dir).where("idx % 2 = 1").select("page_id", "idx", half, x0.alias("x0"), y0.alias("y0"), tilt.alias("tilt"), (p % 100).alias("gap"), q)
-    left, right = F.col("half") == 0, F.col("x0") + 200 + F.col("gap")
-    start, stop = F.when(left, F.col("x0")).otherwise(right), F.when(left, F.col("x0") + 200).otherwise(right + 150 + F.col("q"))
-    height = F.when(left, F.col("y0")).otherwise(F.col("y0") + F.col("tilt"))
-    level = b.select("page_id", (F.col("idx") * 2 + F.col("half")).cast("int").alias("rule_id"), F.lit("h").alias("dir"), *[c.cast("int").alias(n) for c, n in ((start, "x0"), (height, "y0"), (stop, "x1"), (height, "y1"))])
-    x = 60 + idx * 30 + p % 20
-    upright = base(spark, sf_dir).where("idx % 2 = 0").select("page_id", (idx * 2).cast("int").alias("rule_id"), F.lit("v").alias("dir"), *[c.cast("int").alias(n) for c, n in ((x, "x0"), (s % 90, "y0"), (x + p % 7, "x1"), (s % 90 + 90 + q, "y1"))])
-    return level.unionByName(upright)
+    odd, left, x0, gap, x = idx % 2 == 1, F.col("half") == 0, p % 40, p % 100, 60 + idx * 30 + p % 20
+    halves = F.when(odd, F.array(F.lit(0), F.lit(1))).when(idx % 2 == 0, F.array(F.lit(0)))
+    start, stop = F.when(left, x0).otherwise(x0 + 200 + gap), F.when(left, x0 + 200).otherwise(x0 + 350 + gap + q)
+    height = F.when(left, idx * 60).otherwise(idx * 60 + s % 9)
+    ends = {"x0": (start, x), "y0": (height, s % 90), "x1": (stop, x + p % 7), "y1": (height, s % 90 + 90 + q)}
+    number, kind = (idx * 2 + F.col("half")).cast("int"), F.when(odd, "h").otherwise("v")
+    rules = base(spark, sf_dir, together=True).select("page_id", "idx", "p", "s", "q", F.explode(halves).alias("half"))
+    return rules.select("page_id", number.alias("rule_id"), kind.alias("dir"), *[F.when(odd, level).otherwise(upright).cast("int").alias(c) for c, (level, upright) in ends.items()])
 
 
 def drawing_strokes(spark: SparkSession, sf_dir: str) -> DataFrame:
