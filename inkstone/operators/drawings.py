@@ -89,10 +89,10 @@ def goes_on(a: At, b: At, glyph: Column, reach: float = 3.0, off: float = 0.5) -
     return first & (gap <= reach * glyph) & meet & a("rule_id").isNotNull() & b("rule_id").isNotNull()
 
 
-def continuations(rules: DataFrame) -> DataFrame:
+def continuations(rules: DataFrame, reach: float = 3.0, off: float = 0.5) -> DataFrame:
     """Pairs of horizontal pieces (rules with glyph) of which the right one goes on where the left one ends."""
     both = _prefixed(rules, "a", "page_id").join(_prefixed(rules, "b", "page_id"), "page_id")
-    return both.where(goes_on(_side("a"), _side("b"), F.col("a_glyph"))).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
+    return both.where(goes_on(_side("a"), _side("b"), F.col("a_glyph"), reach, off)).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
 
 
 def _piece(number: Column, left: Column, right: Column, n: Column) -> Column:
@@ -203,10 +203,10 @@ def goes_up(a: At, b: At, glyph: Column, margin: float = 0.7) -> Column:
     return (a("rule_id") < b("rule_id")) & (low - high <= glyph) & (F.abs(place_at(a, y) - place_at(b, y)) <= margin * glyph)
 
 
-def upright_pieces(vert: DataFrame) -> DataFrame:
+def upright_pieces(vert: DataFrame, margin: float = 0.7) -> DataFrame:
     """Pairs of pieces of one vertical rule (with glyph)."""
     both = _prefixed(vert, "a", "page_id").join(_prefixed(vert, "b", "page_id"), "page_id")
-    return both.where(goes_up(_side("a"), _side("b"), F.col("a_glyph"))).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
+    return both.where(goes_up(_side("a"), _side("b"), F.col("a_glyph"), margin)).select("page_id", F.col("a_rule_id").alias("a_box_id"), F.col("b_rule_id").alias("b_box_id"))
 
 
 def _plus_least(w: Column, h: Column, glyph: Column) -> tuple[Column, Column]:
